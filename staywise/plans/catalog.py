@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from staywise.plans import q_features, q_history, q_metrics  # noqa: F401
+from staywise.plans import q_features, q_history, q_metrics, q_model  # noqa: F401
 from staywise.plans.registry import ORACLE, QUERIES
 
 
