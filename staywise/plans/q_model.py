@@ -113,3 +113,25 @@ def score_members(spark, sf):
 def model_inspect(spark, sf):
     """K16."""
     return MO.inspect(spark, churn_model(spark, sf), FT.TRAINING_MATRIX_12)
+
+
+def _explained(spark, sf):
+    from staywise.operators.explain import explain
+    tm = churn_training(spark, sf)
+    train, test = split(tm, "client_lost")
+    m = MO.fit_boosted(train, FT.TRAINING_MATRIX_12, "client_lost", QUERY_PARAMS)
+    return explain(spark, test, m, FT.TRAINING_MATRIX_12)
+
+
+@query("explain_top3")
+def explain_top3(spark, sf):
+    """Three largest contributions per held-out row."""
+    from staywise.operators.explain import top_contributions
+    return top_contributions(_explained(spark, sf), 3)
+
+
+@query("global_importance")
+def global_importance(spark, sf):
+    """Mean absolute contribution per feature over the held-out rows."""
+    from staywise.operators.explain import global_importance as gi
+    return gi(_explained(spark, sf))
