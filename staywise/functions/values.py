@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Text accepted as "true" by the boolean parser.
 TRUE_WORDS = ("yes", "true", "1", "y", "x")
+# Numeric text (checked before casting, so words never take the cast's error path).
+NUMERIC_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def _c(x) -> Column:
@@ -23,13 +25,14 @@ def clip(x, lo, hi, default=None) -> Column:
 
 def to_number(x) -> Column:
     """Text -> double, bad text -> null (plain cast raises under ANSI)."""
-    return _c(x).cast("string").try_cast("double")
+    s = _c(x).cast("string")
+    return F.when(s.rlike(NUMERIC_RE), s.try_cast("double"))
 
 
 def parse_boolean(x) -> Column:
     """null -> 0; numeric text -> nonzero; else lower/trimmed text in TRUE_WORDS."""
     s = _c(x).cast("string")
-    num = s.try_cast("double")
+    num = F.when(s.rlike(NUMERIC_RE), s.try_cast("double"))
     word = F.lower(F.trim(s)).isin(*TRUE_WORDS)
     return (F.when(s.isNull(), F.lit(0))
             .when(num.isNotNull(), (num != 0).cast("int"))

@@ -43,16 +43,27 @@ MEMBER_FEATURES = ("tenure_months", "role_encoded", "days_since_activity", "has_
                    "is_new_employee", "start_month", "start_day_of_week")
 
 
-def _text_date(c: str):
-    """Dates are stored as text by the form import; parse them as text."""
-    return parse_date(F.col(c).cast("string"))
+def _as_date(df: DataFrame, c: str):
+    """A date from a stored value: text goes through the form's date parser
+    (H1); typed dates/timestamps only lose their time of day."""
+    dtype = dict(df.dtypes)[c]
+    return parse_date(F.col(c)) if dtype == "string" else F.to_date(F.col(c))
+
+
+FORM_DATES = ("notice_date", "last_comm_date", "last_checkin_date", "tm_start_date", "tm_last_date",
+              "client_start_date")
 
 
 def form_features(terms: DataFrame) -> DataFrame:
-    """The ten computed features of a termination row (id kept)."""
-    notice, comm, checkin = _text_date("notice_date"), _text_date("last_comm_date"), _text_date("last_checkin_date")
-    tm_start, tm_last, c_start = _text_date("tm_start_date"), _text_date("tm_last_date"), _text_date("client_start_date")
-    return terms.select(
+    """The ten computed features of a termination row (id kept).  Dates are
+    parsed once in a first projection; conditional expressions are not
+    subexpression-eliminated, so parsing inside each difference would repeat it."""
+    dated = terms.select("id", "health_text", "check_in_cadence", "will_have_replacement",
+                         "replacement_timeframe", "pip_implemented", "relief_offered",
+                         *[_as_date(terms, c).alias(c) for c in FORM_DATES])
+    notice, comm, checkin = F.col("notice_date"), F.col("last_comm_date"), F.col("last_checkin_date")
+    tm_start, tm_last, c_start = F.col("tm_start_date"), F.col("tm_last_date"), F.col("client_start_date")
+    return dated.select(
         F.col("id").alias("termination_id"),
         F.coalesce(days_between(comm, notice), F.lit(999)).alias("days_since_communication"),
         F.coalesce(days_between(checkin, notice), F.lit(999)).alias("days_since_checkin"),
