@@ -152,3 +152,50 @@ def global_importance(long: DataFrame) -> DataFrame:
     """Mean |contribution| per feature, 4 decimals, descending."""
     return (long.filter(F.col("feature") != "__base__").groupBy("feature")
             .agg(F.round(F.avg(F.abs("contribution")), 4).alias("mean_abs_contribution")))
+
+
+# Feature labels and the reason shown for each direction
+# (high_risk = positive contribution, low_risk = otherwise).
+FEATURE_LABELS = {
+    "current_seat_count": "Client seat count",
+    "no_replacement": "No replacement lined up",
+    "replacement_urgency": "Replacement urgency/timeline",
+    "client_tenure_at_termination": "Client tenure length",
+    "termination_type_encoded": "Termination type",
+    "checkin_frequency_encoded": "Check-in frequency",
+    "days_since_checkin": "Days since last check-in",
+    "days_since_communication": "Days since last communication",
+    "offered_discount": "Discount/relief offered",
+    "geo_encoded": "Geo-location",
+    "health_score": "Client health score",
+    "had_pip": "PIP was implemented",
+}
+FEATURE_REASONS = {
+    "current_seat_count": ("Larger seat count — higher revenue at stake", "Smaller engagement — lower exposure"),
+    "no_replacement": ("No replacement is being lined up", "Replacement is in progress"),
+    "replacement_urgency": ("Urgent replacement timeline", "No urgency on replacement"),
+    "client_tenure_at_termination": ("Short client tenure — not yet embedded",
+                                     "Long-standing relationship — more invested"),
+    "termination_type_encoded": ("Termination type indicates higher risk", "Termination type is routine/planned"),
+    "checkin_frequency_encoded": ("Low check-in frequency", "Regular check-in cadence maintained"),
+    "days_since_checkin": ("No recent check-in with client", "Recent check-in completed"),
+    "days_since_communication": ("No recent communication", "Active communication maintained"),
+    "offered_discount": ("Had to offer discount to retain (still at risk)",
+                         "No discount needed — organically satisfied"),
+    "geo_encoded": ("Region shows higher churn patterns", "Region is stable"),
+    "health_score": ("Client health score is low", "Strong client health score"),
+    "had_pip": ("PIP was implemented — performance concerns", "No PIP history — clean record"),
+}
+
+
+def reason_text(top: DataFrame) -> DataFrame:
+    """Label and reason per (feature, direction), falling back to the
+    label and then the feature name; impact rounded to 4."""
+    labels = F.create_map(*[F.lit(x) for kv in FEATURE_LABELS.items() for x in kv])
+    reasons = F.create_map(*[F.lit(x) for f, (hi, lo) in FEATURE_REASONS.items()
+                             for x in (f"{f}:high_risk", hi, f"{f}:low_risk", lo)])
+    direction = F.when(F.col("contribution") > 0, "high_risk").otherwise("low_risk")
+    label = F.coalesce(F.try_element_at(labels, F.col("feature")), F.col("feature"))
+    reason = F.coalesce(F.try_element_at(reasons, F.concat(F.col("feature"), F.lit(":"), direction)), label)
+    return top.withColumn("label", label).withColumn("reason", reason).withColumn(
+        "impact", F.round("contribution", 4))

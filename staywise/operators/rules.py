@@ -152,3 +152,36 @@ def explode_items(df: DataFrame, key: str, col: str, kind: str = "factor") -> Da
     return (df.select(key, F.posexplode(col).alias("pos", "it"))
             .select(key, "pos", F.col(f"it.{kind}").alias(kind), F.col(f"it.{imp}").alias(imp),
                     F.col("it.description").alias("description")))
+
+
+# Importance-gated tests (feature, test, description template).
+GATED_TESTS = (
+    ("current_seat_count", lambda v: v < 3, "Low seat count ({}) indicates potential downsizing"),
+    ("no_replacement", lambda v: v == 1, "Client not requesting TM replacement"),
+    ("days_since_communication", lambda v: v > 30, "No communication in {} days"),
+    ("days_since_checkin", lambda v: v > 21, "No check-in in {} days"),
+    ("health_score", lambda v: v <= 2, "Low health score ({}/4)"),
+    ("client_tenure_at_termination", lambda v: v < 180, "New client ({} days tenure)"),
+)
+
+
+def gated_factors(df: DataFrame, importance: DataFrame, n: int = 5, out: str = "top_risk_factors") -> DataFrame:
+    """I4: only the n most important features are tested; each failing test
+    gives (factor, importance in percent rounded 1, value, description).  The
+    top-n importance rows (n rows) are read once and inlined as literals."""
+    top = importance.orderBy(F.col("importance").desc(), F.col("feature")).limit(n).collect()
+    tests = {f: (t, d) for f, t, d in GATED_TESTS}
+    items = []
+    for r in top:
+        f = r["feature"]
+        if f not in tests:
+            continue
+        test, desc = tests[f]
+        v = _get(df, f, 0).cast("double")
+        text = F.lit(desc) if "{}" not in desc else F.concat(F.lit(desc.split("{}")[0]), v.cast("string"),
+                                                             F.lit(desc.split("{}")[1]))
+        item = F.struct(F.lit(f).alias("factor"), F.lit(round(r["importance"] * 100, 1)).alias("importance"),
+                        v.alias("value"), text.alias("description"))
+        items.append(F.when(test(v), item))
+    arr = F.filter(F.array(*items), lambda x: x.isNotNull()) if items else F.array()
+    return df.withColumn(out, arr)

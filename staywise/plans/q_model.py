@@ -126,8 +126,8 @@ def _explained(spark, sf):
 @query("explain_top3")
 def explain_top3(spark, sf):
     """Three largest contributions per held-out row."""
-    from staywise.operators.explain import top_contributions
-    return top_contributions(_explained(spark, sf), 3)
+    from staywise.operators.explain import reason_text, top_contributions
+    return reason_text(top_contributions(_explained(spark, sf), 3))
 
 
 @query("global_importance")
@@ -135,3 +135,16 @@ def global_importance(spark, sf):
     """Mean absolute contribution per feature over the held-out rows."""
     from staywise.operators.explain import global_importance as gi
     return gi(_explained(spark, sf))
+
+
+@query("gated_factors")
+def gated_factors(spark, sf):
+    """I4: importance-gated factors for every active client's scoring row."""
+    m = churn_model(spark, sf)
+    imp = MO.feature_importances(spark, m, FT.TRAINING_MATRIX_12)
+    active = I.scan_clients(A.clients(spark, sf), active_only=True)
+    t = A.terminations(spark, sf)
+    sm = FT.scoring_matrix(active, FT.training_data(t, FT.form_features(t)))
+    g = R.gated_factors(sm, imp, 5)
+    return (g.select("client_id", F.posexplode("top_risk_factors").alias("pos", "f"))
+            .select("client_id", "pos", "f.factor", "f.importance", "f.value", "f.description"))
