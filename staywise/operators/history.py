@@ -187,3 +187,11 @@ def runs_from_predictions(preds: DataFrame, ts_col: str = "prediction_date",
             .withColumn("duration_seconds",
                         F.floor((F.unix_micros(F.col("end_time").cast("timestamp"))
                                  - F.unix_micros(F.col("start_time").cast("timestamp"))) / 1_000_000)))
+
+
+def embed_client(members: DataFrame, clients: DataFrame) -> DataFrame:
+    """Each member row carries its client as a nested record (left join)."""
+    c = clients.select(F.col("id").alias("client_id"),
+                       F.struct(F.col("id"), F.col("name"), F.col("industry_type"),
+                                F.col("client_location"), F.col("status")).alias("clients"))
+    return members.join(c, "client_id", "left")

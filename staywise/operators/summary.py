@@ -185,3 +185,17 @@ def run_level_counts(preds: DataFrame) -> DataFrame:
     from staywise.operators.history import runs_from_predictions
     return runs_from_predictions(preds).select("run_day", "model_version", "high_risk_count",
                                                "medium_risk_count", "low_risk_count")
+
+
+def risk_map(latest_cp: DataFrame, client_feats: DataFrame) -> DataFrame:
+    """The scatter of filtered clients - tenure, score, name, industry,
+    region and level (one row per client)."""
+    f = client_feats.select(F.col("id").alias("client_id"), "tenure_months")
+    return latest_cp.join(f, "client_id", "inner").select(
+        "client_id", "client_name", F.col("industry_type").alias("industry"),
+        F.col("client_location").alias("region"), "tenure_months", "risk_score", "risk_level")
+
+
+def distinct_values(df: DataFrame, col: str) -> DataFrame:
+    """``SELECT DISTINCT`` (partial aggregation per task, then one shuffle)."""
+    return df.select(col).distinct()

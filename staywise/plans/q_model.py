@@ -148,3 +148,14 @@ def gated_factors(spark, sf):
     g = R.gated_factors(sm, imp, 5)
     return (g.select("client_id", F.posexplode("top_risk_factors").alias("pos", "f"))
             .select("client_id", "pos", "f.factor", "f.importance", "f.value", "f.description"))
+
+
+@query("member_risk_summary")
+def member_risk_summary(spark, sf):
+    """Summary over the members' scored attrition probabilities (one
+    scoring run, so every member's latest row)."""
+    from staywise.functions.risk import risk_level
+    from staywise.operators.summary import risk_summary
+    s = (score_members(spark, sf).select("id", "attrition_probability").distinct()
+         .withColumn("risk_level", risk_level("attrition_probability")))
+    return risk_summary(s, "attrition_probability", prefix="members")
