@@ -56,3 +56,18 @@ def factorize(df: DataFrame, col: str, out: str, order_by: str = "id", fill: str
     first = d.groupBy(key).agg(F.min(order_by).alias("__first"))
     codes = first.select(key, (F.dense_rank().over(Window.orderBy("__first", key)) - 1).alias(out))
     return d.join(codes, key, "left").drop(key)
+
+
+def fit_vocabularies(df: DataFrame, cols: dict[str, str | None]) -> DataFrame:
+    """E6 fit for several columns in one pass: (column, value) pairs are
+    exploded and de-duplicated with one shuffle, then coded per column.  The
+    per-column encoders all read this one table, so the input is scanned
+    once for all vocabularies (the exchange below the distinct is reused)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _value(c, fill).alias("value"))
+                                for c, fill in cols.items()]))
+    d = df.select(pairs.alias("p")).select("p.*").distinct()
+    return d.withColumn("code", F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1)
+
+
+def vocabulary(vocabs: DataFrame, col: str) -> DataFrame:
+    return vocabs.filter(F.col("column") == F.lit(col)).select("value", "code")

@@ -16,7 +16,7 @@ from staywise.functions.dates import (days_between, month_or, parse_date, quarte
                                       ts_literal, weekday_or)
 from staywise.functions.risk import tenure_bucket
 from staywise.functions.values import clip, first_contains, map_value, parse_boolean, to_number, yes_flag
-from staywise.operators.encode import factorize, fit_vocabulary, label_encode
+from staywise.operators.encode import factorize, fit_vocabularies, fit_vocabulary, label_encode, vocabulary
 
 # Encoding profiles (trap T2: the same names are encoded
 # differently by different parts of the system; each profile is kept whole).
@@ -54,13 +54,17 @@ FORM_DATES = ("notice_date", "last_comm_date", "last_checkin_date", "tm_start_da
               "client_start_date")
 
 
-def form_features(terms: DataFrame) -> DataFrame:
-    """The ten computed features of a termination row (id kept).  Dates are
-    parsed once in a first projection; conditional expressions are not
+def form_features(terms: DataFrame, keep: Sequence = ()) -> DataFrame:
+    """The ten computed features of a termination row (id kept, plus the
+    ``keep`` Columns carried through the same projection).  Dates are parsed
+    once in a first projection; conditional expressions are not
     subexpression-eliminated, so parsing inside each difference would repeat it."""
+    kept = [F.col(k) if isinstance(k, str) else k for k in keep]
+    names = [k if isinstance(k, str) else f"_keep{i}" for i, k in enumerate(keep)]
     dated = terms.select("id", "health_text", "check_in_cadence", "will_have_replacement",
                          "replacement_timeframe", "pip_implemented", "relief_offered",
-                         *[_as_date(terms, c).alias(c) for c in FORM_DATES])
+                         *[_as_date(terms, c).alias(c) for c in FORM_DATES],
+                         *[c.alias(f"__k_{n}") for c, n in zip(kept, names)])
     notice, comm, checkin = F.col("notice_date"), F.col("last_comm_date"), F.col("last_checkin_date")
     tm_start, tm_last, c_start = F.col("tm_start_date"), F.col("tm_last_date"), F.col("client_start_date")
     return dated.select(
@@ -76,6 +80,7 @@ def form_features(terms: DataFrame) -> DataFrame:
         first_contains("replacement_timeframe", FORM_URGENCY, 0).alias("replacement_urgency"),
         parse_boolean("pip_implemented").alias("had_pip"),
         parse_boolean("relief_offered").alias("offered_discount"),
+        *[F.col(f"__k_{n}").alias(n) for n in names],
     )
 
 
@@ -86,7 +91,8 @@ def form_features_v2(labeled: DataFrame, keep: int = 13, label_col: str = "churn
     df = labeled.select(
         "id", label_col, "termination_reason", "geo_location", "replacement_timeframe",
         (1 - map_value("will_have_replacement", V2_REPLACEMENT, 0.5)).alias("no_replacement"),
-        clip(to_number("seat_count"), 0.0, 50.0, 1.0).alias("current_seat_count"),
+        clip(to_number("seat_count") if dict(labeled.dtypes)["seat_count"] == "string"
+             else F.col("seat_count").cast("double"), 0.0, 50.0, 1.0).alias("current_seat_count"),
         F.coalesce(to_number("health_text"), F.lit(3.0)).alias("health_score"),
         map_value("check_in_cadence", V2_CADENCE, 2).alias("checkin_frequency"),
         clip(days_between("last_checkin_date", notice), 0, 180, 14).alias("days_since_checkin"),
@@ -96,11 +102,13 @@ def form_features_v2(labeled: DataFrame, keep: int = 13, label_col: str = "churn
         yes_flag("pip_implemented").alias("had_pip"),
         yes_flag("relief_offered").alias("offered_discount"),
     )
-    for src, out in (("termination_reason", "termination_type_encoded"), ("geo_location", "geo_encoded"),
-                     ("replacement_timeframe", "replacement_urgency")):
-        if keep == 9 and out in ("geo_encoded", "replacement_urgency"):
-            continue
-        df = label_encode(df, src, fit_vocabulary(df, src, "Unknown"), out, "Unknown")
+    enc = [(src, out) for src, out in (("termination_reason", "termination_type_encoded"),
+                                       ("geo_location", "geo_encoded"),
+                                       ("replacement_timeframe", "replacement_urgency"))
+           if not (keep == 9 and out in ("geo_encoded", "replacement_urgency"))]
+    vocabs = fit_vocabularies(df, {src: "Unknown" for src, _ in enc})
+    for src, out in enc:
+        df = label_encode(df, src, vocabulary(vocabs, src), out, "Unknown")
     cols = FORM_V2_13 if keep == 13 else FORM_V2_9
     return df.select("id", *cols, label_col)
 
@@ -122,8 +130,10 @@ def client_features(clients: DataFrame, as_of: str, industry_vocab: DataFrame |
         quarter_or(start).alias("start_quarter"),
         clip(days_between(start, ref), 0, 3650, 0).alias("days_since_start"),
     )
-    iv = industry_vocab if industry_vocab is not None else fit_vocabulary(df, "industry_type", "OTHER")
-    lv = location_vocab if location_vocab is not None else fit_vocabulary(df, "client_location", "Unknown")
+    if industry_vocab is None or location_vocab is None:
+        vocabs = fit_vocabularies(df, {"industry_type": "OTHER", "client_location": "Unknown"})
+    iv = industry_vocab if industry_vocab is not None else vocabulary(vocabs, "industry_type")
+    lv = location_vocab if location_vocab is not None else vocabulary(vocabs, "client_location")
     stored = industry_vocab is not None
     df = label_encode(df, "industry_type", iv, "industry_encoded", "OTHER", unseen="OTHER" if stored else None)
     df = label_encode(df, "client_location", lv, "location_encoded", "Unknown", unseen="Unknown" if stored else None)
@@ -185,15 +195,29 @@ def simple_member_features(members: DataFrame, as_of: str) -> DataFrame:
     return df.select("id", "tenure_months", "role_encoded", "days_since_activity", "has_client", "is_new_employee")
 
 
-def training_data(terms: DataFrame, feats: DataFrame) -> DataFrame:
-    """Terminations joined to their computed features, rows with a
-    notice date only, label ``coalesce(client_lost, 0)`` (parsed boolean)."""
-    t = terms.filter(F.col("notice_date").isNotNull()).select(
-        "id", "client_name", "notice_date", "termination_reason", "geo_location",
-        F.coalesce(parse_boolean("client_lost"), F.lit(0)).alias("client_lost"),
-        F.col("seat_count").alias("current_seat_count"),
-        F.lit(None).cast("string").alias("termination_type"))
-    return t.join(feats.withColumnRenamed("termination_id", "id"), "id", "inner")
+def training_data(terms: DataFrame, feats: DataFrame | None = None) -> DataFrame:
+    """Terminations with their computed features, rows with a notice
+    date only, label ``coalesce(client_lost, 0)`` (parsed boolean).
+
+    Without a stored feature table the features are computed in the same
+    projection as the carried columns - the join of a table with its own
+    per-row projection would compute the input twice.  With a stored table
+    (``feats``, e.g. the incremental table of L2) it is an inner join on id."""
+    carried = [F.col("client_name"), F.col("notice_date"), F.col("termination_reason"), F.col("geo_location"),
+               F.coalesce(parse_boolean("client_lost"), F.lit(0)).alias("client_lost"),
+               F.col("seat_count").alias("current_seat_count"),
+               F.lit(None).cast("string").alias("termination_type")]
+    names = ["client_name", "notice_date", "termination_reason", "geo_location", "client_lost",
+             "current_seat_count", "termination_type"]
+    t = terms.filter(F.col("notice_date").isNotNull())
+    if feats is None:
+        f = form_features(t, keep=[c.alias(n) for c, n in zip(carried, names)])
+        f = f.withColumnRenamed("termination_id", "id")
+        for i, n in enumerate(names):
+            f = f.withColumnRenamed(f"_keep{i}", n)
+        return f.select("id", *names, *[c for c in f.columns if c not in names and c != "id"])
+    base = t.select("id", *[c.alias(n) for c, n in zip(carried, names)])
+    return base.join(feats.withColumnRenamed("termination_id", "id"), "id", "inner")
 
 
 def pending_features(terms: DataFrame, feats: DataFrame) -> DataFrame:
@@ -208,13 +232,18 @@ def training_matrix(train: DataFrame) -> DataFrame:
     num = ("days_since_communication", "days_since_checkin", "health_score", "checkin_frequency_encoded",
            "no_replacement", "replacement_urgency", "had_pip", "offered_discount", "current_seat_count",
            "client_tenure_at_termination", "client_lost")
+    dtypes = dict(train.dtypes)
+
+    def numeric(c):  # text goes through the coercing parser; numbers are only widened
+        return to_number(c) if dtypes[c] == "string" else F.col(c).cast("double")
     df = train.select("id", "client_name", "notice_date", "termination_type", "geo_location",
-                      *[F.coalesce(to_number(c), F.lit(0.0)).alias(c) for c in num])
+                      *[F.coalesce(numeric(c), F.lit(0.0)).alias(c) for c in num])
     df = (df.withColumn("days_since_communication", clip("days_since_communication", 0.0, 999.0))
             .withColumn("days_since_checkin", clip("days_since_checkin", 0.0, 999.0)))
-    df = label_encode(df, "termination_type", fit_vocabulary(df, "termination_type", "Unknown"),
+    vocabs = fit_vocabularies(df, {"termination_type": "Unknown", "geo_location": "Unknown"})
+    df = label_encode(df, "termination_type", vocabulary(vocabs, "termination_type"),
                       "termination_type_encoded", "Unknown")
-    df = label_encode(df, "geo_location", fit_vocabulary(df, "geo_location", "Unknown"), "geo_encoded", "Unknown")
+    df = label_encode(df, "geo_location", vocabulary(vocabs, "geo_location"), "geo_encoded", "Unknown")
     return df.select("id", "client_name", "notice_date", *TRAINING_MATRIX_12, "client_lost")
 
 

@@ -247,7 +247,7 @@ def simple_member_features(spark, sf):
 def training_data(spark, sf):
     """Terminations joined to their computed features."""
     t = A.terminations(spark, sf)
-    return FT.training_data(t, FT.form_features(t))
+    return FT.training_data(t)
 
 
 @query("pending_features", with_views(f"""
@@ -287,7 +287,7 @@ JOIN vg ON vg.v = coalesce(d.geo_location, 'Unknown')"""
 def training_matrix_12(spark, sf):
     """J6."""
     t = A.terminations(spark, sf)
-    return FT.training_matrix(FT.training_data(t, FT.form_features(t)))
+    return FT.training_matrix(FT.training_data(t))
 
 
 @query("scoring_matrix_12", with_views(f"""
@@ -318,7 +318,7 @@ def scoring_matrix_12(spark, sf):
     """Active clients, features from their last termination row or defaults."""
     t = A.terminations(spark, sf)
     active = I.scan_clients(A.clients(spark, sf), active_only=True)
-    return FT.scoring_matrix(active, FT.training_data(t, FT.form_features(t)))
+    return FT.scoring_matrix(active, FT.training_data(t))
 
 
 @query("scan_clients", with_views("""

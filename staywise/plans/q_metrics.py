@@ -204,7 +204,7 @@ TM_EXTRA = {"ff": FORM_FEATURES_SQL, "td": TRAINING_DATA_SQL,
 def standardize(spark, sf):
     """K3: population-std scaling of the 12 training features."""
     t = A.terminations(spark, sf)
-    tm = FT.training_matrix(FT.training_data(t, FT.form_features(t)))
+    tm = FT.training_matrix(FT.training_data(t))
     return M.standardize(tm, FT.TRAINING_MATRIX_12, ("id",), 6)
 
 
@@ -223,7 +223,7 @@ FROM tm""")
 def describe_features(spark, sf):
     """D16 over the 12-column training matrix."""
     t = A.terminations(spark, sf)
-    return M.describe(FT.training_matrix(FT.training_data(t, FT.form_features(t))), FT.TRAINING_MATRIX_12)
+    return M.describe(FT.training_matrix(FT.training_data(t)), FT.TRAINING_MATRIX_12)
 
 
 @query("compare_models", with_views("""
@@ -340,7 +340,7 @@ SYNC_RULES = [
 def sync_factors(spark, sf):
     """I3 over every termination row with features."""
     t = A.terminations(spark, sf)
-    df = R.sync_factors(FT.training_data(t, FT.form_features(t)), 5)
+    df = R.sync_factors(FT.training_data(t), 5)
     return R.explode_items(df, "id", "top_risk_factors")
 
 

@@ -19,7 +19,7 @@ QUERY_PARAMS = {"maxIter": 10, "maxDepth": 3}
 
 def churn_training(spark, sf):
     t = A.terminations(spark, sf)
-    tm = FT.training_matrix(FT.training_data(t, FT.form_features(t)))
+    tm = FT.training_matrix(FT.training_data(t))
     return tm.withColumn("client_lost", F.col("client_lost").cast("int"))
 
 
@@ -82,7 +82,7 @@ def score_clients(spark, sf):
     level -> serving factors."""
     active = I.scan_clients(A.clients(spark, sf), active_only=True)
     t = A.terminations(spark, sf)
-    sm = FT.scoring_matrix(active, FT.training_data(t, FT.form_features(t)))
+    sm = FT.scoring_matrix(active, FT.training_data(t))
     scored = MO.score(sm, churn_model(spark, sf), ["client_id", "client_name", "health_score",
                                                    "days_since_communication", "days_since_checkin"])
     return scored
@@ -144,7 +144,7 @@ def gated_factors(spark, sf):
     imp = MO.feature_importances(spark, m, FT.TRAINING_MATRIX_12)
     active = I.scan_clients(A.clients(spark, sf), active_only=True)
     t = A.terminations(spark, sf)
-    sm = FT.scoring_matrix(active, FT.training_data(t, FT.form_features(t)))
+    sm = FT.scoring_matrix(active, FT.training_data(t))
     g = R.gated_factors(sm, imp, 5)
     return (g.select("client_id", F.posexplode("top_risk_factors").alias("pos", "f"))
             .select("client_id", "pos", "f.factor", "f.importance", "f.value", "f.description"))

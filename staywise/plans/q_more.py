@@ -75,7 +75,7 @@ def align_features(spark, sf):
     """Scoring rows in the model's column order, missing columns as 0."""
     active = I.scan_clients(A.clients(spark, sf), active_only=True)
     t = A.terminations(spark, sf)
-    sm = FT.scoring_matrix(active, FT.training_data(t, FT.form_features(t)))
+    sm = FT.scoring_matrix(active, FT.training_data(t))
     return FT.align_features(sm, ALIGNED, keep=("client_id",))
 
 
@@ -113,6 +113,6 @@ SELECT id, client_name, notice_date, days_since_communication, days_since_checki
 def last_record_per_client(spark, sf):
     """E5: each client's last termination row (order: notice date, then id)."""
     t = A.terminations(spark, sf)
-    td = FT.training_data(t, FT.form_features(t)).withColumn("name_key", F.lower("client_name"))
+    td = FT.training_data(t).withColumn("name_key", F.lower("client_name"))
     last = H.latest(td.filter(F.col("name_key").isNotNull()), "name_key", ("notice_date", "id"))
     return last.select("id", "client_name", "notice_date", "days_since_communication", "days_since_checkin")
