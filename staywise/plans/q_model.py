@@ -18,9 +18,11 @@ QUERY_PARAMS = {"maxIter": 10, "maxDepth": 3}
 
 
 def churn_training(spark, sf):
+    """The training matrix, materialised once: every fit iterates over it."""
+    from staywise.session import materialize
     t = A.terminations(spark, sf)
     tm = FT.training_matrix(FT.training_data(t))
-    return tm.withColumn("client_lost", F.col("client_lost").cast("int"))
+    return materialize(tm.withColumn("client_lost", F.col("client_lost").cast("int")))
 
 
 def split(df, label):

@@ -70,3 +70,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut the lineage of a DataFrame that feeds many passes (model fits,
+    cross-validation): a reliable checkpoint written to the shared
+    ``spark.checkpoint.dir``, so a lost executor re-reads the written blocks
+    instead of recomputing the whole input plan (never ``localCheckpoint``)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
