@@ -200,3 +200,14 @@ def load(root: str, version: str = "latest"):
         version = row["v"]
     meta = json.loads(metas.filter(F.col("version") == version).first()["meta"])
     return PipelineModel.load(f"{root.rstrip('/')}/{version}/model"), meta, version
+
+
+def with_scale_pos_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """K10 fallback (the reference's own path when the oversampling library
+    is not installed, as here): positives weighted by neg / max(pos, 1),
+    negatives by 1.  The two class counts are one aggregate row."""
+    c = df.agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
+    c = c.select((F.col("_neg") / F.greatest(F.col("_pos"), F.lit(1))).alias("_spw"), F.lit(1).alias("_k"))
+    return (df.withColumn("_k", F.lit(1)).join(F.broadcast(c), "_k")
+            .withColumn(out, F.when(F.col(label) == 1, F.col("_spw")).otherwise(F.lit(1.0)))
+            .drop("_k", "_spw"))

@@ -161,3 +161,16 @@ def member_risk_summary(spark, sf):
     s = (score_members(spark, sf).select("id", "attrition_probability").distinct()
          .withColumn("risk_level", risk_level("attrition_probability")))
     return risk_summary(s, "attrition_probability", prefix="members")
+
+
+@query("weighted_fit")
+def weighted_fit(spark, sf):
+    """Imbalance handled by positive-class weights (scale_pos_weight),
+    then held-out metrics of the weighted model."""
+    tm = churn_training(spark, sf)
+    train, test = split(tm, "client_lost")
+    w = MO.with_scale_pos_weight(train, "client_lost")
+    m = MO.fit_boosted(w, FT.TRAINING_MATRIX_12, "client_lost", QUERY_PARAMS, weight_col="weight")
+    s = MO.positive_probability(m.transform(test.withColumn("client_lost", F.col("client_lost").cast("double"))))
+    s = s.select("id", "p", F.col("client_lost").cast("int").alias("y"))
+    return M._one_row_join(M.metrics_from_confusion(M.confusion(s, 0.5)), M.auc(s))

@@ -81,3 +81,11 @@ def test_stream_confirm_late_row(spark, tmp_path):
     got = sorted(((r.prediction_day.day, r.confirmed_level, r.late) for r in out.collect()),
                  key=lambda t: (t[0], t[2]))
     assert got == [(1, "low", False), (2, "high", False), (2, None, True), (3, "critical", False)]
+
+
+def test_scale_pos_weight(spark):
+    df = spark.createDataFrame([(i, 1 if i < 3 else 0) for i in range(12)], "id long, y int")
+    w = {r.id: r.weight for r in MO.with_scale_pos_weight(df, "y").collect()}
+    assert w[0] == 3.0 and w[5] == 1.0
+    # balanced: positive weight mass equals negative mass
+    assert sum(v for k, v in w.items() if k < 3) == sum(v for k, v in w.items() if k >= 3)
