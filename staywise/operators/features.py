@@ -7,9 +7,9 @@ stage per partition.  ``as_of`` is always a parameter, never the clock.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.dates import (days_between, month_or, parse_date, quarter_or, tenure_months,
@@ -54,17 +54,22 @@ FORM_DATES = ("notice_date", "last_comm_date", "last_checkin_date", "tm_start_da
               "client_start_date")
 
 
-def form_features(terms: DataFrame, keep: Sequence = ()) -> DataFrame:
+FORM_FEATURE_COLUMNS = ("days_since_communication", "days_since_checkin", "team_member_tenure_days",
+                        "client_tenure_at_termination", "health_score", "checkin_frequency_encoded",
+                        "no_replacement", "replacement_urgency", "had_pip", "offered_discount")
+
+
+def form_features(terms: DataFrame, keep: Mapping[str, Column] | None = None) -> DataFrame:
     """The ten computed features of a termination row (id kept, plus the
-    ``keep`` Columns carried through the same projection).  Dates are parsed
-    once in a first projection; conditional expressions are not
-    subexpression-eliminated, so parsing inside each difference would repeat it."""
-    kept = [F.col(k) if isinstance(k, str) else k for k in keep]
-    names = [k if isinstance(k, str) else f"_keep{i}" for i, k in enumerate(keep)]
+    ``keep`` Columns, by output name, carried through the same projection).
+    Dates are parsed once in a first projection; conditional expressions are
+    not subexpression-eliminated, so parsing inside each difference would
+    repeat it."""
+    keep = dict(keep or {})
     dated = terms.select("id", "health_text", "check_in_cadence", "will_have_replacement",
                          "replacement_timeframe", "pip_implemented", "relief_offered",
                          *[_as_date(terms, c).alias(c) for c in FORM_DATES],
-                         *[c.alias(f"__k_{n}") for c, n in zip(kept, names)])
+                         *[c.alias(f"__k_{n}") for n, c in keep.items()])
     notice, comm, checkin = F.col("notice_date"), F.col("last_comm_date"), F.col("last_checkin_date")
     tm_start, tm_last, c_start = F.col("tm_start_date"), F.col("tm_last_date"), F.col("client_start_date")
     return dated.select(
@@ -80,7 +85,7 @@ def form_features(terms: DataFrame, keep: Sequence = ()) -> DataFrame:
         first_contains("replacement_timeframe", FORM_URGENCY, 0).alias("replacement_urgency"),
         parse_boolean("pip_implemented").alias("had_pip"),
         parse_boolean("relief_offered").alias("offered_discount"),
-        *[F.col(f"__k_{n}").alias(n) for n in names],
+        *[F.col(f"__k_{n}").alias(n) for n in keep],
     )
 
 
@@ -203,20 +208,17 @@ def training_data(terms: DataFrame, feats: DataFrame | None = None) -> DataFrame
     projection as the carried columns - the join of a table with its own
     per-row projection would compute the input twice.  With a stored table
     (``feats``, e.g. the incremental table of L2) it is an inner join on id."""
-    carried = [F.col("client_name"), F.col("notice_date"), F.col("termination_reason"), F.col("geo_location"),
-               F.coalesce(parse_boolean("client_lost"), F.lit(0)).alias("client_lost"),
-               F.col("seat_count").alias("current_seat_count"),
-               F.lit(None).cast("string").alias("termination_type")]
-    names = ["client_name", "notice_date", "termination_reason", "geo_location", "client_lost",
-             "current_seat_count", "termination_type"]
+    carried = {
+        "client_name": F.col("client_name"), "notice_date": F.col("notice_date"),
+        "termination_reason": F.col("termination_reason"), "geo_location": F.col("geo_location"),
+        "client_lost": F.coalesce(parse_boolean("client_lost"), F.lit(0)),
+        "current_seat_count": F.col("seat_count"), "termination_type": F.lit(None).cast("string"),
+    }
     t = terms.filter(F.col("notice_date").isNotNull())
     if feats is None:
-        f = form_features(t, keep=[c.alias(n) for c, n in zip(carried, names)])
-        f = f.withColumnRenamed("termination_id", "id")
-        for i, n in enumerate(names):
-            f = f.withColumnRenamed(f"_keep{i}", n)
-        return f.select("id", *names, *[c for c in f.columns if c not in names and c != "id"])
-    base = t.select("id", *[c.alias(n) for c, n in zip(carried, names)])
+        f = form_features(t, carried).withColumnRenamed("termination_id", "id")
+        return f.select("id", *carried, *FORM_FEATURE_COLUMNS)
+    base = t.select("id", *[c.alias(n) for n, c in carried.items()])
     return base.join(feats.withColumnRenamed("termination_id", "id"), "id", "inner")
 
 

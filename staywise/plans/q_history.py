@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from staywise.operators import history as H
 from staywise.operators import summary as S
-from staywise.plans.oracle_views import level_sql, with_recursive_views, with_views
+from staywise.plans.oracle_views import with_recursive_views, with_views
 from staywise.plans.registry import query
 from staywise.sources import adapters as A
 
