@@ -97,6 +97,15 @@ def confirm_levels(daily: DataFrame, key: str, day_col: str = "prediction_day",
     return daily.withColumn(out_col, confirmed)
 
 
+def confirm_step(level: Column, previous_confirmed: Column) -> Column:
+    """One application of the two-strike rule against a known previous
+    confirmed level (null = no previous prediction)."""
+    return (F.when(previous_confirmed.isNull(), level)
+            .when((level == "critical") & ~previous_confirmed.isin("critical", "high"), F.lit("high"))
+            .when((level == "high") & (previous_confirmed == "low"), F.lit("medium"))
+            .otherwise(level))
+
+
 def previous_level(new: DataFrame, hist: DataFrame, key: str, batch_day: str,
                    day_col: str = "prediction_day", level_col: str = "risk_level") -> DataFrame:
     """For each row of the batch scored on ``batch_day``, the latest history
