@@ -15,33 +15,61 @@ from staywise.operators.history import upsert_daily
 
 
 class DailyStore:
+    """One row per entity per day, versioned per day.
+
+    Layout: ``<root>/prediction_day=<day>/v=<version>/`` plus a manifest
+    table ``<root>/_manifest`` of (prediction_day, version) rows.  An upsert
+    rewrites only the days present in the new batch: it reads the current
+    version of those days, merges (later row wins), writes a new version
+    folder per affected day, and appends the manifest rows after the data is
+    complete.  Readers take the greatest version of every day, so a reader
+    never sees a half-written day and the path being read is never
+    overwritten.  Versions must sort in write order (zero-padded batch ids or
+    time stamps)."""
+
     def __init__(self, spark: SparkSession, root: str, key: str = "client_id",
-                 ts_col: str = "prediction_date", tiebreak: str = "id"):
-        self.spark, self.root, self.key, self.ts, self.tb = spark, root.rstrip("/"), key, ts_col, tiebreak
+                 ts_col: str = "prediction_date", tiebreak: str = "id", day_col: str = "prediction_day"):
+        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+        self.ts, self.tb, self.day = ts_col, tiebreak, day_col
 
-    def versions(self) -> list[str]:
+    def _manifest(self) -> DataFrame | None:
         try:
-            df = self.spark.read.parquet(f"{self.root}/_versions")
-        except Exception:
-            return []
-        return sorted(r["version"] for r in df.collect())
+            return self.spark.read.parquet(f"{self.root}/_manifest")
+        except Exception:  # no upsert yet
+            return None
 
-    def current(self) -> DataFrame | None:
-        vs = self.versions()
-        if not vs:
+    def versions(self) -> list[str]:
+        m = self._manifest()
+        return [] if m is None else sorted(r["version"] for r in m.select("version").distinct().collect())
+
+    def _current_paths(self, days: list | None = None) -> list[str]:
+        m = self._manifest()
+        if m is None:
+            return []
+        if days is not None:
+            m = m.filter(F.col(self.day).isin(days))
+        # one row per stored day: bounded by the number of days of history
+        cur = m.groupBy(self.day).agg(F.max("version").alias("version")).collect()
+        return [f"{self.root}/{self.day}={r[self.day]}/v={r['version']}" for r in cur]
+
+    def current(self, days: list | None = None) -> DataFrame | None:
+        paths = self._current_paths(days)
+        if not paths:
             return None
-        return self.spark.read.parquet(f"{self.root}/v={vs[-1]}")
-
-    def upsert(self, new: DataFrame, version: str) -> str:
-        old = self.current()
-        merged = upsert_daily(new, old, self.key, self.ts, self.tb) if old is not None else \
-            upsert_daily(new, new.limit(0), self.key, self.ts, self.tb)
-        path = f"{self.root}/v={version}"
-        merged.write.mode("overwrite").partitionBy("prediction_day").parquet(path)
-        # the version list is appended only after the data is complete
-        self.spark.createDataFrame([(version,)], "version string").write.mode("append").parquet(
-            f"{self.root}/_versions")
-        return path
+        return self.spark.read.option("basePath", self.root).parquet(*paths).drop("v")
+
+    def upsert(self, new: DataFrame, version: str) -> list:
+        new = new if self.day in new.columns else new.withColumn(self.day, F.to_date(F.col(self.ts)))
+        # the days of one batch (a handful) decide which stored days are touched
+        days = [r[0] for r in new.select(self.day).distinct().collect()]
+        old = self.current(days)
+        merged = upsert_daily(new, old, self.key, self.ts, self.tb, self.day) if old is not None else \
+            upsert_daily(new, new.limit(0), self.key, self.ts, self.tb, self.day)
+        (merged.withColumn("v", F.lit(version)).write.mode("append")
+         .partitionBy(self.day, "v").parquet(self.root))
+        (self.spark.createDataFrame([(d, version) for d in days], f"{self.day} date, version string")
+         .coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest"))
+        return days
 
 
 def export_all(datasets: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, int]:

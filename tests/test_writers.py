@@ -22,9 +22,12 @@ def test_daily_store_versions(spark, tmp_path):
     assert s.versions() == ["00000001", "00000002"]
     cur = sorted((r.id, str(r.prediction_day)) for r in s.current().collect())
     assert cur == [(2, "2024-01-05"), (3, "2024-01-06")]
-    # the previous version is untouched
-    old = spark.read.parquet(str(tmp_path / "store" / "v=00000001")).collect()
+    # the previous version of the touched day is untouched; untouched days are not rewritten
+    old = spark.read.parquet(str(tmp_path / "store" / "prediction_day=2024-01-05" / "v=00000001")).collect()
     assert [r.id for r in old] == [1]
+    s.upsert(_preds(spark, [(4, 8, dt.datetime(2024, 1, 7, 9), 0.4)]), "00000003")
+    assert not (tmp_path / "store" / "prediction_day=2024-01-05" / "v=00000003").exists()
+    assert sorted(r.id for r in s.current().collect()) == [2, 3, 4]
 
 
 def test_export_and_latest_file(spark, tmp_path):
