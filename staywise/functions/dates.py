@@ -21,6 +21,14 @@ def to_ts(x) -> Column:
     return _c(x).cast("timestamp")
 
 
+def ntz_micros(x) -> Column:
+    """Wall-clock microseconds since 1970-01-01 of a date / timestamp_ntz value,
+    independent of the session time zone (no zone conversion, so no DST
+    shifts: elapsed days are whole for midnight values in every zone)."""
+    return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")),
+                            _c(x).cast("timestamp_ntz"))
+
+
 def ts_literal(text: str) -> Column:
     """A timestamp literal comparable with the timestamp_ntz columns of the input."""
     return F.to_timestamp_ntz(F.lit(text))
@@ -37,7 +45,7 @@ def parse_date(x) -> Column:
 def days_between(start, end) -> Column:
     """Whole days from ``start`` to ``end``: floor of elapsed time / 24h, may be
     negative, null when either side is null."""
-    return F.floor((F.unix_micros(to_ts(end)) - F.unix_micros(to_ts(start))) / F.lit(MICROS_PER_DAY))
+    return F.floor((ntz_micros(end) - ntz_micros(start)) / F.lit(MICROS_PER_DAY))
 
 
 def tenure_months(days, default: int = 0) -> Column:

@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from staywise.functions.dates import ntz_micros
 from staywise.functions.risk import LEVELS, STRICT_BANDS, risk_level, risk_score
 
 
@@ -194,8 +195,7 @@ def runs_from_predictions(preds: DataFrame, ts_col: str = "prediction_date",
                  F.count_if(lv == "low").alias("low_risk_count"),
                  F.min(ts_col).alias("start_time"), F.max(ts_col).alias("end_time"))
             .withColumn("duration_seconds",
-                        F.floor((F.unix_micros(F.col("end_time").cast("timestamp"))
-                                 - F.unix_micros(F.col("start_time").cast("timestamp"))) / 1_000_000)))
+                        F.floor((ntz_micros("end_time") - ntz_micros("start_time")) / 1_000_000)))
 
 
 def embed_client(members: DataFrame, clients: DataFrame) -> DataFrame:

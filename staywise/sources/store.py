@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staywise.functions.dates import ntz_micros
 from staywise.operators.history import upsert_daily
 
 
@@ -115,6 +116,6 @@ def run_log(preds: DataFrame, model_name: str, model_version: str, start: str, e
         (F.col("total_predictions") if ok else F.lit(0)).alias("successful_predictions"),
         F.lit(0 if ok else 1).alias("failed_predictions"),
         F.to_timestamp_ntz(F.lit(start)).alias("start_time"), F.to_timestamp_ntz(F.lit(end)).alias("end_time"),
-        F.floor((F.unix_micros(F.to_timestamp(F.lit(end))) - F.unix_micros(F.to_timestamp(F.lit(start))))
+        F.floor((ntz_micros(F.to_timestamp_ntz(F.lit(end))) - ntz_micros(F.to_timestamp_ntz(F.lit(start))))
                 / 1_000_000).alias("duration_seconds"),
         F.lit("completed" if ok else "failed").alias("status"), F.lit(error).cast("string").alias("error_message"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from staywise.functions.dates import ntz_micros
 from staywise.operators import features as FT
 from staywise.operators import history as H
 
@@ -77,14 +78,16 @@ def stream_feedback(fb_stream: DataFrame, days: int = 90, slide: str = "1 day",
     """L3: feedback precision over sliding windows of ``days`` days; the
     watermark bounds the state kept for late feedback."""
     ch = F.col("actually_churned")
-    # event time must be a session-zone timestamp for the watermark
-    fb_stream = fb_stream.withColumn("feedback_date", F.col("feedback_date").cast("timestamp"))
+    # the watermark needs a zoned timestamp: use the instant whose UTC clock
+    # equals the wall clock, so windows align to wall-clock days in any zone
+    fb_stream = fb_stream.withColumn("feedback_date", F.timestamp_micros(ntz_micros("feedback_date")))
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
     return (fb_stream.withWatermark("feedback_date", delay)
             .groupBy(F.window("feedback_date", f"{days} days", slide).alias("w"))
             .agg(F.count(F.lit(1)).alias("total_feedback"),
                  F.sum(F.when(ch, 1).otherwise(0)).alias("true_positives"))
-            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+            .select(F.timestamp_add("MICROSECOND", F.unix_micros("w.start"), epoch).alias("window_start"),
+                    F.timestamp_add("MICROSECOND", F.unix_micros("w.end"), epoch).alias("window_end"),
                     "total_feedback", "true_positives",
                     (F.col("true_positives") / F.col("total_feedback")).alias("actual_precision")))
 

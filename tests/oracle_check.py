@@ -81,6 +81,8 @@ def main():
     from staywise.session import get_session
     import __spark_entry__ as E
     spark = get_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("ORACLE_TZ"):  # results must not depend on the session time zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_TZ"])
     qs, orc = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = []
