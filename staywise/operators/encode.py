@@ -34,11 +34,10 @@ def label_encode(df: DataFrame, col: str, vocab: DataFrame, out: str, fill: str
     v = vocab.select(F.col("value").alias(key), F.col("code").alias(out))
     joined = df.withColumn(key, _value(col, fill)).join(v, key, "left")
     if unseen is not None:
-        uk, uc = f"__{out}_uk", f"__{out}_u"
-        # at most one row (vocabulary values are distinct): a proven-size broadcast
-        u = vocab.filter(F.col("value") == F.lit(unseen)).select(F.col("value").alias(uk), F.col("code").alias(uc))
-        joined = (joined.withColumn(uk, F.lit(unseen)).join(F.broadcast(u), uk, "left")
-                  .withColumn(out, F.coalesce(F.col(out), F.col(uc))).drop(uk, uc))
+        # the unseen-value code is one scalar of the stored vocabulary
+        row = vocab.filter(F.col("value") == F.lit(unseen)).select("code").first()
+        if row is not None:
+            joined = joined.withColumn(out, F.coalesce(F.col(out), F.lit(row["code"])))
     if reserved_code is not None:
         joined = joined.withColumn(out, F.coalesce(F.col(out), F.lit(reserved_code)))
     return joined.drop(key)

@@ -212,8 +212,10 @@ def training_data(terms: DataFrame, feats: DataFrame | None = None) -> DataFrame
         "client_name": F.col("client_name"), "notice_date": F.col("notice_date"),
         "termination_reason": F.col("termination_reason"), "geo_location": F.col("geo_location"),
         "client_lost": F.coalesce(parse_boolean("client_lost"), F.lit(0)),
-        "current_seat_count": F.col("seat_count"), "termination_type": F.lit(None).cast("string"),
+        "current_seat_count": F.col("seat_count"),
     }
+    if "termination_type" in terms.columns:  # not part of every form export
+        carried["termination_type"] = F.col("termination_type")
     t = terms.filter(F.col("notice_date").isNotNull())
     if feats is None:
         f = form_features(t, carried).withColumnRenamed("termination_id", "id")
@@ -238,13 +240,18 @@ def training_matrix(train: DataFrame) -> DataFrame:
 
     def numeric(c):  # text goes through the coercing parser; numbers are only widened
         return to_number(c) if dtypes[c] == "string" else F.col(c).cast("double")
-    df = train.select("id", "client_name", "notice_date", "termination_type", "geo_location",
+    has_type = "termination_type" in train.columns
+    df = train.select("id", "client_name", "notice_date", "geo_location",
+                      *(["termination_type"] if has_type else []),
                       *[F.coalesce(numeric(c), F.lit(0.0)).alias(c) for c in num])
     df = (df.withColumn("days_since_communication", clip("days_since_communication", 0.0, 999.0))
             .withColumn("days_since_checkin", clip("days_since_checkin", 0.0, 999.0)))
-    vocabs = fit_vocabularies(df, {"termination_type": "Unknown", "geo_location": "Unknown"})
-    df = label_encode(df, "termination_type", vocabulary(vocabs, "termination_type"),
-                      "termination_type_encoded", "Unknown")
+    vocabs = fit_vocabularies(df, {"geo_location": "Unknown", **({"termination_type": "Unknown"} if has_type else {})})
+    if has_type:
+        df = label_encode(df, "termination_type", vocabulary(vocabs, "termination_type"),
+                          "termination_type_encoded", "Unknown")
+    else:  # no termination type in the input: encoded as 0, as the training script does
+        df = df.withColumn("termination_type_encoded", F.lit(0))
     df = label_encode(df, "geo_location", vocabulary(vocabs, "geo_location"), "geo_encoded", "Unknown")
     return df.select("id", "client_name", "notice_date", *TRAINING_MATRIX_12, "client_lost")
 

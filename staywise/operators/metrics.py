@@ -30,12 +30,15 @@ THRESHOLD_GRID = (0.40, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80)
 
 
 def _one_row_join(*dfs: DataFrame) -> DataFrame:
-    """Side-by-side join of one-row aggregates (each side is a global
-    aggregate, so one row by construction: broadcast is size-proven)."""
-    out = dfs[0].withColumn("_k", F.lit(1))
+    """Side by side of one-row aggregates without a join: the rows are united
+    (missing columns null) and collapsed by one aggregate."""
+    u = dfs[0]
     for d in dfs[1:]:
-        out = out.join(F.broadcast(d.withColumn("_k", F.lit(1))), "_k")
-    return out.drop("_k")
+        u = u.unionByName(d, allowMissingColumns=True)
+    cols = []
+    for d in dfs:
+        cols += [c for c in d.columns if c not in cols]
+    return u.agg(*[F.max(c).alias(c) for c in cols])
 
 
 def confusion(df: DataFrame, t: float = 0.5, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
@@ -80,14 +83,17 @@ def counts_above(counts: DataFrame, by: Sequence[str] = (), bits: int = DEFAULT_
     c = counts.withColumn("_b", _bucket(F.col("score"), bits))
     bt = c.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     wb = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*by)
     offsets = bt.select(*by, "_b", F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_op"),
-                        F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"))
+                        F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"),
+                        F.sum("_bp").over(wall).alias("total_pos"), F.sum("_bn").over(wall).alias("total_neg"))
     # offsets has at most (#groups x 2**bits) rows; AQE broadcasts it when small
     j = c.join(offsets, [*by, "_b"], "inner")
     wi = Window.partitionBy(*by, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return j.select(*by, "score", "pos", "neg",
                     (F.col("_op") + F.coalesce(F.sum("pos").over(wi), F.lit(0))).alias("pos_above"),
-                    (F.col("_on") + F.coalesce(F.sum("neg").over(wi), F.lit(0))).alias("neg_above"))
+                    (F.col("_on") + F.coalesce(F.sum("neg").over(wi), F.lit(0))).alias("neg_above"),
+                    "total_pos", "total_neg")
 
 
 def auc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), bits: int = DEFAULT_BITS) -> DataFrame:
@@ -103,16 +109,13 @@ def auc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), bits:
 
 def pr_curve(df: DataFrame, y: str = "y", p: str = "p", bits: int = DEFAULT_BITS) -> DataFrame:
     """Precision and recall when flagging ``score >= threshold``, one
-    row per distinct score."""
+    row per distinct score (class totals come with the bucket offsets)."""
     ca = counts_above(score_counts(df, y, p), (), bits)
-    total_pos = score_counts(df, y, p).agg(F.sum("pos").alias("_P"))
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
-    # total_pos is one aggregate row: a size-proven broadcast
-    j = ca.withColumn("_k", F.lit(1)).join(F.broadcast(total_pos.withColumn("_k", F.lit(1))), "_k")
-    return j.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
-                    (tp / (tp + fp)).alias("precision"),
-                    F.when(F.col("_P") > 0, tp / F.col("_P")).otherwise(F.lit(0.0)).alias("recall"))
+    return ca.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
+                     (tp / (tp + fp)).alias("precision"),
+                     F.when(F.col("total_pos") > 0, tp / F.col("total_pos")).otherwise(F.lit(0.0)).alias("recall"))
 
 
 def best_threshold_curve(curve: DataFrame) -> DataFrame:
@@ -137,12 +140,12 @@ def threshold_sweep(df: DataFrame, grid: Sequence[float] = THRESHOLD_GRID, y: st
     ks = df.sparkSession.range(0, m + 1).select(F.col("id").cast("int").alias("k"))
     full = ks.join(counts, "k", "left").na.fill(0, ["pos", "n"])
     cum = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)  # <= m + 1 rows
-    per = (full.select("k", F.sum("pos").over(cum).alias("tp"), F.sum("n").over(cum).alias("flagged"))
+    per = (full.select("k", F.sum("pos").over(cum).alias("tp"), F.sum("n").over(cum).alias("flagged"),
+                       F.sum("pos").over(Window.partitionBy()).alias("_P"))
            .filter(F.col("k") >= 1)
            .select(F.col("k").alias("i"), "tp", "flagged",
-                   F.element_at(F.array(*[F.lit(float(t)) for t in grid]), F.col("k")).alias("threshold")))
-    total = df.agg(F.count_if(F.col(y) == 1).alias("_P"))
-    per = per.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
+                   F.element_at(F.array(*[F.lit(float(t)) for t in grid]), F.col("k")).alias("threshold"),
+                   "_P"))
     prec = _ratio0(F.col("tp"), F.col("flagged"))
     rec = _ratio0(F.col("tp"), F.col("_P"))
     return (per.filter(F.col("flagged") > 0)
@@ -162,15 +165,15 @@ def best_threshold_grid(sweep: DataFrame, start: float = 0.5) -> DataFrame:
 
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
     """Balanced weight n / (k * n_class) per label and
-    scale_pos_weight = neg / max(pos, 1)."""
+    scale_pos_weight = neg / max(pos, 1).  Totals are windows over the
+    per-label table (one row per label value)."""
     per = df.groupBy(F.col(y).alias("label")).agg(F.count(F.lit(1)).alias("n_label"))
-    tot = per.agg(F.sum("n_label").alias("_n"), F.count(F.lit(1)).alias("_k"),
-                  F.sum(F.when(F.col("label") == 1, F.col("n_label")).otherwise(0)).alias("_pos"),
-                  F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n_label"))).alias("_neg"))
-    j = per.withColumn("_j", F.lit(1)).join(F.broadcast(tot.withColumn("_j", F.lit(1))), "_j")
-    return j.select("label", "n_label",
-                    (F.col("_n") / (F.col("_k") * F.col("n_label"))).alias("weight"),
-                    (F.col("_neg") / F.greatest(F.col("_pos"), F.lit(1))).alias("scale_pos_weight"))
+    w = Window.partitionBy()
+    pos = F.sum(F.when(F.col("label") == 1, F.col("n_label")).otherwise(0)).over(w)
+    neg = F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n_label"))).over(w)
+    return per.select("label", "n_label",
+                      (F.sum("n_label").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_label"))).alias("weight"),
+                      (neg / F.greatest(pos, F.lit(1))).alias("scale_pos_weight"))
 
 
 def label_balance(df: DataFrame, y: str = "y") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from staywise.functions.risk import STRICT_BANDS, risk_level, risk_score
@@ -70,12 +70,12 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, params: Mapp
 
 
 def with_balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """N / (2 * n_class) per row; the per-label counts are one small
-    aggregate joined back (two rows)."""
+    """N / (k * n_class) per row; per-label weights are a table of one
+    row per label value (windows over it give n and k), broadcast back."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = df.count()
-    k = per.count()
-    return df.join(F.broadcast(per), label).withColumn(out, F.lit(float(tot)) / (F.lit(k) * F.col("_nc"))).drop("_nc")
+    w = Window.partitionBy()
+    weights = per.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias(out))
+    return df.join(F.broadcast(weights), label)
 
 
 def positive_probability(pred: DataFrame, prob_col: str = "probability", out: str = "p") -> DataFrame:
@@ -205,9 +205,12 @@ def load(root: str, version: str = "latest"):
 def with_scale_pos_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """K10 fallback (the reference's own path when the oversampling library
     is not installed, as here): positives weighted by neg / max(pos, 1),
-    negatives by 1.  The two class counts are one aggregate row."""
-    c = df.agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
-    c = c.select((F.col("_neg") / F.greatest(F.col("_pos"), F.lit(1))).alias("_spw"), F.lit(1).alias("_k"))
-    return (df.withColumn("_k", F.lit(1)).join(F.broadcast(c), "_k")
-            .withColumn(out, F.when(F.col(label) == 1, F.col("_spw")).otherwise(F.lit(1.0)))
-            .drop("_k", "_spw"))
+    negatives by 1.  Per-label weights are a table of one row per label
+    value, joined back on the label with a broadcast of that proven size."""
+    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy()
+    pos = F.sum(F.when(F.col(label) == 1, F.col("_n")).otherwise(0)).over(w)
+    neg = F.sum(F.when(F.col(label) == 1, 0).otherwise(F.col("_n"))).over(w)
+    weights = per.select(label, F.when(F.col(label) == 1, neg / F.greatest(pos, F.lit(1)))
+                         .otherwise(F.lit(1.0)).alias(out))
+    return df.join(F.broadcast(weights), label)

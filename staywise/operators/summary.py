@@ -47,15 +47,21 @@ def health_distribution(terms: DataFrame, col: str = "health_text") -> DataFrame
 
 def prediction_stats(preds: DataFrame, latest_ties: DataFrame, runs: DataFrame) -> DataFrame:
     """D3: totals plus the level distribution of the latest rows (ties kept),
-    one output row per level."""
+    one output row per level.  The per-level rows and the one-row totals are
+    united and the totals spread by a window over that (at most five-row)
+    table - no join."""
     totals = preds.agg(F.count(F.lit(1)).alias("total_predictions"),
                        F.count_distinct("client_id").alias("unique_clients_scored"))
-    dist = latest_ties.groupBy("risk_level").agg(F.count(F.lit(1)).alias("latest_count"))
     n_runs = runs.agg(F.count(F.lit(1)).alias("total_prediction_runs"))
-    # all three sides are single-row or one-row-per-level; the joins are on literal keys
-    return (dist.withColumn("_k", F.lit(1))
-            .join(totals.withColumn("_k", F.lit(1)), "_k")
-            .join(n_runs.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    dist = latest_ties.groupBy("risk_level").agg(F.count(F.lit(1)).alias("latest_count"))
+    u = (dist.withColumn("_side", F.lit(0))
+         .unionByName(totals.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+         .unionByName(n_runs.withColumn("_side", F.lit(2)), allowMissingColumns=True))
+    w = Window.partitionBy()
+    return (u.select("risk_level", "latest_count", "_side",
+                     *[F.max(c).over(w).alias(c) for c in ("total_predictions", "unique_clients_scored",
+                                                           "total_prediction_runs")])
+            .filter(F.col("_side") == 0).drop("_side"))
 
 
 def high_risk_clients(preds: DataFrame, threshold: float = 0.5, key: str = "client_id",

@@ -60,7 +60,7 @@ FROM terminations"""
 TRAINING_DATA_SQL = f"""
 SELECT t.id, t.client_name, t.notice_date, t.termination_reason, t.geo_location,
        {B('coalesce(' + BOOL('t.client_lost') + ', 0)')} AS client_lost,
-       t.seat_count AS current_seat_count, CAST(NULL AS VARCHAR) AS termination_type,
+       t.seat_count AS current_seat_count,
        f.days_since_communication, f.days_since_checkin, f.team_member_tenure_days,
        f.client_tenure_at_termination, f.health_score, f.checkin_frequency_encoded, f.no_replacement,
        f.replacement_urgency, f.had_pip, f.offered_discount
@@ -274,16 +274,14 @@ SELECT d.id, d.client_name, d.notice_date,
        coalesce(CAST(d.offered_discount AS DOUBLE), 0.0) AS offered_discount,
        coalesce(CAST(d.current_seat_count AS DOUBLE), 0.0) AS current_seat_count,
        coalesce(CAST(d.client_tenure_at_termination AS DOUBLE), 0.0) AS client_tenure_at_termination,
-       vt.code AS termination_type_encoded, vg.code AS geo_encoded,
+       CAST(0 AS BIGINT) AS termination_type_encoded, vg.code AS geo_encoded,
        coalesce(CAST(d.client_lost AS DOUBLE), 0.0) AS client_lost
 FROM td d
-JOIN vt ON vt.v = coalesce(d.termination_type, 'Unknown')
 JOIN vg ON vg.v = coalesce(d.geo_location, 'Unknown')"""
 
 
 @query("training_matrix_12", with_views(TRAINING_MATRIX_SQL, "terminations", extra={
-    "ff": FORM_FEATURES_SQL, "td": TRAINING_DATA_SQL,
-    "vt": _vocab_sql("td", "termination_type", "Unknown"), "vg": _vocab_sql("td", "geo_location", "Unknown")}))
+    "ff": FORM_FEATURES_SQL, "td": TRAINING_DATA_SQL, "vg": _vocab_sql("td", "geo_location", "Unknown")}))
 def training_matrix_12(spark, sf):
     """J6."""
     t = A.terminations(spark, sf)

@@ -196,8 +196,7 @@ def _std_sql() -> str:
 
 
 TM_EXTRA = {"ff": FORM_FEATURES_SQL, "td": TRAINING_DATA_SQL,
-            "vt": _vocab_sql("td", "termination_type", "Unknown"), "vg": _vocab_sql("td", "geo_location", "Unknown"),
-            "tm": TRAINING_MATRIX_SQL}
+            "vg": _vocab_sql("td", "geo_location", "Unknown"), "tm": TRAINING_MATRIX_SQL}
 
 
 @query("standardize", with_views(_std_sql(), "terminations", extra=TM_EXTRA))
