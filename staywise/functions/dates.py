@@ -64,3 +64,8 @@ def quarter_or(x, default: int = 1) -> Column:
 def weekday_or(x, default: int = 0) -> Column:
     """Day of week with Monday = 0 (``weekday``, not ``dayofweek``)."""
     return F.coalesce(F.weekday(_c(x)), F.lit(default))
+
+
+def version_stamp(ts) -> Column:
+    """Model version stamp yyyyMMdd_HHmmss of an explicit instant."""
+    return F.date_format(_c(ts), "yyyyMMdd_HHmmss")

@@ -74,3 +74,17 @@ def full_name(first, last) -> Column:
 def safe_ratio(num, den) -> Column:
     """num / den, null when den is 0 (NULLIF semantics)."""
     return F.try_divide(_c(num).cast("double"), _c(den))
+
+
+def feature_map(cols) -> Column:
+    """Feature columns as a map<string,double> (the JSONB document of a
+    prediction row)."""
+    pairs = []
+    for c in cols:
+        pairs += [F.lit(c), F.col(c).cast("double")]
+    return F.create_map(*pairs)
+
+
+def map_get(m, key: str, default) -> Column:
+    """``features.get(key, default)``."""
+    return F.coalesce(F.try_element_at(_c(m), F.lit(key)), F.lit(default))
