@@ -185,3 +185,28 @@ def gated_factors(df: DataFrame, importance: DataFrame, n: int = 5, out: str = "
         items.append(F.when(test(v), item))
     arr = F.filter(F.array(*items), lambda x: x.isNotNull()) if items else F.array()
     return df.withColumn(out, arr)
+
+
+# The four features kept in a synced prediction document.
+SYNC_FEATURE_KEYS = (("days_since_communication", "days_since_communication"),
+                     ("days_since_checkin", "days_since_checkin"),
+                     ("health_score", "health_score"), ("seat_count", "current_seat_count"))
+
+
+def sync_records(df: DataFrame, model_version: str, as_of: str, model_name: str = "client_churn_xgboost",
+                 p_col: str = "churn_probability") -> DataFrame:
+    """Prediction rows shaped for the store - level re-derived from the
+    probability on the wide bands, integer score, the four-key feature
+    document and the top-5 sync factors.  A dry run is this frame; a real
+    sync hands it to ``DailyStore.upsert`` (batches become partitions)."""
+    pairs = []
+    for key, col in SYNC_FEATURE_KEYS:
+        pairs += [F.lit(key), F.col(col).cast("double")]
+    out = sync_factors(df, 5)
+    return out.select(
+        "client_id", "client_name", p_col,
+        risk_level(p_col, WIDE_BANDS).alias("risk_level"),
+        (F.col(p_col) * 100).cast("int").alias("risk_score"),
+        F.to_timestamp_ntz(F.lit(as_of)).alias("prediction_date"),
+        F.lit(model_version).alias("model_version"), F.lit(model_name).alias("model_name"),
+        F.create_map(*pairs).alias("features"), "top_risk_factors")

@@ -288,7 +288,7 @@ def training_matrix_12(spark, sf):
     return FT.training_matrix(FT.training_data(t))
 
 
-@query("scoring_matrix_12", with_views(f"""
+SCORING_SELECT = f"""
 SELECT c.id AS client_id, c.name AS client_name,
        CASE WHEN h.name_key IS NOT NULL THEN CAST(h.days_since_communication AS DOUBLE)
             WHEN hs.s >= 3 THEN 14.0 ELSE 30.0 END AS days_since_communication,
@@ -311,7 +311,10 @@ LEFT JOIN (SELECT * FROM (SELECT lower(client_name) AS name_key, days_since_comm
                                                     ORDER BY notice_date DESC, id DESC) AS rn
                           FROM td WHERE client_name IS NOT NULL) z WHERE rn = 1) h
   ON h.name_key = lower(c.name)
-WHERE c.is_active = true""", "terminations", "clients", extra={"ff": FORM_FEATURES_SQL, "td": TRAINING_DATA_SQL}))
+WHERE c.is_active = true"""
+
+
+@query("scoring_matrix_12", with_views(SCORING_SELECT, "terminations", "clients", extra={"ff": FORM_FEATURES_SQL, "td": TRAINING_DATA_SQL}))
 def scoring_matrix_12(spark, sf):
     """Active clients, features from their last termination row or defaults."""
     t = A.terminations(spark, sf)

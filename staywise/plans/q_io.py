@@ -11,7 +11,8 @@ from staywise.functions.dates import version_stamp
 from staywise.functions.values import feature_map, map_get
 from staywise.operators import features as FT
 from staywise.plans.oracle_views import with_views
-from staywise.plans.q_features import AS_OF as ACC_AS_OF, BOOL, CLIENT_FEATURES_SQL, _vocab_sql
+from staywise.plans.q_features import (AS_OF as ACC_AS_OF, BOOL, CLIENT_FEATURES_SQL, FORM_FEATURES_SQL,
+                                       SCORING_SELECT, TRAINING_DATA_SQL, _vocab_sql)
 from staywise.plans.registry import query
 from staywise.session import checkpoint_dir
 from staywise.sources import adapters as A
@@ -87,3 +88,30 @@ SELECT DISTINCT strftime(prediction_date, '%Y%m%d_%H%M%S') AS version FROM predi
 def version_stamps(spark, sf):
     """Version stamps of every prediction instant."""
     return A.predictions(spark, sf).select(version_stamp("prediction_date").alias("version")).distinct()
+
+
+@query("sync_predictions", with_views("""
+SELECT l.client_id, l.churn_probability,
+       CASE WHEN l.churn_probability >= 0.75 THEN 'critical' WHEN l.churn_probability >= 0.5 THEN 'high'
+            WHEN l.churn_probability >= 0.25 THEN 'medium' ELSE 'low' END AS risk_level,
+       CAST(trunc(l.churn_probability * 100) AS BIGINT) AS risk_score,
+       s.current_seat_count AS seat_count, s.health_score AS health_score,
+       CAST(least(5, CAST(s.days_since_communication > 30 AS INT) + CAST(s.days_since_checkin > 14 AS INT)
+                     + CAST(s.health_score <= 2 AS INT) + CAST(s.no_replacement = 1 AS INT)
+                     + CAST(s.had_pip = 1 AS INT)) AS BIGINT) AS factor_count
+FROM latest_cp l JOIN sm s ON s.client_id = l.client_id""", "latest_cp", "terminations", "clients", extra={
+    "ff": FORM_FEATURES_SQL, "td": TRAINING_DATA_SQL, "sm": SCORING_SELECT}))
+def sync_predictions(spark, sf):
+    """A17 (dry run): each active client's latest probability with its
+    scoring features, shaped as synced records; the check reads the
+    document back (H25) and counts the factors."""
+    from staywise.operators import rules as R
+    from staywise.plans.q_history import latest_cp
+    lat = latest_cp(spark, sf).select("client_id", "churn_probability")
+    active = I.scan_clients(A.clients(spark, sf), active_only=True)
+    sm = FT.scoring_matrix(active, FT.training_data(A.terminations(spark, sf)))
+    recs = R.sync_records(lat.join(sm, "client_id", "inner"), "v1", A.AS_OF_PREDICTIONS)
+    return recs.select("client_id", "churn_probability", "risk_level", F.col("risk_score"),
+                       map_get("features", "seat_count", 1.0).alias("seat_count"),
+                       map_get("features", "health_score", 0.0).alias("health_score"),
+                       F.size("top_risk_factors").alias("factor_count"))
