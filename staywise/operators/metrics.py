@@ -236,15 +236,57 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("id",
     return df.select(*keep, *out)
 
 
+def exact_quantiles(long: DataFrame, group: str, value: str, probs: Sequence[float],
+                    bits: int = DEFAULT_BITS) -> DataFrame:
+    """Exact quantiles with linear interpolation (h = (n - 1) p, as pandas),
+    per group, without gathering a group's values in one task:
+
+    distinct (group, value) counts (partial aggregation) -> equal-width value
+    buckets per group -> bucket offsets (table of <= 2**bits rows per group)
+    -> in-bucket running counts (window per bucket) -> each distinct value
+    keeps the target ranks that fall in its [start, start + count) range.
+    Returns (group, p, q)."""
+    counts = long.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
+    rng = counts.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                                    F.sum("_c").alias("_n"))
+    nb = 1 << bits
+    # rng has one row per group (bounded by the number of groups)
+    c = counts.join(F.broadcast(rng), group).withColumn(
+        "_b", F.when(F.col("_hi") > F.col("_lo"),
+                     F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * nb),
+                             F.lit(nb - 1))).otherwise(F.lit(0)).cast("int"))
+    bt = c.groupBy(group, "_b").agg(F.sum("_c").alias("_bc"))
+    wb = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = bt.select(group, "_b", F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_off"))
+    wi = Window.partitionBy(group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = c.join(off, [group, "_b"]).withColumn(
+        "_start", F.col("_off") + F.coalesce(F.sum("_c").over(wi), F.lit(0)))
+    targets = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(k).alias("side"),
+                                 (F.floor((F.col("_n") - 1) * p) if k == 0 else F.ceil((F.col("_n") - 1) * p))
+                                 .alias("rank"), ((F.col("_n") - 1) * p).alias("h"))
+                       for p in probs for k in (0, 1)])
+    hits = ranked.select(group, value, F.explode(F.filter(
+        targets, lambda t: (t["rank"] >= F.col("_start")) & (t["rank"] < F.col("_start") + F.col("_c")))).alias("t"))
+    picked = hits.groupBy(group, F.col("t.p").alias("p")).agg(
+        F.max(F.when(F.col("t.side") == 0, F.col(value))).alias("_x0"),
+        F.max(F.when(F.col("t.side") == 1, F.col(value))).alias("_x1"),
+        F.max("t.h").alias("_h"))
+    return picked.select(group, "p", (F.col("_x0") + (F.col("_h") - F.floor("_h")) * (F.col("_x1") - F.col("_x0")))
+                         .alias("q"))
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, std, min, quartiles, max per column (rounded 2) in
-    long form.  Exact quartiles aggregate value -> count maps, so memory
-    follows the number of distinct values, not rows."""
+    long form; quartiles are exact order statistics computed distributed
+    (``exact_quantiles``), never a per-feature list of values."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
                                          for c in cols])).alias("x")).select("x.*")
     v = F.col("v")
-    return long.groupBy("feature").agg(
+    moments = long.groupBy("feature").agg(
         F.count(v).alias("count"), F.round(F.avg(v), 2).alias("mean"), F.round(F.stddev_samp(v), 2).alias("std"),
-        F.round(F.min(v), 2).alias("min"), F.round(F.percentile(v, 0.25), 2).alias("p25"),
-        F.round(F.percentile(v, 0.5), 2).alias("p50"), F.round(F.percentile(v, 0.75), 2).alias("p75"),
-        F.round(F.max(v), 2).alias("max"))
+        F.round(F.min(v), 2).alias("min"), F.round(F.max(v), 2).alias("max"))
+    q = (exact_quantiles(long, "feature", "v", (0.25, 0.5, 0.75)).groupBy("feature")
+         .agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("q"))), 2).alias(name)
+                for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]))
+    # both sides have one row per described column
+    return moments.join(q, "feature").select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")

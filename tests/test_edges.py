@@ -188,3 +188,30 @@ def test_split_positions_exact(spark):
         for r in p.groupBy("y").agg(F.min("pos").alias("a"), F.max("pos").alias("b"),
                                     F.count_distinct("pos").alias("c"), F.count("*").alias("n")).collect():
             assert r.a == 0 and r.b == r.n - 1 and r.c == r.n
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    import random
+    rnd = random.Random(5)
+    vals = {"a": [rnd.gauss(0, 1) for _ in range(301)], "b": [float(rnd.randint(0, 9)) for _ in range(250)],
+            "c": [7.0] * 40}
+    rows = [(g, v) for g, vs in vals.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for bits in (1, 3, 12):
+        got = {(r.g, r.p): r.q for r in M.exact_quantiles(df, "g", "v", (0.0, 0.25, 0.5, 0.75, 1.0), bits).collect()}
+        for g, vs in vals.items():
+            for p in (0.0, 0.25, 0.5, 0.75, 1.0):
+                assert abs(got[(g, p)] - float(np.quantile(vs, p))) < 1e-9, (g, p, bits)
+
+
+def test_latest_member_predictions(spark):
+    preds = spark.createDataFrame(
+        [(1, 10, dt.datetime(2024, 1, 1), 0.2), (2, 10, dt.datetime(2024, 1, 2), 0.7), (3, 11, dt.datetime(2024, 1, 2), 0.9)],
+        "id long, team_member_id long, prediction_date timestamp, attrition_probability double")
+    members = spark.createDataFrame([(10, "A", "B", "lead", "active", 5), (11, "C", None, "junior", "Active", None)],
+                                    "id long, first_name string, last_name string, role string, status string, "
+                                    "client_id long")
+    clients = spark.createDataFrame([(5, "Acme")], "id long, name string")
+    out = H.latest_member_predictions(preds, members, clients).collect()
+    assert [(r.team_member_id, r.id, r.client_name) for r in out] == [(10, 2, "Acme")]
