@@ -174,3 +174,15 @@ def weighted_fit(spark, sf):
     s = MO.positive_probability(m.transform(test.withColumn("client_lost", F.col("client_lost").cast("double"))))
     s = s.select("id", "p", F.col("client_lost").cast("int").alias("y"))
     return M._one_row_join(M.metrics_from_confusion(M.confusion(s, 0.5)), M.auc(s))
+
+
+@query("cross_val_scores")
+def cross_val_scores(spark, sf):
+    """Five folds of the churn matrix - per-fold AUC and F0.5 with the
+    mean and population std across folds on every row."""
+    from pyspark.sql import Window
+    tm = churn_training(spark, sf)
+    per = MO.cross_val_scores(tm, FT.TRAINING_MATRIX_12, "client_lost", 5, {"maxIter": 5, "maxDepth": 3})
+    w = Window.partitionBy()  # five rows
+    return per.select("fold", "auc_roc", "f05", F.avg("auc_roc").over(w).alias("mean_auc"),
+                      F.stddev_pop("auc_roc").over(w).alias("std_auc"))
