@@ -24,9 +24,13 @@ def _scratch(spark, name: str) -> str:
 
 
 def _day_files(df, path: str, day_col: str = "prediction_day"):
-    """Land rows as one folder of files per day, so a file source replays them
-    in event-time order."""
-    df.write.mode("overwrite").partitionBy(day_col).parquet(path)
+    """Land the rows one day after another (one folder per day, written in day
+    order): the file source replays files by modification time, so the
+    stream sees the days in event-time order.  The day list is one value per
+    day of history."""
+    days = [r[0] for r in df.select(day_col).distinct().orderBy(day_col).collect()]
+    for i, d in enumerate(days):
+        df.filter(F.col(day_col) == F.lit(d)).write.mode("overwrite").parquet(f"{path}/{i:06d}")
 
 
 @query("stream_confirm", ORACLE["confirm_levels"].replace(
@@ -37,9 +41,8 @@ def stream_confirm(spark, sf):
     base = _scratch(spark, "confirm")
     daily = J.daily_for_stream(A.predictions(spark, sf))
     src = f"{base}/src"
-    # one flat folder of files named in day order: the file source's order
     _day_files(daily, src)
-    out = J.run_confirm(spark, src, f"{base}/out", f"{base}/ckpt", max_files=3)
+    out = J.run_confirm(spark, f"{src}/*", f"{base}/out", f"{base}/ckpt", max_files=3)
     return out.filter(~F.col("late")).select("client_id", "prediction_day", "risk_level", "confirmed_level")
 
 
