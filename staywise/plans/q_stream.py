@@ -68,7 +68,7 @@ def stream_features(spark, sf):
     t.repartition(4).write.mode("overwrite").parquet(f"{base}/src")
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/src")
     J.stream_features(stream, f"{base}/features", f"{base}/ckpt").awaitTermination()
-    return spark.read.parquet(f"{base}/features")
+    return spark.read.parquet(f"{base}/features").drop("notice_month")
 
 
 @query("stream_feedback", with_views("""

@@ -89,3 +89,15 @@ def test_scale_pos_weight(spark):
     assert w[0] == 3.0 and w[5] == 1.0
     # balanced: positive weight mass equals negative mass
     assert sum(v for k, v in w.items() if k < 3) == sum(v for k, v in w.items() if k >= 3)
+
+
+def test_stream_features_idempotent(spark, tmp_path):
+    from staywise.sources import adapters as A
+    from staywise.streaming import jobs as J
+    t = A.terminations(spark, SF_SMALL)
+    t.repartition(3).write.parquet(str(tmp_path / "src"))
+    for run in ("a", "b"):  # the second run replays every row into the same table
+        s = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+        J.stream_features(s, str(tmp_path / "feat"), str(tmp_path / f"ck{run}")).awaitTermination()
+    f = spark.read.parquet(str(tmp_path / "feat"))
+    assert f.count() == t.count() == f.select("termination_id").distinct().count()
