@@ -177,8 +177,9 @@ def gated_factors(df: DataFrame, importance: DataFrame, n: int = 5, out: str = "
         if f not in tests:
             continue
         test, desc = tests[f]
-        v = _get(df, f, 0).cast("double")
-        text = F.lit(desc) if "{}" not in desc else F.concat(F.lit(desc.split("{}")[0]), v.cast("string"),
+        raw = _get(df, f, 0)          # printed in its own type: 2 for an integer, 2.0 for a double
+        v = raw.cast("double")
+        text = F.lit(desc) if "{}" not in desc else F.concat(F.lit(desc.split("{}")[0]), raw.cast("string"),
                                                              F.lit(desc.split("{}")[1]))
         item = F.struct(F.lit(f).alias("factor"), F.lit(round(r["importance"] * 100, 1)).alias("importance"),
                         v.alias("value"), text.alias("description"))

@@ -39,4 +39,4 @@ def test_gated_factors_five_clients(spark):
     assert out[4] == ["current_seat_count", "no_replacement", "days_since_checkin", "days_since_communication",
                       "client_tenure_at_termination"]
     first = R.gated_factors(df, imp, 5).filter(F.col("id") == 0).first().top_risk_factors[0]
-    assert first.importance == 39.0 and first.description == "Low seat count (2.0) indicates potential downsizing"
+    assert first.importance == 39.0 and first.description == "Low seat count (2) indicates potential downsizing"
