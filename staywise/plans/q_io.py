@@ -115,3 +115,38 @@ def sync_predictions(spark, sf):
                        map_get("features", "seat_count", 1.0).alias("seat_count"),
                        map_get("features", "health_score", 0.0).alias("health_score"),
                        F.size("top_risk_factors").alias("factor_count"))
+
+
+@query("append_predictions", with_views("""
+SELECT id, client_id, prediction_date, churn_probability, model_version, risk_level, risk_score,
+       CAST(0 AS BIGINT) AS n_features, CAST(0 AS BIGINT) AS n_factors
+FROM spreds WHERE churn_probability BETWEEN 0 AND 1 AND risk_score BETWEEN 0 AND 100
+  AND risk_level IN ('low', 'medium', 'high', 'critical')""", "spreds"))
+def append_predictions(spark, sf):
+    """Every scored prediction validated and appended (documents default
+    to empty), read back from the table."""
+    from staywise.operators.history import score_levels
+    from staywise.sources.store import append_predictions as append
+    base = f"{checkpoint_dir(spark).rstrip('/')}/staywise-append-{uuid.uuid4().hex[:12]}"
+    append(score_levels(A.predictions(spark, sf)), f"{base}/predictions", f"{base}/quarantine")
+    back = spark.read.parquet(f"{base}/predictions")
+    return back.select("id", "client_id", "prediction_date", "churn_probability", "model_version", "risk_level",
+                       "risk_score", F.size("features").alias("n_features"),
+                       F.size("top_risk_factors").alias("n_factors"))
+
+
+@query("prediction_run_log", with_views("""
+SELECT 'churn_gbt' AS model_name, 'v1' AS model_version, count(*) AS total_predictions,
+       count(*) FILTER (WHERE risk_level IN ('high', 'critical')) AS high_risk_count,
+       count(*) FILTER (WHERE risk_level = 'medium') AS medium_risk_count,
+       count(*) FILTER (WHERE risk_level = 'low') AS low_risk_count,
+       count(*) AS successful_predictions, CAST(0 AS BIGINT) AS failed_predictions,
+       TIMESTAMP '2024-01-31 00:00:00' AS start_time, TIMESTAMP '2024-01-31 00:02:05' AS end_time,
+       CAST(125 AS BIGINT) AS duration_seconds, 'completed' AS status, CAST(NULL AS VARCHAR) AS error_message
+FROM spreds""", "spreds"))
+def prediction_run_log(spark, sf):
+    """The run row of scoring every prediction (explicit start and end)."""
+    from staywise.operators.history import score_levels
+    from staywise.sources.store import run_log
+    return run_log(score_levels(A.predictions(spark, sf)), "churn_gbt", "v1",
+                   "2024-01-31 00:00:00", "2024-01-31 00:02:05")

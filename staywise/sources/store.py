@@ -119,3 +119,20 @@ def run_log(preds: DataFrame, model_name: str, model_version: str, start: str, e
         F.floor((ntz_micros(F.to_timestamp_ntz(F.lit(end))) - ntz_micros(F.to_timestamp_ntz(F.lit(start))))
                 / 1_000_000).alias("duration_seconds"),
         F.lit("completed" if ok else "failed").alias("status"), F.lit(error).cast("string").alias("error_message"))
+
+
+def append_predictions(preds: DataFrame, path: str, quarantine_path: str | None = None,
+                       **validate_kw) -> DataFrame:
+    """Defaults for missing document fields, validity split (A18); good
+    rows are appended to the prediction table, bad rows to a quarantine
+    table, and the run counts are returned as one row."""
+    from staywise.operators.history import validate
+    if "features" not in preds.columns:
+        preds = preds.withColumn("features", F.create_map().cast("map<string,double>"))
+    if "top_risk_factors" not in preds.columns:
+        preds = preds.withColumn("top_risk_factors", F.array().cast("array<string>"))
+    good, bad = validate(preds, **validate_kw)
+    good.write.mode("append").parquet(path)
+    if quarantine_path:
+        bad.write.mode("append").parquet(quarantine_path)
+    return good

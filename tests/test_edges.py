@@ -215,3 +215,20 @@ def test_latest_member_predictions(spark):
     clients = spark.createDataFrame([(5, "Acme")], "id long, name string")
     out = H.latest_member_predictions(preds, members, clients).collect()
     assert [(r.team_member_id, r.id, r.client_name) for r in out] == [(10, 2, "Acme")]
+
+
+def test_explanation_reports_on_fixed_contributions(spark):
+    from staywise.operators import explain as X
+    long = spark.createDataFrame(
+        [(1, "no_replacement", 1.0, 2.5), (1, "current_seat_count", 3.0, -1.5), (1, "geo_encoded", 2.0, 0.2),
+         (1, "mystery", 0.0, 0.9), (1, "__base__", None, -3.0),
+         (2, "no_replacement", 0.0, -2.0), (2, "current_seat_count", 9.0, 0.5), (2, "geo_encoded", 1.0, 0.0)],
+        "id long, feature string, value double, contribution double")
+    top = X.reason_text(X.top_contributions(long, 3)).orderBy("id", "rank").collect()
+    assert [(r.id, r.feature) for r in top] == [(1, "no_replacement"), (1, "current_seat_count"), (1, "mystery"),
+                                                (2, "no_replacement"), (2, "current_seat_count"), (2, "geo_encoded")]
+    assert top[0].reason == "No replacement is being lined up" and top[0].direction == "increases_risk"
+    assert top[1].reason == "Smaller engagement — lower exposure" and top[1].impact == -1.5
+    assert top[2].label == "mystery" and top[2].reason == "mystery"
+    g = {r.feature: r.mean_abs_contribution for r in X.global_importance(long).collect()}
+    assert g == {"no_replacement": 2.25, "current_seat_count": 1.0, "geo_encoded": 0.1, "mystery": 0.9}
