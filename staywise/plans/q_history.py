@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from staywise.operators import history as H
 from staywise.operators import summary as S
-from staywise.plans.oracle_views import with_recursive_views, with_views
+from staywise.plans.oracle_views import level_sql, with_recursive_views, with_views
 from staywise.plans.registry import query
 from staywise.sources import adapters as A
 
@@ -220,3 +220,26 @@ def attendance_window(spark, sf):
     """Attendance rows of the 90 days before the as-of instant."""
     from staywise.sources.ingest import scan_attendance
     return scan_attendance(A.attendance(spark, sf), AS_OF, 90)
+
+
+@query("risk_bands", with_views(f"""
+SELECT id, churn_probability,
+       {level_sql('churn_probability')} AS level_strict,
+       {level_sql('churn_probability', (0.25, 0.5, 0.75))} AS level_wide,
+       CASE WHEN churn_probability > 0 AND churn_probability <= 0.4 THEN 'low'
+            WHEN churn_probability > 0.4 AND churn_probability <= 0.65 THEN 'medium'
+            WHEN churn_probability > 0.65 AND churn_probability <= 0.85 THEN 'high'
+            WHEN churn_probability > 0.85 AND churn_probability <= 1.0 THEN 'critical' END AS level_cut,
+       CAST(trunc(churn_probability * 100) AS BIGINT) AS risk_score,
+       CASE WHEN churn_probability > 0.3
+            THEN CAST(trunc(greatest(7.0, 180.0 * (1 - churn_probability))) AS BIGINT) END AS predicted_days
+FROM predictions""", "predictions"))
+def risk_bands(spark, sf):
+    """Both ladders, the right-closed cut, score and predicted days."""
+    from staywise.functions import risk as R
+    p = A.predictions(spark, sf)
+    return p.select("id", "churn_probability", R.risk_level("churn_probability").alias("level_strict"),
+                    R.risk_level("churn_probability", R.WIDE_BANDS).alias("level_wide"),
+                    R.risk_cut("churn_probability").alias("level_cut"),
+                    R.risk_score("churn_probability").alias("risk_score"),
+                    R.predicted_days("churn_probability").alias("predicted_days"))
