@@ -365,3 +365,24 @@ def combined_sources(spark, sf):
     real = t.filter(F.col("id") % 2 == 0)
     synth = t.filter(F.col("id") % 2 != 0)
     return source_breakdown(I.load_combined(real, synth))
+
+
+@query("training_stats", with_views(f"""
+SELECT count(*) AS total_records,
+       count(*) FILTER (WHERE ({BOOL('client_lost')}) = 1) AS churned_clients,
+       count(DISTINCT client_name) AS unique_clients,
+       CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE ({BOOL('client_lost')}) = 1) / count(*), 6)
+            ELSE 0.0 END AS churn_rate
+FROM terminations""", "terminations"))
+def training_stats(spark, sf):
+    """Totals over the termination rows."""
+    from staywise.operators.summary import training_stats as ts
+    return ts(A.terminations(spark, sf))
+
+
+@query("health_distribution", with_views("""
+SELECT health_text AS health, count(*) AS n FROM terminations GROUP BY health_text""", "terminations"))
+def health_distribution(spark, sf):
+    """Rows per health answer, null as its own group."""
+    from staywise.operators.summary import health_distribution as hd
+    return hd(A.terminations(spark, sf))
