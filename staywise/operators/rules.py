@@ -55,17 +55,18 @@ def _item(rule: int, factor: str, impact, description, kind: str = "factor") ->
     return F.struct(F.lit(rule).alias("rule"), F.lit(factor).alias(kind), imp.alias(key), desc.alias("description"))
 
 
-def _collect(items: list[tuple[Column, Column]], n: int, sort: bool, key: str = "impact") -> Column:
-    arr = F.filter(F.array(*[F.when(cond, it) for cond, it in items]), lambda x: x.isNotNull())
-    if sort:
-        rank = F.create_map(*[F.lit(x) for kv in IMPACT_RANK.items() for x in kv])
+def _collect(items: list[tuple[Column, Column]], n: int) -> Column:
+    """Items whose condition holds, in list order, first n.  ``array_compact``
+    and ``slice`` are code-generated built-ins (no lambda functions)."""
+    return F.slice(F.array_compact(F.array(*[F.when(cond, it) for cond, it in items])), 1, n)
 
-        def cmp(a, b):
-            ra = F.coalesce(rank[a[key]], F.lit(3))
-            rb = F.coalesce(rank[b[key]], F.lit(3))
-            return F.when(ra < rb, -1).when(ra > rb, 1).otherwise(a["rule"] - b["rule"])
-        arr = F.array_sort(arr, cmp)
-    return F.slice(arr, 1, n)
+
+def _by_impact(items: list[tuple[Column, Column, str, int]]) -> list[tuple[Column, Column]]:
+    """Stable order by impact (high, medium, low), then rule order.  The
+    impacts of the sorted variants are fixed per rule, so the order is decided
+    when the plan is built instead of sorting every row's array."""
+    ranked = sorted(items, key=lambda x: (IMPACT_RANK.get(x[2], 3), x[3]))
+    return [(cond, it) for cond, it, _, _ in ranked]
 
 
 def _get(df: DataFrame, name: str, default) -> Column:
@@ -80,13 +81,14 @@ def churn_factors(df: DataFrame, variant: str = "training", n: int = 3, p_col: s
     health, days = _get(df, "health_score", 3), _get(df, "days_since_activity", 0)
     tenure, p = _get(df, "tenure_months", 12), F.col(p_col)
     items = [
-        (health <= 2, _item(1, *POOR_HEALTH)),
-        (days > 30, _item(2, LOW_ACTIVITY[0], LOW_ACTIVITY[1], _num_text(LOW_ACTIVITY[2], days))),
-        (tenure < 3, _item(3, *NEW_CLIENT)),
+        (health <= 2, _item(1, *POOR_HEALTH), POOR_HEALTH[1], 1),
+        (days > 30, _item(2, LOW_ACTIVITY[0], LOW_ACTIVITY[1], _num_text(LOW_ACTIVITY[2], days)), LOW_ACTIVITY[1], 2),
+        (tenure < 3, _item(3, *NEW_CLIENT), NEW_CLIENT[1], 3),
     ]
     if variant == "training":
-        items.append(((tenure > 24) & (p > 0.5), _item(4, *LONG_TERM_AT_RISK)))
-    return df.withColumn(out, _collect(items, n, sort=(variant == "training")))
+        items.append(((tenure > 24) & (p > 0.5), _item(4, *LONG_TERM_AT_RISK), LONG_TERM_AT_RISK[1], 4))
+        return df.withColumn(out, _collect(_by_impact(items), n))
+    return df.withColumn(out, _collect([(c, it) for c, it, _, _ in items], n))
 
 
 def sync_factors(df: DataFrame, n: int = 5, out: str = "top_risk_factors") -> DataFrame:
@@ -103,7 +105,7 @@ def sync_factors(df: DataFrame, n: int = 5, out: str = "top_risk_factors") -> Da
         (_get(df, "no_replacement", 0) == 1, _item(4, *NO_REPLACEMENT)),
         (_get(df, "had_pip", 0) == 1, _item(5, *PERFORMANCE)),
     ]
-    return df.withColumn(out, _collect(items, n, sort=False))
+    return df.withColumn(out, _collect(items, n))
 
 
 def attrition_factors(df: DataFrame, variant: str = "training", n: int = 3,
@@ -113,13 +115,15 @@ def attrition_factors(df: DataFrame, variant: str = "training", n: int = 3,
     days = _get(df, "days_since_activity", 0)
     tenure = _get(df, "tenure_months", 12)
     items = [
-        (_get(df, "is_new_employee", 0) == 1, _item(1, *NEW_EMPLOYEE)),
-        (days > 14, _item(2, LOW_ENGAGEMENT[0], LOW_ENGAGEMENT[1], _num_text(LOW_ENGAGEMENT[2], days))),
-        (_get(df, "has_client", 1) == 0, _item(3, *NO_CLIENT)),
+        (_get(df, "is_new_employee", 0) == 1, _item(1, *NEW_EMPLOYEE), NEW_EMPLOYEE[1], 1),
+        (days > 14, _item(2, LOW_ENGAGEMENT[0], LOW_ENGAGEMENT[1], _num_text(LOW_ENGAGEMENT[2], days)),
+         LOW_ENGAGEMENT[1], 2),
+        (_get(df, "has_client", 1) == 0, _item(3, *NO_CLIENT), NO_CLIENT[1], 3),
     ]
     if variant == "training":
-        items.append(((tenure >= 6) & (tenure <= 12), _item(4, *SIX_TO_TWELVE)))
-    return df.withColumn(out, _collect(items, n, sort=(variant == "training")))
+        items.append(((tenure >= 6) & (tenure <= 12), _item(4, *SIX_TO_TWELVE), SIX_TO_TWELVE[1], 4))
+        return df.withColumn(out, _collect(_by_impact(items), n))
+    return df.withColumn(out, _collect([(c, it) for c, it, _, _ in items], n))
 
 
 def recommendations(df: DataFrame, variant: str = "training", n: int = 3, p_col: str = "attrition_probability",
@@ -134,7 +138,7 @@ def recommendations(df: DataFrame, variant: str = "training", n: int = 3, p_col:
     if variant == "training":
         items.append((_get(df, "has_client", 1) == 0, _item(3, *REC_ASSIGNMENT, kind="action")))
     items.append((p > 0.5, _item(4, *career, kind="action")))
-    return df.withColumn(out, _collect(items, n, sort=False, key="priority"))
+    return df.withColumn(out, _collect(items, n))
 
 
 def with_action(df: DataFrame, p_col: str = "churn_probability", bands=WIDE_BANDS) -> DataFrame:
@@ -184,7 +188,7 @@ def gated_factors(df: DataFrame, importance: DataFrame, n: int = 5, out: str = "
         item = F.struct(F.lit(f).alias("factor"), F.lit(round(r["importance"] * 100, 1)).alias("importance"),
                         v.alias("value"), text.alias("description"))
         items.append(F.when(test(v), item))
-    arr = F.filter(F.array(*items), lambda x: x.isNotNull()) if items else F.array()
+    arr = F.array_compact(F.array(*items)) if items else F.array()
     return df.withColumn(out, arr)
 
 
