@@ -105,6 +105,23 @@ class CalibratedModel:
         return d.withColumn(out, mean).drop(*[f"_m{i}" for i in range(len(self.members))])
 
 
+def _platt(scores: DataFrame, label: str):
+    """Sigmoid fit on one feature with Platt's smoothed targets
+    t+ = (N+ + 1) / (N+ + 2) and t- = 1 / (N- + 2): each example becomes two
+    weighted rows (label 1 with weight t, label 0 with weight 1 - t).  The
+    two class counts are one aggregate row."""
+    c = scores.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")).first()
+    t_pos, t_neg = (c["p"] + 1.0) / (c["p"] + 2.0), 1.0 / (c["n"] + 2.0)
+    t = F.when(F.col(label) == 1, F.lit(t_pos)).otherwise(F.lit(t_neg))
+    rows = scores.select("margin", F.explode(F.array(
+        F.struct(F.lit(1.0).alias("target"), t.alias("w")),
+        F.struct(F.lit(0.0).alias("target"), (1 - t).alias("w")))).alias("r")).select("margin", "r.*")
+    va = VectorAssembler(inputCols=["margin"], outputCol="_mv")
+    lr = LogisticRegression(featuresCol="_mv", labelCol="target", weightCol="w", regParam=0.0,
+                            standardization=False, maxIter=100)
+    return lr.fit(va.transform(rows))
+
+
 def calibrate(df: DataFrame, features: Sequence[str], label: str, k: int = 5, params: Mapping | None = None,
               key: str = "id", seed: int = 42) -> CalibratedModel:
     """K6: for each of k stratified folds, fit on the other folds and fit a
@@ -115,10 +132,8 @@ def calibrate(df: DataFrame, features: Sequence[str], label: str, k: int = 5, pa
         train = folded.filter(F.col("fold") != i)
         held = folded.filter(F.col("fold") == i)
         m = fit_boosted(train, features, label, params)
-        mh = margin(m.transform(held.withColumn(label, F.col(label).cast("double"))))
-        va = VectorAssembler(inputCols=["margin"], outputCol="_mv")
-        lr = LogisticRegression(featuresCol="_mv", labelCol=label, regParam=0.0, maxIter=100)
-        lrm = lr.fit(va.transform(mh.select("margin", label)))
+        mh = margin(m.transform(held.withColumn(label, F.col(label).cast("double")))).select("margin", label)
+        lrm = _platt(mh, label)
         members.append((m, float(lrm.coefficients[0]), float(lrm.intercept)))
     folded.unpersist()
     return CalibratedModel(members)

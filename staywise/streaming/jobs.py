@@ -115,13 +115,23 @@ def files_stream(spark: SparkSession, path: str, schema, max_files: int = 1) ->
 
 
 def run_confirm(spark: SparkSession, src: str, out: str, checkpoint: str, max_files: int = 1):
-    """Drive L1 to completion over the files in ``src`` (availableNow)."""
+    """Drive L1 to completion over the files in ``src`` (availableNow).
+    Confirmed rows go to ``<out>/confirmed``, late rows to ``<out>/late``;
+    a replayed micro-batch overwrites its own ``batch=<id>`` folders, so
+    a restart after a failure does not duplicate rows.  Returns both tables
+    united with the ``late`` flag."""
     schema = "client_id long, prediction_day date, risk_level string"
-    q = (stream_confirm(files_stream(spark, src, schema, max_files)).writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
+
+    def sink(batch: DataFrame, batch_id: int):
+        batch.persist()
+        batch.filter(~F.col("late")).write.mode("overwrite").parquet(f"{out}/confirmed/batch={batch_id}")
+        batch.filter(F.col("late")).write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+        batch.unpersist()
+    q = (stream_confirm(files_stream(spark, src, schema, max_files)).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return (spark.read.parquet(f"{out}/confirmed").unionByName(spark.read.parquet(f"{out}/late"))
+            .drop("batch"))
 
 
 def daily_for_stream(preds: DataFrame) -> DataFrame:
