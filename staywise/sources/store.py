@@ -66,8 +66,10 @@ class DailyStore:
         old = self.current(days)
         merged = upsert_daily(new, old, self.key, self.ts, self.tb, self.day) if old is not None else \
             upsert_daily(new, new.limit(0), self.key, self.ts, self.tb, self.day)
-        (merged.withColumn("v", F.lit(version)).write.mode("append")
-         .partitionBy(self.day, "v").parquet(self.root))
+        # dynamic partition overwrite: only the (day, version) folders of this
+        # batch are (re)written, so replaying a batch after a failure is idempotent
+        (merged.withColumn("v", F.lit(version)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(self.day, "v").parquet(self.root))
         (self.spark.createDataFrame([(d, version) for d in days], f"{self.day} date, version string")
          .coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest"))
         return days

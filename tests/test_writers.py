@@ -28,6 +28,10 @@ def test_daily_store_versions(spark, tmp_path):
     s.upsert(_preds(spark, [(4, 8, dt.datetime(2024, 1, 7, 9), 0.4)]), "00000003")
     assert not (tmp_path / "store" / "prediction_day=2024-01-05" / "v=00000003").exists()
     assert sorted(r.id for r in s.current().collect()) == [2, 3, 4]
+    # replaying the last batch (same version) changes nothing
+    s.upsert(_preds(spark, [(4, 8, dt.datetime(2024, 1, 7, 9), 0.4)]), "00000003")
+    assert sorted(r.id for r in s.current().collect()) == [2, 3, 4]
+    assert (tmp_path / "store" / "_manifest").exists()
 
 
 def test_export_and_latest_file(spark, tmp_path):
