@@ -114,6 +114,8 @@ def explain(spark: SparkSession, df: DataFrame, model: PipelineModel, features:
             key: str = "id") -> DataFrame:
     """Long form (key, feature, value, contribution) plus one
     ``__base__`` row per key; contributions + base = margin."""
+    from staywise.session import ship_package
+    ship_package(spark)
     nodes = [r.asDict() for r in tree_table(spark, model).collect()]  # bounded by the model parameters
     trees = leaf_paths(nodes, model.stages[-1].treeWeights)
     prep = PipelineModel(stages=model.stages[:-1]).transform(df)

@@ -13,7 +13,7 @@ from staywise.plans.oracle_views import with_views
 import staywise.plans.q_history  # noqa: F401  (registers the batch twins first)
 from staywise.plans.q_features import FORM_FEATURES_SQL
 from staywise.plans.registry import ORACLE, query
-from staywise.session import checkpoint_dir
+from staywise.session import checkpoint_dir, materialize
 from staywise.sources import adapters as A
 from staywise.sources.store import DailyStore
 from staywise.streaming import jobs as J
@@ -28,9 +28,13 @@ def _day_files(df, path: str, day_col: str = "prediction_day"):
     order): the file source replays files by modification time, so the
     stream sees the days in event-time order.  The day list is one value per
     day of history."""
+    df = materialize(df)  # computed once, then sliced per day
     days = [r[0] for r in df.select(day_col).distinct().orderBy(day_col).collect()]
+    n = df.sparkSession.sparkContext.defaultParallelism
     for i, d in enumerate(days):
-        df.filter(F.col(day_col) == F.lit(d)).write.mode("overwrite").parquet(f"{path}/{i:06d}")
+        (df.filter(F.col(day_col) == F.lit(d)).repartition(n, "client_id")
+         .write.mode("overwrite").parquet(f"{path}/{i:06d}"))
+    return n
 
 
 @query("stream_confirm", ORACLE["confirm_levels"].replace(
@@ -41,8 +45,9 @@ def stream_confirm(spark, sf):
     base = _scratch(spark, "confirm")
     daily = J.daily_for_stream(A.predictions(spark, sf))
     src = f"{base}/src"
-    _day_files(daily, src)
-    out = J.run_confirm(spark, f"{src}/*", f"{base}/out", f"{base}/ckpt", max_files=3)
+    files_per_day = _day_files(daily, src)
+    out = J.run_confirm(spark, f"{src}/*", f"{base}/out", f"{base}/ckpt", max_files=3 * files_per_day,
+                        state_partitions=spark.sparkContext.defaultParallelism)
     return out.filter(~F.col("late")).select("client_id", "prediction_day", "risk_level", "confirmed_level")
 
 

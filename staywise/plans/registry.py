@@ -30,6 +30,8 @@ def finalize(df: DataFrame) -> DataFrame:
 def query(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from staywise.session import ship_package
+            ship_package(spark)
             return finalize(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

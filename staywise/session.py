@@ -79,3 +79,30 @@ def materialize(df):
     instead of recomputing the whole input plan (never ``localCheckpoint``)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``staywise`` importable in the Python workers (needed by the
+    ``mapInPandas`` / ``applyInPandasWithState`` steps, whose functions are
+    pickled by reference).  The package is zipped once on the driver and
+    distributed with ``addPyFile``, as ``--py-files`` would; a no-op when it
+    was already shipped to this context."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="staywise-pyfiles-"), "staywise.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)

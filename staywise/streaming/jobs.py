@@ -53,6 +53,8 @@ def _confirm_group(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
 
 def stream_confirm(daily_stream: DataFrame) -> DataFrame:
     """L1: streaming E4 over a stream of (client_id, prediction_day, risk_level)."""
+    from staywise.session import ship_package
+    ship_package(daily_stream.sparkSession)
     return (daily_stream.groupBy("client_id")
             .applyInPandasWithState(_confirm_group, CONFIRM_OUT, CONFIRM_STATE, "append",
                                     GroupStateTimeout.NoTimeout))
@@ -114,12 +116,15 @@ def files_stream(spark: SparkSession, path: str, schema, max_files: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def run_confirm(spark: SparkSession, src: str, out: str, checkpoint: str, max_files: int = 1):
+def run_confirm(spark: SparkSession, src: str, out: str, checkpoint: str, max_files: int = 1,
+                state_partitions: int | None = None):
     """Drive L1 to completion over the files in ``src`` (availableNow).
     Confirmed rows go to ``<out>/confirmed``, late rows to ``<out>/late``;
     a replayed micro-batch overwrites its own ``batch=<id>`` folders, so
     a restart after a failure does not duplicate rows.  Returns both tables
-    united with the ``late`` flag."""
+    united with the ``late`` flag.  ``state_partitions`` fixes the number of
+    state-store partitions of a new query (sized to the entity count on a
+    cluster); the session setting is restored once the query has started."""
     schema = "client_id long, prediction_day date, risk_level string"
 
     def sink(batch: DataFrame, batch_id: int):
@@ -127,8 +132,14 @@ def run_confirm(spark: SparkSession, src: str, out: str, checkpoint: str, max_fi
         batch.filter(~F.col("late")).write.mode("overwrite").parquet(f"{out}/confirmed/batch={batch_id}")
         batch.filter(F.col("late")).write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
         batch.unpersist()
-    q = (stream_confirm(files_stream(spark, src, schema, max_files)).writeStream.foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (stream_confirm(files_stream(spark, src, schema, max_files)).writeStream.foreachBatch(sink)
+             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
     return (spark.read.parquet(f"{out}/confirmed").unionByName(spark.read.parquet(f"{out}/late"))
             .drop("batch"))
