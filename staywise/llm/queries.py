@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm import simhash
+from staywise.llm import langid, mix, pack, pii, simhash
 from staywise.llm.common import prepare
 from staywise.sources.tables import table
 
@@ -29,6 +29,30 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op3_mix")
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document by the mix of all sources."""
+    return mix.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op5_pack")
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 ids."""
+    return pack.packed(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, links at 4 or fewer differing bits."""
@@ -36,6 +60,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def remainder(doc_id: str = "doc_id"):
+    """crc32 of the id as text, modulo 4: documents at 2 are held out."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4))
+
+
+@query("op10_langid")
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learns only from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(remainder() != 2))
+    return langid.predict(docs, model).select(
+        "doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
