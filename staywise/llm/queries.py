@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm import langid, mix, pack, pii, simhash
+from staywise.llm import htmltext, langid, mix, pack, pii, simhash, tokencount
 from staywise.llm.common import prepare
 from staywise.sources.tables import table
 
@@ -53,6 +53,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+@query("op7_tokencount")
+def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; the limit is 2048."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, links at 4 or fewer differing bits."""
@@ -60,6 +66,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op9_htmltext")
+def op9_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def remainder(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 4: documents at 2 are held out."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4))
