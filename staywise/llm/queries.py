@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm import htmltext, langid, mix, pack, pii, simhash, tokencount
+from staywise.llm import htmltext, langid, mix, pack, pii, simhash, tokencount, topk, vectordup
 from staywise.llm.common import prepare
 from staywise.sources.tables import table
 
@@ -35,12 +35,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op1_topk")
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best inner products of every 50th vector with all others."""
+    e = table(spark, sf_dir, "embeddings")
+    return topk.top_k(e, e.where(F.pmod("vec_id", F.lit(50)) == 0), k=5, scale=256)
+
+
 @query("op3_mix")
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document by the mix of all sources."""
     return mix.taken(table(spark, sf_dir, "documents"))
 
 
+@query("op4_vectordup")
+def op4_vectordup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at cosine 0.9 or more."""
+    return vectordup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @query("op5_pack")
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2048 ids."""
