@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm import htmltext, langid, mix, pack, pii, simhash, tokencount, topk, vectordup
+from staywise.llm import htmltext, langid, mix, pack, pii, simhash, substrings, tokencount, topk, vectordup
 from staywise.llm.common import prepare
 from staywise.sources.tables import table
 
@@ -42,6 +42,13 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(e, e.where(F.pmod("vec_id", F.lit(50)) == 0), k=5, scale=256)
 
 
+@query("op2_substrings")
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes repeated in strings of 50 from documents with a smaller id."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op3_mix")
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document by the mix of all sources."""
