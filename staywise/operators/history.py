@@ -3,8 +3,8 @@ two-strike level confirmation (A14-A18, C3, C4, C6-C8, E1-E5, E8, D9).
 
 Scale notes
 -----------
-* "Latest per key" is an aggregation (``max`` of a struct whose first fields
-  are the ordering columns), not a window: partial aggregation collapses a hot
+* "Latest per key" is an aggregation (``max_by`` of the row over the ordering
+  columns), not a window: partial aggregation collapses a hot
   key to one row per map task before the shuffle, so a key holding a third of
   all rows never lands whole in one task.
 * The confirmation rule runs on the one-row-per-entity-per-day series (the
@@ -24,18 +24,14 @@ from staywise.functions.dates import ntz_micros
 from staywise.functions.risk import LEVELS, STRICT_BANDS, risk_level, risk_score
 
 
-def _latest_struct(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Column:
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    return F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])
-
-
 def latest(df: DataFrame, key: str | Sequence[str], order: Sequence[str] = ("prediction_date", "id")) -> DataFrame:
     """Exactly one row per key, the greatest by ``order`` (later
-    columns break ties).  Output keeps the input's column order."""
+    columns break ties).  Only the order columns are compared, so the others
+    may be of any type (maps too).  Output keeps the input's column order."""
     keys = [key] if isinstance(key, str) else list(key)
-    packed = _latest_struct(df, keys, order)
-    out = df.groupBy(*keys).agg(F.max(packed).alias("_r")).select(*keys, "_r.*")
-    return out.select(*df.columns)
+    rest = [c for c in df.columns if c not in keys]
+    out = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return out.select(*keys, "_r.*").select(*df.columns)
 
 
 def latest_with_ties(df: DataFrame, key: str, date_col: str = "prediction_date") -> DataFrame:
@@ -53,8 +49,9 @@ def with_day(df: DataFrame, ts_col: str = "prediction_date", day_col: str = "pre
 
 def one_per_day(df: DataFrame, key: str, ts_col: str = "prediction_date",
                 tiebreak: str = "id", day_col: str = "prediction_day") -> DataFrame:
-    """Keep the latest row per (entity, calendar day)."""
-    d = with_day(df, ts_col, day_col)
+    """Keep the latest row per (entity, calendar day); the day is
+    ``day_col`` where the rows have it, else the date of ``ts_col``."""
+    d = df if day_col in df.columns else with_day(df, ts_col, day_col)
     return latest(d, [key, day_col], (ts_col, tiebreak))
 
 
@@ -159,13 +156,20 @@ def fk_valid(df: DataFrame, ref: DataFrame, key: str, ref_key: str = "id") -> Da
     return df.join(ref.select(F.col(ref_key).alias(key)), key, "left_semi")
 
 
+def active(clients: DataFrame, null_aware: bool = True) -> DataFrame:
+    """``is_active = true``, and where it is null ``status = 'active'``
+    (``null_aware=False``: the older view, without the second term)."""
+    yes = F.col("is_active") == F.lit(True)
+    return clients.filter(yes | (F.col("is_active").isNull() & (F.col("status") == "active")) if null_aware else yes)
+
+
 def latest_client_predictions(preds: DataFrame, clients: DataFrame,
-                              order: Sequence[str] = ("prediction_date", "id")) -> DataFrame:
-    """Latest prediction per client joined to active clients.  The active
+                              order: Sequence[str] = ("prediction_date", "id"), null_aware: bool = True) -> DataFrame:
+    """Latest prediction per client joined to active clients (B5).  The
     filter reaches the clients scan; picking the latest first shrinks the
     prediction side to one row per client before the join."""
     lat = latest(preds, "client_id", order)
-    c = (clients.filter(F.col("is_active") == F.lit(True))
+    c = (active(clients, null_aware)
          .select(F.col("id").alias("client_id"), F.col("name").alias("client_name"),
                  "industry_type", "client_location", "health", F.col("status").alias("client_status")))
     return lat.join(c, "client_id", "inner")

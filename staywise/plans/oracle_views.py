@@ -99,7 +99,7 @@ SELECT t.id, t.client_id, t.prediction_date, t.churn_probability, t.model_versio
 FROM (SELECT s.*, row_number() OVER (PARTITION BY client_id ORDER BY prediction_date DESC, id DESC) AS rn
       FROM spreds s) t
 JOIN clients c ON c.id = t.client_id
-WHERE t.rn = 1 AND c.is_active = true""",
+WHERE t.rn = 1 AND (c.is_active = true OR (c.is_active IS NULL AND c.status = 'active'))""",
     "fb_dedup": """
 SELECT client_id, prediction_date, feedback_date, actually_churned
 FROM (SELECT f.*, row_number() OVER (PARTITION BY client_id, prediction_date

@@ -150,3 +150,79 @@ def prediction_run_log(spark, sf):
     from staywise.sources.store import run_log
     return run_log(score_levels(A.predictions(spark, sf)), "churn_gbt", "v1",
                    "2024-01-31 00:00:00", "2024-01-31 00:02:05")
+
+
+def _store_folder(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/staywise-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("upsert_twice_same_day", with_views("""
+SELECT client_id, prediction_day, id, churn_probability FROM daily""", "daily"))
+def upsert_twice_same_day(spark, sf):
+    """Two writes into the same days, named v9 and v10; the later one counts."""
+    from staywise.sources.store import DailyStore
+    store = DailyStore(spark, _store_folder(spark, "twice"))
+    p = A.predictions(spark, sf)
+    store.upsert(p.filter(F.col("id") % 2 == 0), "20240130_v9")
+    store.upsert(p.filter(F.col("id") % 2 != 0), "20240130_v10")
+    return store.current().select("client_id", "prediction_day", "id", "churn_probability")
+
+
+@query("upsert_with_features", with_views("""
+SELECT client_id, prediction_day, id, churn_probability AS stored, CAST(id AS DOUBLE) AS id_feature FROM daily""", "daily"))
+def upsert_with_features(spark, sf):
+    """A15 on rows that carry their features as a map."""
+    from staywise.sources.store import DailyStore
+    store = DailyStore(spark, _store_folder(spark, "maps"))
+    p = A.predictions(spark, sf).withColumn("features", F.create_map(
+        F.lit("p"), F.col("churn_probability"), F.lit("id"), F.col("id").cast("double")))
+    store.upsert(p, "v1")
+    store.upsert(p.filter(F.col("id") % 3 == 0), "v2")
+    return store.current().select("client_id", "prediction_day", "id", F.col("features")["p"].alias("stored"),
+                                  F.col("features")["id"].alias("id_feature"))
+
+
+@query("feedback_upsert", with_views("""
+SELECT client_id, prediction_date, feedback_date, actually_churned FROM fb_dedup""", "fb_dedup"))
+def feedback_upsert(spark, sf):
+    """Feedback written in two batches, one row per client and prediction day."""
+    from staywise.sources.store import feedback_store
+    store = feedback_store(spark, _store_folder(spark, "feedback"))
+    fb = A.feedback(spark, sf)
+    store.upsert(fb.filter("actually_churned"), "1")
+    store.upsert(fb.filter("not actually_churned"), "2")
+    return store.current().select("client_id", "prediction_date", "feedback_date", "actually_churned")
+
+
+@query("active_clients", """
+SELECT c_custkey AS id, o.is_active AS is_active FROM customer c JOIN (
+    SELECT o_custkey, max(o_orderdate) >= TIMESTAMP '2000-08-01 00:00:00' AS recent,
+           CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE max(o_orderdate) >= TIMESTAMP '2000-08-01 00:00:00' END AS is_active
+    FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey WHERE o.recent""")
+def active_clients(spark, sf):
+    """Clients flagged active, and unflagged ones whose status says so."""
+    from staywise.operators.history import active
+    return active(A.clients(spark, sf)).select("id", "is_active")
+
+
+@query("validate_and_quarantine", with_views("""
+SELECT id, NOT (coalesce(p BETWEEN 0 AND 1, false)) AS bad_probability, NOT coalesce(s BETWEEN 0 AND 100, false) AS bad_score
+FROM (SELECT id, churn_probability * 4 - 1 AS p, CAST(trunc((churn_probability * 4 - 1) * 100) AS BIGINT) AS s FROM predictions)
+WHERE NOT (coalesce(p BETWEEN 0 AND 1, false) AND coalesce(s BETWEEN 0 AND 100, false))""", "predictions"))
+def validate_and_quarantine(spark, sf):
+    """A18 on probabilities stretched past their range: the rows that fail, and why."""
+    from staywise.operators.history import score_levels, validate
+    p = A.predictions(spark, sf).withColumn("churn_probability", F.col("churn_probability") * 4 - 1)
+    bad = validate(score_levels(p))[1]
+    return bad.select("id", F.array_contains("reasons", "probability_out_of_range").alias("bad_probability"),
+                      F.array_contains("reasons", "score_out_of_range").alias("bad_score"))
+
+
+@query("orphan_predictions", with_views("""
+SELECT p.id, p.client_id FROM predictions p WHERE p.client_id % 5 = 0""", "predictions"))
+def orphan_predictions(spark, sf):
+    """C8 against a client table that lacks every fifth client."""
+    from staywise.operators.history import orphans
+    some = A.clients(spark, sf).filter(F.col("id") % 5 != 0)
+    known = A.predictions(spark, sf).join(A.clients(spark, sf).select(F.col("id").alias("client_id")), "client_id", "left_semi")
+    return orphans(known, some, "client_id").select("id", "client_id")

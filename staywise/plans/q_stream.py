@@ -13,7 +13,7 @@ from staywise.plans.oracle_views import with_views
 import staywise.plans.q_history  # noqa: F401  (registers the batch twins first)
 from staywise.plans.q_features import FORM_FEATURES_SQL
 from staywise.plans.registry import ORACLE, query
-from staywise.session import checkpoint_dir, materialize
+from staywise.session import checkpoint_dir
 from staywise.sources import adapters as A
 from staywise.sources.store import DailyStore
 from staywise.streaming import jobs as J
@@ -24,17 +24,21 @@ def _scratch(spark, name: str) -> str:
 
 
 def _day_files(df, path: str, day_col: str = "prediction_day"):
-    """Land the rows one day after another (one folder per day, written in day
-    order): the file source replays files by modification time, so the
-    stream sees the days in event-time order.  The day list is one value per
-    day of history."""
-    df = materialize(df)  # computed once, then sliced per day
-    days = [r[0] for r in df.select(day_col).distinct().orderBy(day_col).collect()]
-    n = df.sparkSession.sparkContext.defaultParallelism
-    for i, d in enumerate(days):
-        (df.filter(F.col(day_col) == F.lit(d)).repartition(n, "client_id")
-         .write.mode("overwrite").parquet(f"{path}/{i:06d}"))
-    return n
+    """Land the rows in one write, partitioned by day, and date the files in day
+    order: the file source replays files by modification time, so the stream
+    sees the days in event-time order.  (A live source lands them so by itself;
+    only folder names and file dates pass the driver, one day at a time.)"""
+    spark = df.sparkSession
+    (df.withColumn("day_", F.col(day_col)).repartition(day_col).write.mode("overwrite")
+     .partitionBy("day_").parquet(path))
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = sorted((f.getPath().getName(), f.getPath()) for f in fs.listStatus(root) if f.isDirectory())
+    start = 1_000_000_000_000
+    for k, (_, folder) in enumerate(folders):
+        for f in fs.listStatus(folder):
+            fs.setTimes(f.getPath(), start + 1000 * k, -1)
 
 
 @query("stream_confirm", ORACLE["confirm_levels"].replace(
@@ -45,8 +49,8 @@ def stream_confirm(spark, sf):
     base = _scratch(spark, "confirm")
     daily = J.daily_for_stream(A.predictions(spark, sf))
     src = f"{base}/src"
-    files_per_day = _day_files(daily, src)
-    out = J.run_confirm(spark, f"{src}/*", f"{base}/out", f"{base}/ckpt", max_files=3 * files_per_day,
+    _day_files(daily, src)
+    out = J.run_confirm(spark, f"{src}/*", f"{base}/out", f"{base}/ckpt", max_files=3,
                         state_partitions=spark.sparkContext.defaultParallelism)
     return out.filter(~F.col("late")).select("client_id", "prediction_day", "risk_level", "confirmed_level")
 
@@ -87,13 +91,7 @@ def stream_feedback(spark, sf):
     """L3: 90-day sliding feedback precision (1-day slide) over a feedback stream."""
     base = _scratch(spark, "feedback")
     fb = A.feedback(spark, sf)
-    fb.repartition(4).write.mode("overwrite").parquet(f"{base}/src")
-    stream = spark.readStream.schema(fb.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/src")
-    out = f"{base}/out"
-
-    def sink(batch, batch_id):  # complete mode: each batch is the whole (bounded) window table
-        batch.write.mode("overwrite").parquet(out)
-    q = (J.stream_feedback(stream).writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/ckpt")
-         .outputMode("complete").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    _day_files(fb, f"{base}/src", "prediction_date")
+    stream = spark.readStream.schema(fb.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/src/*")
+    J.stream_feedback_days(stream, f"{base}/days", f"{base}/ckpt").awaitTermination()
+    return J.feedback_windows(spark.read.parquet(f"{base}/days"))

@@ -7,7 +7,10 @@ On a cluster the session already exists and carries the operator's settings;
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -56,17 +59,21 @@ def configure(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests)
-    a scratch folder is created and registered.  Lineage is always cut with
-    reliable ``checkpoint()`` or a written table there, never with
-    ``localCheckpoint``.
+    Read from ``spark.checkpoint.dir``.  Where it is unset, a scratch folder
+    is created and registered under a ``local`` master only: on a cluster each
+    executor would write to a disk of its own, so there it is an error.
+    Lineage is always cut with reliable ``checkpoint()`` or a written table
+    there, never with ``localCheckpoint``.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(d)
         return d
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     d = tempfile.mkdtemp(prefix="staywise-ckpt-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d

@@ -96,10 +96,12 @@ def _norm(h: str) -> str:
     return re.sub(r"\s+", " ", h.strip())
 
 
-def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as string; a missing path fails (no sample fallback)."""
+def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Every column as string; a missing path fails (no sample fallback).
+    ``multi_line`` admits line ends inside quoted fields, which a file can only
+    be read whole for (one task per file); without it a file is split."""
     return (spark.read.option("header", True).option("inferSchema", False)
-            .option("multiLine", True).option("escape", '"').csv(path))
+            .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
 def normalise_headers(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -115,14 +117,17 @@ def normalise_headers(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     cols = []
     for t, srcs in targets.items():
         exprs = [F.col(f"`{s}`") for s in srcs]
-        cols.append((F.coalesce(*exprs) if len(exprs) > 1 else exprs[0]).alias(t))
+        if len(exprs) > 1:  # a blank spelling does not hide a filled one
+            exprs = [F.coalesce(*[F.when(F.trim(e) != "", e) for e in exprs])]
+        cols.append(exprs[0].alias(t))
     return df.select(*cols)
 
 
-def import_terminations(spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None) -> DataFrame:
+def import_terminations(spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None,
+                        multi_line: bool = False) -> DataFrame:
     """A1: form CSV -> termination rows (a custom map replaces the default),
     booleans parsed to 0/1, rows with a blank client name dropped."""
-    df = normalise_headers(read_csv_strings(spark, path), mapping or FORM_HEADER_MAP)
+    df = normalise_headers(read_csv_strings(spark, path, multi_line), mapping or FORM_HEADER_MAP)
     df = df.select(*[parse_boolean(c).alias(c) if c in FORM_BOOLEAN_COLUMNS else F.col(c)
                      for c in df.columns])
     if "client_name" in df.columns:

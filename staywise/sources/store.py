@@ -1,86 +1,100 @@
-"""Daily prediction store and exports.
-
-No table format with MERGE is installed, so an upsert writes a complete new
-version directory (``v=<version>``) next to the current one and never
-overwrites the path being read; the current version is the greatest one.
-Rows are partitioned by prediction day, so day filters prune whole folders.
-"""
+"""Daily prediction store and exports."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staywise.functions.dates import ntz_micros
 from staywise.operators.history import upsert_daily
+from staywise.sources.tables import read_if_exists
 
 
 class DailyStore:
-    """One row per entity per day, versioned per day.
-
-    Layout: ``<root>/prediction_day=<day>/v=<version>/`` plus a manifest
-    table ``<root>/_manifest`` of (prediction_day, version) rows.  An upsert
-    rewrites only the days present in the new batch: it reads the current
-    version of those days, merges (later row wins), writes a new version
-    folder per affected day, and appends the manifest rows after the data is
-    complete.  Readers take the greatest version of every day, so a reader
-    never sees a half-written day and the path being read is never
-    overwritten.  Versions must sort in write order (zero-padded batch ids or
-    time stamps)."""
+    """One row per entity per day.
+
+    No table format with MERGE is installed, so every write goes to a folder
+    of its own: ``<root>/w=<sequence>-<id>/<day>=D/`` for each day in the batch,
+    the stored rows of that day merged in (the later row wins).  Only when the
+    data is complete does the manifest ``<root>/_manifest`` name it, with a
+    sequence number greater than all before; readers take each day's greatest.
+    No published file is ever overwritten, a day that is half written is never
+    seen, and a batch that is written again (a replay, or the same version name)
+    merges into what is there.  The version is a label and decides nothing.
+
+    One writer at a time per store.  Rows without a day cannot be placed; they
+    go to ``<root>/_quarantine``.  ``day_col`` is taken from the rows, or else
+    is the date of ``ts_col``."""
 
     def __init__(self, spark: SparkSession, root: str, key: str = "client_id",
                  ts_col: str = "prediction_date", tiebreak: str = "id", day_col: str = "prediction_day"):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
         self.ts, self.tb, self.day = ts_col, tiebreak, day_col
+        self.schema = f"{day_col} date, sequence long, version string, folder string"
 
-    def _manifest(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/_manifest")
-        except Exception:  # no upsert yet
-            return None
-
-    def versions(self) -> list[str]:
-        m = self._manifest()
-        return [] if m is None else sorted(r["version"] for r in m.select("version").distinct().collect())
+    def manifest(self) -> DataFrame:
+        """(day, sequence, version, folder) of every write; empty before the first."""
+        m = read_if_exists(self.spark, f"{self.root}/_manifest", self.schema)
+        return self.spark.createDataFrame([], self.schema) if m is None else m
 
-    def _current_paths(self, days: list | None = None) -> list[str]:
-        m = self._manifest()
-        if m is None:
-            return []
+    def current(self, days: list | None = None) -> DataFrame | None:
+        m = self.manifest()
         if days is not None:
             m = m.filter(F.col(self.day).isin(days))
-        # one row per stored day: bounded by the number of days of history
-        cur = m.groupBy(self.day).agg(F.max("version").alias("version")).collect()
-        return [f"{self.root}/{self.day}={r[self.day]}/v={r['version']}" for r in cur]
-
-    def current(self, days: list | None = None) -> DataFrame | None:
-        paths = self._current_paths(days)
-        if not paths:
-            return None
-        return self.spark.read.option("basePath", self.root).parquet(*paths).drop("v")
+        # one row per stored day: bounded by the days of history
+        cur = m.groupBy(self.day).agg(F.max_by("folder", "sequence").alias("folder")).collect()
+        out = None
+        by_folder: dict[str, list[str]] = {}
+        for r in cur:
+            by_folder.setdefault(r["folder"], []).append(f"{self.root}/{r['folder']}/{self.day}={r[self.day]}")
+        for folder, paths in by_folder.items():
+            part = self.spark.read.option("basePath", f"{self.root}/{folder}").parquet(*paths)
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
 
     def upsert(self, new: DataFrame, version: str) -> list:
         new = new if self.day in new.columns else new.withColumn(self.day, F.to_date(F.col(self.ts)))
         # the days of one batch (a handful) decide which stored days are touched
-        days = [r[0] for r in new.select(self.day).distinct().collect()]
+        found = [r[0] for r in new.select(self.day).distinct().collect()]
+        days = [d for d in found if d is not None]
+        last = self.manifest().agg(F.max("sequence")).first()[0]
+        sequence = 0 if last is None else last + 1
+        folder = f"w={sequence:010d}-{uuid.uuid4().hex[:12]}"
+        if None in found:
+            new.filter(F.col(self.day).isNull()).write.parquet(f"{self.root}/_quarantine/{folder}")
+            new = new.filter(F.col(self.day).isNotNull())
+        if not days:
+            return days
         old = self.current(days)
-        merged = upsert_daily(new, old, self.key, self.ts, self.tb, self.day) if old is not None else \
-            upsert_daily(new, new.limit(0), self.key, self.ts, self.tb, self.day)
-        # dynamic partition overwrite: only the (day, version) folders of this
-        # batch are (re)written, so replaying a batch after a failure is idempotent
-        (merged.withColumn("v", F.lit(version)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(self.day, "v").parquet(self.root))
-        (self.spark.createDataFrame([(d, version) for d in days], f"{self.day} date, version string")
-         .coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest"))
+        merged = upsert_daily(new, new.limit(0) if old is None else old, self.key, self.ts, self.tb, self.day)
+        merged.write.partitionBy(self.day).parquet(f"{self.root}/{folder}")
+        rows = [(d, sequence, version, folder) for d in days]
+        self.spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
         return days
 
 
+def feedback_store(spark: SparkSession, root: str) -> DailyStore:
+    """One feedback row per client and prediction day, the latest feedback wins."""
+    return DailyStore(spark, root, "client_id", ts_col="feedback_date", tiebreak="actually_churned", day_col="prediction_date")
+
+
+def member_store(spark: SparkSession, root: str) -> DailyStore:
+    """A15 for members: one attrition prediction per member and day."""
+    return DailyStore(spark, root, "team_member_id")
+
+
 def export_all(datasets: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, int]:
-    """Each non-empty dataset written as csv / json / parquet; the
-    returned metadata lists row counts (empty ones are skipped)."""
-    meta = {}
+    """A10: each non-empty dataset written as csv / json / parquet.  A11: a
+    metadata document (dataset, rows, columns; empty sets included, they have no
+    files) is written beside them as ``_metadata`` and the row counts of the
+    written ones are returned."""
+    meta, described = {}, []
     for name, df in datasets.items():
-        if df.isEmpty():
+        n = df.count()
+        described.append((name, n, df.columns))
+        if not n:
             continue
         w = df.write.mode("overwrite")
         if fmt == "csv":
@@ -89,7 +103,11 @@ def export_all(datasets: dict[str, DataFrame], path: str, fmt: str = "parquet")
             w.json(f"{path}/{name}")
         else:
             w.parquet(f"{path}/{name}")
-        meta[name] = df.count()
+        meta[name] = n
+    if described:
+        spark = next(iter(datasets.values())).sparkSession
+        (spark.createDataFrame(described, "dataset string, rows long, columns array<string>")
+         .coalesce(1).write.mode("overwrite").json(f"{path}/_metadata"))
     return meta
 
 
@@ -126,9 +144,9 @@ def run_log(preds: DataFrame, model_name: str, model_version: str, start: str, e
 def append_predictions(preds: DataFrame, path: str, quarantine_path: str | None = None,
                        **validate_kw) -> DataFrame:
     """Defaults for missing document fields, validity split (A18); good
-    rows are appended to the prediction table, bad rows to a quarantine
-    table, and the run counts are returned as one row."""
-    from staywise.operators.history import validate
+    rows are appended to the prediction table, bad rows to a quarantine table.
+    Returns one row of counts: total_rows, valid_rows, quarantined_rows."""
+    from staywise.operators.history import validate, validation_counts
     if "features" not in preds.columns:
         preds = preds.withColumn("features", F.create_map().cast("map<string,double>"))
     if "top_risk_factors" not in preds.columns:
@@ -137,4 +155,4 @@ def append_predictions(preds: DataFrame, path: str, quarantine_path: str | None
     good.write.mode("append").parquet(path)
     if quarantine_path:
         bad.write.mode("append").parquet(quarantine_path)
-    return good
+    return validation_counts(preds, **validate_kw)

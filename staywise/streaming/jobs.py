@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from staywise.functions.dates import ntz_micros
 from staywise.operators import features as FT
 from staywise.operators import history as H
+from staywise.sources.tables import read_if_exists
 
 CONFIRM_OUT = ("client_id long, prediction_day date, risk_level string, confirmed_level string, late boolean")
 CONFIRM_STATE = "last_day date, last_level string"
@@ -60,49 +61,77 @@ def stream_confirm(daily_stream: DataFrame) -> DataFrame:
                                     GroupStateTimeout.NoTimeout))
 
 
+NO_MONTH = "none"
+
+
 def stream_features(terms_stream: DataFrame, feature_path: str, checkpoint: str):
     """L2: J1 features for new termination rows, appended idempotently.
 
-    The feature table is partitioned by notice month; each micro-batch is
-    anti-joined on (notice_month, termination_id) with the stored table, so
-    dynamic partition pruning reads only the months present in the batch,
-    not the whole history.  A replayed batch finds its own rows and writes
-    nothing (C2 semantics: compute only what is missing)."""
+    The feature table is partitioned by notice month (``none`` where there is
+    no notice date).  A micro-batch reads the stored ids of its own months only
+    (a filter on the partition column; the months of a batch are a handful) and
+    drops the rows that are there already, so a replayed batch writes nothing
+    (C2 semantics: compute only what is missing)."""
     def write(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        feats = (FT.form_features(batch, {"notice_month": F.date_format(F.col("notice_date"), "yyyy-MM")})
-                 .dropDuplicates(["termination_id"]))
-        try:
-            existing = spark.read.parquet(feature_path).select("notice_month", "termination_id")
-            feats = feats.join(existing, ["notice_month", "termination_id"], "left_anti")
-        except Exception:  # first batch: no table yet
-            pass
+        month = F.coalesce(F.date_format(F.col("notice_date"), "yyyy-MM"), F.lit(NO_MONTH))
+        feats = FT.form_features(batch, {"notice_month": month}).dropDuplicates(["termination_id"])
+        months = [r[0] for r in batch.select(month.alias("m")).distinct().collect()]
+        stored = stored_ids(batch.sparkSession, feature_path, months)
+        if stored is not None:
+            feats = feats.join(stored, ["notice_month", "termination_id"], "left_anti")
         feats.write.mode("append").partitionBy("notice_month").parquet(feature_path)
     return (terms_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def stream_feedback(fb_stream: DataFrame, days: int = 90, slide: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """L3: feedback precision over sliding windows of ``days`` days; the
-    watermark bounds the state kept for late feedback."""
+def stored_ids(spark: SparkSession, feature_path: str, months: list[str]) -> DataFrame | None:
+    """(notice_month, termination_id) of the stored rows of these months."""
+    stored = read_if_exists(spark, feature_path)
+    if stored is None:
+        return None
+    # a table of one unnamed month would be read with another type
+    stored = stored.withColumn("notice_month", F.col("notice_month").cast("string"))
+    return stored.filter(F.col("notice_month").isin(months)).select("notice_month", "termination_id")
+
+
+def stream_feedback_days(fb_stream: DataFrame, day_path: str, checkpoint: str, delay: str = "1 day"):
+    """L3, the stream: feedback and true positives per day.  The state holds one
+    row per day that is still open (the watermark closes days ``delay`` behind
+    the latest feedback); each micro-batch rewrites the day folders it changed,
+    so a replay leaves the same table."""
     ch = F.col("actually_churned")
     # the watermark needs a zoned timestamp: use the instant whose UTC clock
-    # equals the wall clock, so windows align to wall-clock days in any zone
-    fb_stream = fb_stream.withColumn("feedback_date", F.timestamp_micros(ntz_micros("feedback_date")))
+    # equals the wall clock, so days align to wall-clock days in any zone
+    clock = fb_stream.withColumn("feedback_date", F.timestamp_micros(ntz_micros("feedback_date")))
     epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
-    return (fb_stream.withWatermark("feedback_date", delay)
-            .groupBy(F.window("feedback_date", f"{days} days", slide).alias("w"))
-            .agg(F.count(F.lit(1)).alias("total_feedback"),
-                 F.sum(F.when(ch, 1).otherwise(0)).alias("true_positives"))
-            .select(F.timestamp_add("MICROSECOND", F.unix_micros("w.start"), epoch).alias("window_start"),
-                    F.timestamp_add("MICROSECOND", F.unix_micros("w.end"), epoch).alias("window_end"),
+    days = (clock.withWatermark("feedback_date", delay).groupBy(F.window("feedback_date", "1 day").alias("w"))
+            .agg(F.count(F.lit(1)).alias("total_feedback"), F.sum(F.when(ch, 1).otherwise(0)).alias("true_positives"))
+            .select(F.to_date(F.timestamp_add("MICROSECOND", F.unix_micros("w.start"), epoch)).alias("day"),
+                    "total_feedback", "true_positives"))
+
+    def sink(batch: DataFrame, batch_id: int):
+        (batch.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("day").parquet(day_path))
+    return (days.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .outputMode("update").trigger(availableNow=True).start())
+
+
+def feedback_windows(days: DataFrame, width: int = 90) -> DataFrame:
+    """L3, the report: precision over windows of ``width`` days, one a day, from
+    the day table (so the expansion is per day of history, not per feedback)."""
+    starts = F.explode(F.sequence(F.date_sub("day", width - 1), F.col("day")))
+    return (days.select(starts.alias("s"), "total_feedback", "true_positives").groupBy("s")
+            .agg(F.sum("total_feedback").alias("total_feedback"), F.sum("true_positives").alias("true_positives"))
+            .select(F.col("s").cast("timestamp_ntz").alias("window_start"),
+                    F.date_add("s", width).cast("timestamp_ntz").alias("window_end"),
                     "total_feedback", "true_positives",
                     (F.col("true_positives") / F.col("total_feedback")).alias("actual_precision")))
 
 
 def stream_upsert(pred_stream: DataFrame, store_root: str, checkpoint: str, key: str = "client_id"):
-    """L4: each micro-batch is upserted into the daily store (A15): the new
-    version is written beside the old one, then becomes current."""
+    """L4: each micro-batch is upserted into the daily store (A15).  The store
+    numbers its writes itself, so a new checkpoint (batch ids from 0) goes on
+    after what is stored."""
     from staywise.sources.store import DailyStore
 
     def write(batch: DataFrame, batch_id: int):

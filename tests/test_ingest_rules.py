@@ -11,7 +11,7 @@ def test_import_headers_and_booleans(spark, tmp_path):
     csv.write_text(
         "Client Name,Team Member  Start Date ,Timeframe for Replacement,Time Frame for Replacement,"
         "Have we lost the Client?,Was a Performance Improvement Plan Implemented?,Unmapped Column\n"
-        "Acme,2024-01-02,,2-4 weeks,Yes,x,zzz\n"
+        "Acme,2024-01-02,\"  \",2-4 weeks,Yes,x,zzz\n"
         "  ,2024-01-03,Immediate,,No,no,zzz\n"
         "Beta,1/2/2024,Immediate,,No,TRUE,zzz\n")
     df = I.import_terminations(spark, str(csv))

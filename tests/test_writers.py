@@ -1,7 +1,9 @@
 """Store, export and report writers."""
 
 import datetime as dt
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from staywise.operators import history as H
@@ -16,22 +18,61 @@ def _preds(spark, rows):
 def test_daily_store_versions(spark, tmp_path):
     s = ST.DailyStore(spark, str(tmp_path / "store"))
     assert s.current() is None
-    s.upsert(_preds(spark, [(1, 7, dt.datetime(2024, 1, 5, 9), 0.1)]), "00000001")
+    s.upsert(_preds(spark, [(1, 7, dt.datetime(2024, 1, 5, 9), 0.1)]), "20240130_v9")
     s.upsert(_preds(spark, [(2, 7, dt.datetime(2024, 1, 5, 18), 0.2), (3, 7, dt.datetime(2024, 1, 6, 9), 0.3)]),
-             "00000002")
-    assert s.versions() == ["00000001", "00000002"]
+             "20240130_v10")
+    # the order of writing decides, not the text order of the version names
     cur = sorted((r.id, str(r.prediction_day)) for r in s.current().collect())
     assert cur == [(2, "2024-01-05"), (3, "2024-01-06")]
-    # the previous version of the touched day is untouched; untouched days are not rewritten
-    old = spark.read.parquet(str(tmp_path / "store" / "prediction_day=2024-01-05" / "v=00000001")).collect()
-    assert [r.id for r in old] == [1]
-    s.upsert(_preds(spark, [(4, 8, dt.datetime(2024, 1, 7, 9), 0.4)]), "00000003")
-    assert not (tmp_path / "store" / "prediction_day=2024-01-05" / "v=00000003").exists()
+    # the first write's files are untouched; untouched days are not rewritten
+    first = s.manifest().filter("sequence = 0").first().folder
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "store" / first)).collect()] == [1]
+    s.upsert(_preds(spark, [(4, 8, dt.datetime(2024, 1, 7, 9), 0.4)]), "20240131_v1")
+    last = s.manifest().filter("sequence = 2").first().folder
+    assert [p.name for p in (tmp_path / "store" / last).glob("prediction_day=*")] == ["prediction_day=2024-01-07"]
     assert sorted(r.id for r in s.current().collect()) == [2, 3, 4]
-    # replaying the last batch (same version) changes nothing
-    s.upsert(_preds(spark, [(4, 8, dt.datetime(2024, 1, 7, 9), 0.4)]), "00000003")
+    # writing a batch again (same version) goes to a folder of its own and changes nothing
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / last).rglob("*.parquet")}
+    s.upsert(_preds(spark, [(4, 8, dt.datetime(2024, 1, 7, 9), 0.4)]), "20240131_v1")
     assert sorted(r.id for r in s.current().collect()) == [2, 3, 4]
-    assert (tmp_path / "store" / "_manifest").exists()
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / last).rglob("*.parquet")}
+    # another store object, as after a restart, goes on counting
+    ST.DailyStore(spark, str(tmp_path / "store")).upsert(_preds(spark, [(9, 8, dt.datetime(2024, 1, 7, 10), 0.9)]), "0")
+    assert sorted(r.id for r in s.current().collect()) == [2, 3, 9]
+
+
+def test_daily_store_keeps_maps_and_quarantines_rows_without_a_day(spark, tmp_path):
+    s = ST.DailyStore(spark, str(tmp_path / "store"))
+    p = _preds(spark, [(1, 7, dt.datetime(2024, 1, 5, 9), 0.1), (2, 7, dt.datetime(2024, 1, 5, 10), 0.2), (3, 8, None, 0.3)])
+    p = p.withColumn("features", F.create_map(F.lit("p"), F.col("churn_probability")))
+    assert s.upsert(p, "a") == [dt.date(2024, 1, 5)]
+    assert s.upsert(p.filter("id = 3"), "b") == []
+    assert [(r.id, r.features) for r in s.current().collect()] == [(2, {"p": 0.2})]
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "store" / "_quarantine" / "*")).collect()] == [3, 3]
+    assert H.latest(p.filter("id < 3"), "client_id").first().features == {"p": 0.2}
+
+
+def test_unreadable_manifest_is_an_error(spark, tmp_path):
+    s = ST.DailyStore(spark, str(tmp_path / "store"))
+    s.upsert(_preds(spark, [(1, 7, dt.datetime(2024, 1, 5, 9), 0.1), (2, 8, dt.datetime(2024, 1, 5, 9), 0.1)]), "1")
+    (part,) = (tmp_path / "store" / "_manifest").glob("*.parquet")
+    good = part.read_bytes()
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    part.write_bytes(b"PAR1 damaged PAR1")
+    with pytest.raises(Exception):
+        s.upsert(_preds(spark, [(3, 9, dt.datetime(2024, 1, 5, 9), 0.1)]), "2")
+    part.write_bytes(good)
+    assert sorted(r.id for r in s.current().collect()) == [1, 2]
+
+
+def test_feedback_store(spark, tmp_path):
+    s = ST.feedback_store(spark, str(tmp_path / "fb"))
+    day = dt.date(2024, 1, 5)
+    rows = [(7, day, dt.datetime(2024, 1, 8), False), (7, day, dt.datetime(2024, 1, 9), True), (8, day, dt.datetime(2024, 1, 9), False)]
+    cols = "client_id long, prediction_date date, feedback_date timestamp, actually_churned boolean"
+    s.upsert(spark.createDataFrame(rows[:1] + rows[2:], cols), "1")
+    s.upsert(spark.createDataFrame(rows[1:2], cols), "2")
+    assert sorted((r.client_id, r.actually_churned) for r in s.current().collect()) == [(7, True), (8, False)]
 
 
 def test_export_and_latest_file(spark, tmp_path):
@@ -39,6 +80,9 @@ def test_export_and_latest_file(spark, tmp_path):
     empty = spark.range(0)
     meta = ST.export_all({"a": a, "empty": empty}, str(tmp_path / "out"), "csv")
     assert meta == {"a": 5}
+    (part,) = (tmp_path / "out" / "_metadata").glob("*.json")
+    docs = [json.loads(x) for x in part.read_text().splitlines()]
+    assert sorted((d["dataset"], d["rows"], d["columns"]) for d in docs) == [("a", 5, ["id", "x"]), ("empty", 0, ["id"])]
     back = spark.read.option("header", True).csv(str(tmp_path / "out" / "a"))
     assert back.count() == 5
     ST.export_all({"a": a}, str(tmp_path / "js"), "json")
