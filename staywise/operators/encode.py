@@ -9,9 +9,11 @@ shuffle, and an unexpectedly large vocabulary is never broadcast blindly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staywise.operators.ordering import position, running_sums
+
 
 def _value(col: str, fill: str | None):
     c = F.col(col).cast("string")
@@ -20,9 +22,9 @@ def _value(col: str, fill: str | None):
 
 def fit_vocabulary(df: DataFrame, col: str, fill: str | None = None) -> DataFrame:
     """E6 fit: sorted distinct values -> code 0..k-1 (alphabetical, as a label
-    encoder).  The window runs over the distinct values only."""
+    encoder).  The distinct values are numbered over even ranges."""
     distinct = df.select(_value(col, fill).alias("value")).distinct()
-    return distinct.withColumn("code", F.dense_rank().over(Window.orderBy("value")) - 1)
+    return position(distinct, [F.col("value")], "code")
 
 
 def label_encode(df: DataFrame, col: str, vocab: DataFrame, out: str, fill: str | None = None,
@@ -49,11 +51,12 @@ def fit_transform(df: DataFrame, col: str, out: str, fill: str | None = None) ->
 
 def factorize(df: DataFrame, col: str, out: str, order_by: str = "id", fill: str | None = None) -> DataFrame:
     """Code by first appearance in ``order_by`` order.  First appearance
-    per value is a partial aggregation; only the distinct values are ranked."""
+    per value is a partial aggregation; only the distinct values are numbered,
+    over even ranges."""
     key = f"__{out}_key"
     d = df.withColumn(key, _value(col, fill))
     first = d.groupBy(key).agg(F.min(order_by).alias("__first"))
-    codes = first.select(key, (F.dense_rank().over(Window.orderBy("__first", key)) - 1).alias(out))
+    codes = position(first, [F.col("__first"), F.col(key)], out).select(key, out)
     return d.join(codes, key, "left").drop(key)
 
 
@@ -65,7 +68,7 @@ def fit_vocabularies(df: DataFrame, cols: dict[str, str | None]) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _value(c, fill).alias("value"))
                                 for c, fill in cols.items()]))
     d = df.select(pairs.alias("p")).select("p.*").distinct()
-    return d.withColumn("code", F.dense_rank().over(Window.partitionBy("column").orderBy("value")) - 1)
+    return running_sums(d.withColumn("one_", F.lit(1)), ["column"], [F.col("value")], {"code": "one_"}).drop("one_")
 
 
 def vocabulary(vocabs: DataFrame, col: str) -> DataFrame:

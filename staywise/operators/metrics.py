@@ -1,18 +1,13 @@
 """Classification metrics on (label, score) rows and deterministic
 stratified splits (D11-D16, D20-D23, K1-K3, K7, K8).
 
-Ordered statistics (AUC, PR curve, ranks for splits) need prefix sums over
-a global order.  A single-partition window would put every row in one task,
-so they are computed in two levels:
-
-1. rows are grouped by their exact sort value (partial aggregation - a hot
-   value is one row per map task);
-2. values are assigned to at most ``2**bits`` ordered buckets; per-bucket
-   totals (a table of bounded size) give each bucket's offset, and a window
-   partitioned by bucket adds the exact in-bucket prefix.
-
-Every bucket is a separate window partition, so the work spreads over the
-cluster and no task sees more than one bucket's distinct values.
+Ordered statistics (AUC, PR curve, quantiles) need prefix sums over a global
+order.  Rows are first grouped by their exact sort value (partial aggregation:
+a hot value is one row per map task); the distinct values are then
+range-partitioned by sampled bounds, so that crowded values spread as evenly as
+any, and running sums add up inside the parts and over the parts' totals
+(``ordering.running_sums``).  Ranks for splits use hash buckets, which are even
+by nature.
 """
 
 from __future__ import annotations
@@ -23,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staywise.functions.risk import fbeta
+from staywise.operators.ordering import running_sums
 
-DEFAULT_BITS = 12
 # The threshold grid searched for the best F0.5 (start 0.5).
 THRESHOLD_GRID = (0.40, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80)
 
@@ -71,35 +66,23 @@ def score_counts(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] =
                  F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
 
 
-def _bucket(score: Column, bits: int) -> Column:
-    nb = 1 << bits
-    return F.least(F.greatest(F.floor(score * nb), F.lit(0)), F.lit(nb - 1)).cast("int")
+def counts_above(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """For each distinct score: positives and negatives with a strictly greater
+    score (``pos_above``, ``neg_above``) and the totals of its group.  The
+    distinct scores are dealt to ranges of equal size, however they crowd."""
+    by = list(by)
+    out = running_sums(counts, by, [F.col("score").desc()], {"pos_above": "pos", "neg_above": "neg"})
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("total_pos"), F.sum("neg").alias("total_neg"))
+    if by:
+        return out.join(totals, by)  # one row per group
+    t = totals.first()
+    return out.withColumns({c: F.lit(t[c] or 0).cast("long") for c in ("total_pos", "total_neg")})
 
 
-def counts_above(counts: DataFrame, by: Sequence[str] = (), bits: int = DEFAULT_BITS) -> DataFrame:
-    """For each distinct score: positives and negatives with a strictly
-    greater score (``pos_above``, ``neg_above``), computed bucket-wise."""
-    by = list(by)
-    c = counts.withColumn("_b", _bucket(F.col("score"), bits))
-    bt = c.groupBy(*by, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wb = Window.partitionBy(*by).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*by)
-    offsets = bt.select(*by, "_b", F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_op"),
-                        F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"),
-                        F.sum("_bp").over(wall).alias("total_pos"), F.sum("_bn").over(wall).alias("total_neg"))
-    # offsets has at most (#groups x 2**bits) rows; AQE broadcasts it when small
-    j = c.join(offsets, [*by, "_b"], "inner")
-    wi = Window.partitionBy(*by, "_b").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return j.select(*by, "score", "pos", "neg",
-                    (F.col("_op") + F.coalesce(F.sum("pos").over(wi), F.lit(0))).alias("pos_above"),
-                    (F.col("_on") + F.coalesce(F.sum("neg").over(wi), F.lit(0))).alias("neg_above"),
-                    "total_pos", "total_neg")
-
-
-def auc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), bits: int = DEFAULT_BITS) -> DataFrame:
+def auc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """Exact ROC AUC, ties count one half:
     sum(neg * (pos_above + pos / 2)) / (P * N); 0.5 when one class is empty."""
-    ca = counts_above(score_counts(df, y, p, by), by, bits)
+    ca = counts_above(score_counts(df, y, p, by), by)
     g = ca.groupBy(*by) if by else ca.groupBy()
     agg = g.agg(F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0)).alias("_u"),
                 F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
@@ -107,10 +90,10 @@ def auc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (), bits:
                       .otherwise(F.lit(0.5)).alias("auc_roc"))
 
 
-def pr_curve(df: DataFrame, y: str = "y", p: str = "p", bits: int = DEFAULT_BITS) -> DataFrame:
+def pr_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Precision and recall when flagging ``score >= threshold``, one
-    row per distinct score (class totals come with the bucket offsets)."""
-    ca = counts_above(score_counts(df, y, p), (), bits)
+    row per distinct score."""
+    ca = counts_above(score_counts(df, y, p))
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
     return ca.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
@@ -236,31 +219,15 @@ def standardize(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("id",
     return df.select(*keep, *out)
 
 
-def exact_quantiles(long: DataFrame, group: str, value: str, probs: Sequence[float],
-                    bits: int = DEFAULT_BITS) -> DataFrame:
+def exact_quantiles(long: DataFrame, group: str, value: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (h = (n - 1) p, as pandas),
-    per group, without gathering a group's values in one task:
-
-    distinct (group, value) counts (partial aggregation) -> equal-width value
-    buckets per group -> bucket offsets (table of <= 2**bits rows per group)
-    -> in-bucket running counts (window per bucket) -> each distinct value
-    keeps the target ranks that fall in its [start, start + count) range.
-    Returns (group, p, q)."""
+    per group, without gathering a group's values in one task: distinct
+    (group, value) counts (partial aggregation) are summed in order over even
+    ranges, and each distinct value keeps the target ranks that fall in its
+    [start, start + count) range.  Returns (group, p, q)."""
     counts = long.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    rng = counts.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                                    F.sum("_c").alias("_n"))
-    nb = 1 << bits
-    # rng has one row per group (bounded by the number of groups)
-    c = counts.join(F.broadcast(rng), group).withColumn(
-        "_b", F.when(F.col("_hi") > F.col("_lo"),
-                     F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * nb),
-                             F.lit(nb - 1))).otherwise(F.lit(0)).cast("int"))
-    bt = c.groupBy(group, "_b").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = bt.select(group, "_b", F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_off"))
-    wi = Window.partitionBy(group, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = c.join(off, [group, "_b"]).withColumn(
-        "_start", F.col("_off") + F.coalesce(F.sum("_c").over(wi), F.lit(0)))
+    n = counts.groupBy(group).agg(F.sum("_c").alias("_n"))  # one row per group
+    ranked = running_sums(counts, [group], [F.col(value)], {"_start": "_c"}).join(n, group)
     targets = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(k).alias("side"),
                                  (F.floor((F.col("_n") - 1) * p) if k == 0 else F.ceil((F.col("_n") - 1) * p))
                                  .alias("rank"), ((F.col("_n") - 1) * p).alias("h"))

@@ -19,18 +19,27 @@ def _parts(df: DataFrame, order) -> DataFrame:
     return materialize(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
 
 
+def running_sums(df: DataFrame, group: list[str], order: list, sums: dict[str, str]) -> DataFrame:
+    """For each (name, value) of ``sums`` adds ``name``: the sum of ``value``
+    over the rows of the same ``group`` (columns without nulls; none: all rows)
+    that come before the row in ``order`` (a total order within the group)."""
+    parts = _parts(df, [*[F.col(g) for g in group], *order])
+    inside = Window.partitionBy("part_", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.withColumns({name: F.coalesce(F.sum(v).over(inside), F.lit(0)) for name, v in sums.items()})
+    totals = parts.groupBy(*group, "part_").agg(*[F.sum(v).alias(f"sum_{name}") for name, v in sums.items()])
+    shift = totals.select(*[F.col(g).alias(f"group_{g}") for g in group], F.col("part_").alias("p_"), *[
+        F.coalesce(F.sum(f"sum_{name}").over(before), F.lit(0)).alias(f"shift_{name}") for name in sums])
+    same = rows["part_"] == shift["p_"]
+    for g in group:
+        same &= rows[g] == shift[f"group_{g}"]
+    out = rows.join(shift, same)
+    out = out.withColumns({name: (F.col(name) + F.col(f"shift_{name}")).cast("long") for name in sums})
+    return out.drop("part_", "p_", *[f"group_{g}" for g in group], *[f"shift_{name}" for name in sums])
+
+
 def running_sum(df: DataFrame, group: str, order: list, value: str, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows of the same ``group``
-    (not null) that come before the row in ``order`` (a total order)."""
-    parts = _parts(df, [F.col(group), *order])
-    inside = Window.partitionBy("part_", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = parts.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    before = Window.partitionBy(group).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (parts.groupBy(group, "part_").agg(F.sum(value).alias("sum_"))
-             .withColumn("shift_", F.coalesce(F.sum("sum_").over(before), F.lit(0)))
-             .select(F.col(group).alias("group_"), F.col("part_").alias("p_"), "shift_"))
-    out = rows.join(shift, (rows["part_"] == shift["p_"]) & (rows[group] == shift["group_"]))
-    return out.withColumn(name, (F.col(name) + F.col("shift_")).cast("long")).drop("part_", "p_", "group_", "shift_")
+    return running_sums(df, [group], order, {name: value})
 
 
 def position(df: DataFrame, order: list, name: str) -> DataFrame:

@@ -101,3 +101,37 @@ def test_stream_features_idempotent(spark, tmp_path):
         J.stream_features(s, str(tmp_path / "feat"), str(tmp_path / f"ck{run}")).awaitTermination()
     f = spark.read.parquet(str(tmp_path / "feat"))
     assert f.count() == t.count() == f.select("termination_id").distinct().count()
+
+
+def test_stream_features_with_null_dates_replayed(spark, tmp_path):
+    """Rows without a notice date are stored once, however often they come."""
+    from staywise.sources import adapters as A
+    from staywise.streaming import jobs as J
+    t = A.terminations(spark, SF_SMALL).orderBy("id").limit(20)
+    t = t.withColumn("notice_date", F.when(F.col("id") % 2 == 0, F.col("notice_date")))
+    t.coalesce(1).write.parquet(str(tmp_path / "src"))
+    for run in range(3):
+        s = spark.readStream.schema(t.schema).parquet(str(tmp_path / "src"))
+        J.stream_features(s, str(tmp_path / "feat"), str(tmp_path / f"ck{run}")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "feat"))
+    assert got.count() == 20 and got.select("termination_id").distinct().count() == 20
+    # the stored ids are looked up in the batch's months only
+    ids = J.stored_ids(spark, str(tmp_path / "feat"), ["none"])
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "none" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_feedback_days_replayed(spark, tmp_path):
+    from staywise.streaming import jobs as J
+    rows = [(1, f"2024-01-0{d} 0{h}:00:00", h % 2 == 0) for d in (1, 2, 5) for h in range(4)]
+    fb = spark.createDataFrame(rows, "client_id long, d string, actually_churned boolean").withColumn(
+        "feedback_date", F.to_timestamp_ntz("d")).drop("d")
+    fb.coalesce(1).write.parquet(str(tmp_path / "src"))
+    for run in range(2):
+        s = spark.readStream.schema(fb.schema).parquet(str(tmp_path / "src"))
+        J.stream_feedback_days(s, str(tmp_path / "days"), str(tmp_path / f"ck{run}")).awaitTermination()
+    days = spark.read.parquet(str(tmp_path / "days"))
+    assert sorted((str(r.day), r.total_feedback, r.true_positives) for r in days.collect()) == [
+        ("2024-01-01", 4, 2), ("2024-01-02", 4, 2), ("2024-01-05", 4, 2)]
+    w = {str(r.window_start)[:10]: r.total_feedback for r in J.feedback_windows(days, 3).collect()}
+    assert w == {"2023-12-30": 4, "2023-12-31": 8, "2024-01-01": 8, "2024-01-02": 4, "2024-01-03": 4, "2024-01-04": 4, "2024-01-05": 4}
