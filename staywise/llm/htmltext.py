@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from staywise.llm.common import map_batches, pick
+from staywise.llm.common import cut, map_batches, pick
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -212,8 +212,8 @@ def templates(pages: DataFrame, min_pages: int = 5, outside: float = 0.005, insi
 
     seen = map_batches(pages.select("host", "html"), run, "host string, article long, hash long, inside boolean").distinct()
     n = seen.groupBy("host", "hash", "inside").agg(F.count(F.lit(1)).alias("n"))
-    n = n.where((F.col("n") >= min_pages) | F.col("inside").isNull())
     # one row per host has no hash: its number of different articles
+    n = cut(n.where((F.col("n") >= min_pages) | F.col("inside").isNull()))
     totals = n.where("inside is null").select(F.col("host").alias("h_"), F.col("n").alias("all"))
     hit = n.where("inside is not null").join(totals, F.col("host") == F.col("h_"))
     share = F.when(F.col("inside"), F.lit(inside)).otherwise(F.lit(outside))
@@ -221,6 +221,25 @@ def templates(pages: DataFrame, min_pages: int = 5, outside: float = 0.005, insi
     return hit.groupBy("host").agg(F.collect_set("hash").alias("template"))
 
 
+#: Bytes of template lists up to which every task gets all of them.
+SHARED_BYTES = 16 << 20
+#: Parts that each host's pages are dealt to where the lists are larger.
+PARTS = 64
+
+
+def with_templates(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds each page's template list.  The lists are broadcast if they measure
+    no more than ``SHARED_BYTES``; else pages are joined by host and part, so
+    that a host with a third of all pages is not one task's."""
+    found = cut(found.withColumnRenamed("host", "host_"))
+    held = found.agg(F.coalesce(F.sum(8 * F.size("template") + F.length("host_")), F.lit(0))).first()[0]
+    if held <= SHARED_BYTES:
+        return pages.join(F.broadcast(found), F.col("host") == F.col("host_"), "left")
+    found = found.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")
+    return pages.join(found, (F.col("host") == F.col("host_")) & (part == F.col("part_")), "left")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text ('' if none), n_chars (code points).
 
@@ -229,8 +248,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     columns are not read."""
     p = pick(pages, page_id=id_col, url=url_col, html=html_col)
     p = p.withColumn("host", host_of(F.col("url")))
-    t = templates(p).select(F.col("host").alias("host_"), "template")
-    p = p.join(t, p["host"] == t["host_"], "left").select("page_id", "url", "html", "template")
+    p = with_templates(p, templates(p)).select("page_id", "url", "html", "template")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = [main_text(page or "", set(t or ())) for page, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist())]

@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from staywise.llm import htmltext, queries
 from tests.llm.helpers import SF
 
@@ -37,7 +39,9 @@ def test_pages_match_a_plain_version(spark):
         assert r["text"] == "\n".join(w for w in want if w) and r["n_chars"] == len(r["text"]) and r["url"] == rows[r["page_id"]]["url"]
 
 
-def test_recurring_subtrees_are_removed_per_host(spark):
+@pytest.mark.parametrize("shared", [htmltext.SHARED_BYTES, 0])
+def test_recurring_subtrees_are_removed_per_host(spark, monkeypatch, shared):
+    monkeypatch.setattr(htmltext, "SHARED_BYTES", shared)
     page = "<body><div><p>Join our list today</p></div><p>text number {0} of the site</p><div><p>{1}</p></div></body>"
     rows = [(k, f"https://a.example/{k}", page.format(k, "own words" if k % 10 else "shared by few")) for k in range(40)]
     rows += [(100 + k, f"http://B.example:80/{k}", page.format(k, "x")) for k in range(3)]
