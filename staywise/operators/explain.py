@@ -151,9 +151,14 @@ def top_contributions(long: DataFrame, n: int = 3, key: str = "id") -> DataFrame
 
 
 def global_importance(long: DataFrame) -> DataFrame:
-    """Mean |contribution| per feature, 4 decimals, descending."""
-    return (long.filter(F.col("feature") != "__base__").groupBy("feature")
-            .agg(F.round(F.avg(F.abs("contribution")), 4).alias("mean_abs_contribution")))
+    """Mean |contribution| per feature, 4 decimals, with its rank
+    (largest first) and label."""
+    out = (long.filter(F.col("feature") != "__base__").groupBy("feature")
+           .agg(F.round(F.avg(F.abs("contribution")), 4).alias("mean_abs_contribution")))
+    labels = F.create_map(*[F.lit(x) for kv in FEATURE_LABELS.items() for x in kv])
+    w = Window.orderBy(F.col("mean_abs_contribution").desc(), "feature")  # one row per feature
+    return (out.withColumn("rank", F.row_number().over(w))
+            .withColumn("label", F.coalesce(F.try_element_at(labels, F.col("feature")), F.col("feature"))))
 
 
 # Feature labels and the reason shown for each direction

@@ -192,7 +192,7 @@ def stratified_split(df: DataFrame, train_frac: float = 0.8, y: str = "y", key:
     d = df.withColumn("_h", hash_order(F.col(key), seed))
     pos = positions(d, [y], "_h", key)
     n = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
-    j = pos.join(F.broadcast(n), y)  # one row per label value
+    j = pos.join(n, y)  # one row per label value
     return (j.withColumn("split", F.when(F.col("pos") < F.round(F.col("_n") * train_frac), "train")
                          .otherwise("test")).drop("_h", "_n", "pos"))
 

@@ -12,6 +12,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -23,11 +24,17 @@ from pyspark.sql import functions as F
 
 from staywise.functions.risk import STRICT_BANDS, risk_level, risk_score
 from staywise.operators.metrics import stratified_folds
+from staywise.session import materialize
 
 # Default boosted-tree settings (depth 4, 100 trees, rate 0.1).
 DEFAULT_PARAMS = {"maxDepth": 4, "maxIter": 100, "stepSize": 0.1, "subsamplingRate": 0.8,
                   "minInstancesPerNode": 1, "seed": 42}
 
+# The searched grid, by the settings that boosted trees have here
+# (depth, rows a leaf must hold, trees, least gain of a split, rate): 162 combinations.
+FULL_GRID = {"maxDepth": (2, 3, 4), "minInstancesPerNode": (3, 5, 7), "maxIter": (100, 150, 200),
+             "minInfoGain": (0.1, 0.3, 0.5), "stepSize": (0.05, 0.1)}
+
 
 def fit_guard(df: DataFrame, label: str) -> dict:
     """Refuse to fit on no rows or one class; warn under 10 rows or
@@ -71,11 +78,11 @@ def fit_boosted(df: DataFrame, features: Sequence[str], label: str, params: Mapp
 
 def with_balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """N / (k * n_class) per row; per-label weights are a table of one
-    row per label value (windows over it give n and k), broadcast back."""
+    row per label value (windows over it give n and k), joined back."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.partitionBy()
     weights = per.select(label, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias(out))
-    return df.join(F.broadcast(weights), label)
+    return df.join(weights, label)
 
 
 def positive_probability(pred: DataFrame, prob_col: str = "probability", out: str = "p") -> DataFrame:
@@ -126,27 +133,34 @@ def calibrate(df: DataFrame, features: Sequence[str], label: str, k: int = 5, pa
               key: str = "id", seed: int = 42) -> CalibratedModel:
     """K6: for each of k stratified folds, fit on the other folds and fit a
     one-feature logistic regression (Platt) on the held-out margins."""
-    folded = stratified_folds(df, k, label, key, seed).cache()
-    members = []
-    for i in range(k):
-        train = folded.filter(F.col("fold") != i)
-        held = folded.filter(F.col("fold") == i)
-        m = fit_boosted(train, features, label, params)
-        mh = margin(m.transform(held.withColumn(label, F.col(label).cast("double")))).select("margin", label)
-        lrm = _platt(mh, label)
-        members.append((m, float(lrm.coefficients[0]), float(lrm.intercept)))
-    folded.unpersist()
-    return CalibratedModel(members)
+    folded = materialize(stratified_folds(df, k, label, key, seed))
+
+    def member(i: int):
+        m = fit_boosted(folded.filter(F.col("fold") != i), features, label, params)
+        held = folded.filter(F.col("fold") == i).withColumn(label, F.col(label).cast("double"))
+        lrm = _platt(margin(m.transform(held)).select("margin", label), label)
+        return m, float(lrm.coefficients[0]), float(lrm.intercept)
+    return CalibratedModel(_side_by_side(member, k))
+
+
+def _side_by_side(fit, k: int) -> list:
+    """The k independent fits as concurrent Spark jobs, in order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    with ThreadPoolExecutor(max_workers=k) as pool:
+        return list(pool.map(inheritable_thread_target(fit), range(k)))
 
 
 def grid_search(df: DataFrame, features: Sequence[str], label: str, grid: Mapping[str, Sequence] | None = None,
                 k: int = 5, key: str = "id", seed: int = 42, parallelism: int = 2):
     """K5: cross-validated search maximising F0.5 of the positive class, folds
-    fixed by K2 (``foldCol``).  The default grid is small; pass the full one
-    explicitly (162 or 432 combinations x k fits)."""
-    grid = grid or {"maxDepth": [3, 4], "maxIter": [20, 40]}
-    folded = stratified_folds(df, k, label, key, seed).withColumn(label, F.col(label).cast("double"))
-    pipe = _pipeline(features, label, {**DEFAULT_PARAMS, "maxIter": 20}, None, True)
+    fixed by K2 (``foldCol``).  ``grid`` (parameter -> values) decides the
+    number of fits, the product of its sizes times k; ``FULL_GRID`` is the whole
+    search.  What the grid does not name stays at the defaults."""
+    grid = FULL_GRID if grid is None else grid
+    folded = materialize(stratified_folds(df, k, label, key, seed).withColumn(label, F.col(label).cast("double")))
+    pipe = _pipeline(features, label, DEFAULT_PARAMS, None, True)
     gbt = pipe.getStages()[-1]
     pg = ParamGridBuilder()
     for name, values in grid.items():
@@ -191,44 +205,74 @@ def inspect(spark: SparkSession, model: PipelineModel, features: Sequence[str])
     return spark.createDataFrame(rows, "section string, name string, value string")
 
 
-def save(model: PipelineModel, meta: Mapping, root: str, version: str) -> str:
-    """Model directory per version plus a metadata JSON written next to
-    it; ``latest`` is resolved as the greatest version (no pointer file to
-    corrupt, trap T19)."""
-    path = f"{root.rstrip('/')}/{version}"
-    model.write().overwrite().save(f"{path}/model")
+def save(model: PipelineModel | CalibratedModel, meta: Mapping, root: str, version: str,
+         vocabularies: Mapping[str, DataFrame] | None = None) -> str:
+    """A model bundle in a folder of its own: the model (each member of a
+    calibrated one), its vocabularies (tables of value and code) and one
+    metadata document with the sequence number of the save, which decides
+    ``latest``.  The document is written last, so a bundle without it was never
+    finished and is not seen.  One writer at a time per root."""
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(version, json.dumps(dict(meta), default=str))], "version string, meta string") \
-        .coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    path = f"{root.rstrip('/')}/{version}"
+    members = model.members if isinstance(model, CalibratedModel) else [(model, None, None)]
+    for i, (m, _, _) in enumerate(members):
+        m.write().overwrite().save(f"{path}/model/{i}")
+    for name, v in (vocabularies or {}).items():
+        v.write.mode("overwrite").parquet(f"{path}/vocabulary/{name}")
+    known = _metas(spark, root)
+    last = None if known is None else known.agg(F.max("sequence")).first()[0]
+    doc = {**dict(meta), "calibrated": isinstance(model, CalibratedModel), "sigmoids": [(a, b) for _, a, b in members],
+           "vocabularies": sorted(vocabularies or {})}
+    row = (version, 0 if last is None else last + 1, json.dumps(doc, default=str))
+    spark.createDataFrame([row], _META).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
     return path
 
 
+_META = "version string, sequence long, meta string"
+
+
+def _metas(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_META).json(f"{root.rstrip('/')}/*/meta")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def load(root: str, version: str = "latest"):
-    """Versions are listed through Spark's file source, so the registry works on
-    any Hadoop-compatible store, not only a local disk."""
+    """(model, metadata, version) of a bundle; versions are listed through
+    Spark's file source, so the registry works on any Hadoop-compatible store.
+    ``latest`` is the one saved last, whatever its name."""
     spark = SparkSession.getActiveSession()
-    metas = spark.read.json(f"{root.rstrip('/')}/*/meta")
-    if version == "latest":
-        row = metas.agg(F.max("version").alias("v")).first()
-        if row is None or row["v"] is None:
-            raise FileNotFoundError(f"no model under {root}")
-        version = row["v"]
-    meta = json.loads(metas.filter(F.col("version") == version).first()["meta"])
-    return PipelineModel.load(f"{root.rstrip('/')}/{version}/model"), meta, version
+    metas = _metas(spark, root)
+    if metas is not None:
+        metas = metas.filter(F.col("version") == version) if version != "latest" else metas
+        row = metas.agg(F.max_by(F.struct("version", "meta"), "sequence").alias("r")).first()["r"]
+    if metas is None or row is None:
+        raise FileNotFoundError(f"no model {version} under {root}")
+    meta = json.loads(row["meta"])
+    path = f"{root.rstrip('/')}/{row['version']}"
+    members = [(PipelineModel.load(f"{path}/model/{i}"), a, b) for i, (a, b) in enumerate(meta["sigmoids"])]
+    return CalibratedModel(members) if meta["calibrated"] else members[0][0], meta, row["version"]
+
+
+def load_vocabulary(root: str, version: str, name: str) -> DataFrame:
+    return SparkSession.getActiveSession().read.parquet(f"{root.rstrip('/')}/{version}/vocabulary/{name}")
 
 
 def with_scale_pos_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """K10 fallback (the reference's own path when the oversampling library
     is not installed, as here): positives weighted by neg / max(pos, 1),
     negatives by 1.  Per-label weights are a table of one row per label
-    value, joined back on the label with a broadcast of that proven size."""
+    value, joined back on the label."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy()
     pos = F.sum(F.when(F.col(label) == 1, F.col("_n")).otherwise(0)).over(w)
     neg = F.sum(F.when(F.col(label) == 1, 0).otherwise(F.col("_n"))).over(w)
     weights = per.select(label, F.when(F.col(label) == 1, neg / F.greatest(pos, F.lit(1)))
                          .otherwise(F.lit(1.0)).alias(out))
-    return df.join(F.broadcast(weights), label)
+    return df.join(weights, label)
 
 
 def cross_val_scores(df: DataFrame, features: Sequence[str], label: str, k: int = 5,
@@ -236,13 +280,14 @@ def cross_val_scores(df: DataFrame, features: Sequence[str], label: str, k: int
     """K9: for each of k stratified folds, fit on the others and score the
     held-out fold; exact AUC and F0.5 at 0.5 per fold (one row per fold)."""
     from staywise.operators.metrics import auc, confusion, metrics_from_confusion
-    folded = stratified_folds(df, k, label, key, seed).cache()
-    scored = None
-    for i in range(k):
+    folded = materialize(stratified_folds(df, k, label, key, seed))
+
+    def fold(i: int) -> DataFrame:
         m = fit_boosted(folded.filter(F.col("fold") != i), features, label, params)
         held = folded.filter(F.col("fold") == i).withColumn(label, F.col(label).cast("double"))
-        s = positive_probability(m.transform(held)).select(
-            "fold", "p", F.col(label).cast("int").alias("y"))
+        return positive_probability(m.transform(held)).select("fold", "p", F.col(label).cast("int").alias("y"))
+    scored = None
+    for s in _side_by_side(fold, k):
         scored = s if scored is None else scored.unionByName(s)
     per = metrics_from_confusion(confusion(scored, 0.5, by=["fold"])).select("fold", "f05")
     return per.join(auc(scored, by=["fold"]), "fold")

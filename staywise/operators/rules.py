@@ -198,7 +198,7 @@ SYNC_FEATURE_KEYS = (("days_since_communication", "days_since_communication"),
                      ("health_score", "health_score"), ("seat_count", "current_seat_count"))
 
 
-def sync_records(df: DataFrame, model_version: str, as_of: str, model_name: str = "client_churn_xgboost",
+def sync_records(df: DataFrame, model_version: str, as_of: str, model_name: str = "churn_gbt",
                  p_col: str = "churn_probability") -> DataFrame:
     """Prediction rows shaped for the store - level re-derived from the
     probability on the wide bands, integer score, the four-key feature

@@ -14,7 +14,9 @@ from staywise.plans.registry import query
 from staywise.sources import adapters as A
 from staywise.sources import ingest as I
 
-QUERY_PARAMS = {"maxIter": 10, "maxDepth": 3}
+#: The search that ``grid_search`` runs: the depths of the full grid, all else at the defaults.
+QUERY_GRID = {"maxDepth": (2, 3, 4)}
+_FITTED: dict[tuple, object] = {}
 
 
 def churn_training(spark, sf):
@@ -26,13 +28,36 @@ def churn_training(spark, sf):
 
 
 def split(df, label):
-    s = M.stratified_split(df, 0.8, label, "id", 42)
+    from staywise.session import materialize
+    s = materialize(M.stratified_split(df, 0.8, label, "id", 42))
     return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "test").drop("split")
 
 
+def _fitted(spark, sf, name, fit):
+    """The model object of a fit on this data, kept for the session's other queries."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
 def churn_model(spark, sf):
-    train, _ = split(churn_training(spark, sf), "client_lost")
-    return MO.fit_boosted(train, FT.TRAINING_MATRIX_12, "client_lost", QUERY_PARAMS)
+    def fit():
+        train, _ = split(churn_training(spark, sf), "client_lost")
+        return MO.fit_boosted(train, FT.TRAINING_MATRIX_12, "client_lost")
+    return _fitted(spark, sf, "churn", fit)
+
+
+def calibrated_model(spark, sf):
+    def fit():
+        train, _ = split(churn_training(spark, sf), "client_lost")
+        return MO.calibrate(train, FT.TRAINING_MATRIX_12, "client_lost", 5)
+    return _fitted(spark, sf, "calibrated", fit)
+
+
+def scoring_rows(spark, sf):
+    active = I.scan_clients(A.clients(spark, sf), active_only=True)
+    return FT.scoring_matrix(active, FT.training_data(A.terminations(spark, sf)))
 
 
 @query("boosted_fit")
@@ -52,7 +77,7 @@ def evaluate_on_split(spark, sf):
     """Held-out metrics at 0.5 plus exact AUC."""
     tm = churn_training(spark, sf)
     train, test = split(tm, "client_lost")
-    m = MO.fit_boosted(train, FT.TRAINING_MATRIX_12, "client_lost", QUERY_PARAMS)
+    m = churn_model(spark, sf)
     s = MO.positive_probability(m.transform(test.withColumn("client_lost", F.col("client_lost").cast("double"))))
     s = s.select("id", "p", F.col("client_lost").cast("int").alias("y"))
     return M._one_row_join(M.metrics_from_confusion(M.confusion(s, 0.5)), M.auc(s))
@@ -60,55 +85,75 @@ def evaluate_on_split(spark, sf):
 
 @query("calibrated_scores")
 def calibrated_scores(spark, sf):
-    """K6: five calibrated members, mean probability on the held-out split."""
-    tm = churn_training(spark, sf)
-    train, test = split(tm, "client_lost")
-    cal = MO.calibrate(train, FT.TRAINING_MATRIX_12, "client_lost", 5, {"maxIter": 5, "maxDepth": 3})
-    return MO.score(test, cal, ["id", "client_lost"])
+    """K6: five calibrated members, mean probability of every active client."""
+    return MO.score(scoring_rows(spark, sf), calibrated_model(spark, sf), ["client_id", "client_name"])
 
 
 @query("grid_search")
 def grid_search(spark, sf):
-    """K5: small default grid, F0.5 of the positive class per combination."""
+    """K5: F0.5 of the positive class for each combination of ``QUERY_GRID``
+    (3 folds; ``fits`` is the number of models fitted)."""
     tm = churn_training(spark, sf)
     train, _ = split(tm, "client_lost")
-    cvm = MO.grid_search(train, FT.TRAINING_MATRIX_12, "client_lost", {"maxDepth": [2, 3], "maxIter": [5]}, k=3)
-    rows = [(str({p.name: v for p, v in pm.items()}), float(mt))
-            for pm, mt in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics)]
-    return spark.createDataFrame(rows, "params string, f05 double")
+    cvm = MO.grid_search(train, FT.TRAINING_MATRIX_12, "client_lost", QUERY_GRID, k=3, parallelism=3)
+    maps = cvm.getEstimatorParamMaps()
+    rows = [(str({p.name: v for p, v in pm.items()}), float(mt), 3 * len(maps)) for pm, mt in zip(maps, cvm.avgMetrics)]
+    return spark.createDataFrame(rows, "params string, f05 double, fits long")
 
 
 @query("score_clients")
 def score_clients(spark, sf):
-    """K13 (path 2): active clients' scoring matrix -> probability, score,
-    level -> serving factors."""
-    active = I.scan_clients(A.clients(spark, sf), active_only=True)
-    t = A.terminations(spark, sf)
-    sm = FT.scoring_matrix(active, FT.training_data(t))
-    scored = MO.score(sm, churn_model(spark, sf), ["client_id", "client_name", "health_score",
-                                                   "days_since_communication", "days_since_checkin"])
-    return scored
+    """Every active client's scoring row -> probability, score, level,
+    factors and the features that were scored, one record each."""
+    from staywise.functions.values import feature_map
+    rows = scoring_rows(spark, sf)
+    s = MO.score(rows, churn_model(spark, sf), ["client_id", "client_name", *FT.TRAINING_MATRIX_12])
+    s = R.sync_factors(s.withColumn("features", feature_map(FT.TRAINING_MATRIX_12)), 5)
+    return s.select("client_id", "client_name", "churn_probability", "risk_score", "risk_level", "top_risk_factors", "features")
+
+
+def member_rows(spark, sf):
+    """(features and label of every member with a tenure in range, features of
+    the active ones to score).  Other tenures have no bucket; they are left out
+    here and reported by the count of ``score_members`` against the members."""
+    mf = FT.member_features(A.team_members(spark, sf), A.AS_OF_ACCOUNTS)
+    lab = LB.label_member_attrition(A.team_members(spark, sf)).select("id", "left")
+    status = A.team_members(spark, sf).select("id", "status")
+    df = mf.join(lab, "id").join(status, "id").filter(F.col("tenure_bucket").isNotNull())
+    return df.drop("status"), df.filter(F.lower("status") == "active").drop("status", "left")
 
 
-@query("score_members")
-def score_members(spark, sf):
-    """Attrition model on member features with balanced weights; predicted
-    days and recommendations (exploded)."""
+def member_model(spark, sf):
+    def fit():
+        from staywise.session import materialize
+        w = materialize(MO.with_balanced_weights(member_rows(spark, sf)[0], "left"))
+        return MO.fit_boosted(w, list(FT.MEMBER_FEATURES), "left", weight_col="weight")
+    return _fitted(spark, sf, "members", fit)
+
+
+def scored_members(spark, sf):
     from staywise.functions.risk import predicted_days
-    mf = FT.member_features(A.team_members(spark, sf), A.AS_OF_ACCOUNTS)
-    lab = LB.label_member_attrition(A.team_members(spark, sf)).select("id", "left")
-    df = mf.join(lab, "id").na.fill(0, ["tenure_bucket"])
-    w = MO.with_balanced_weights(df, "left")
-    feats = [c for c in FT.MEMBER_FEATURES]
-    m = MO.fit_boosted(w, feats, "left", QUERY_PARAMS, weight_col="weight")
-    s = MO.positive_probability(m.transform(w.withColumn("left", F.col("left").cast("double"))),
-                                out="attrition_probability")
+    s = MO.score(member_rows(spark, sf)[1], member_model(spark, sf), ["id", *FT.MEMBER_FEATURES], "attrition_probability")
     s = s.withColumn("predicted_days_to_attrition", predicted_days("attrition_probability"))
-    s = R.recommendations(s, "training", 3)
-    return (s.select("id", "attrition_probability", "predicted_days_to_attrition",
-                     F.posexplode_outer("recommended_actions").alias("pos", "a"))
-            .select("id", "attrition_probability", "predicted_days_to_attrition", "pos",
-                    F.col("a.action").alias("action"), F.col("a.priority").alias("priority")))
+    return R.recommendations(R.attrition_factors(s, "training", 3), "training", 3)
+
+
+@query("score_members")
+def score_members(spark, sf):
+    """Attrition model on member features with balanced weights; every
+    active member's probability, score, level, predicted days, factors,
+    recommendations and features, one record each."""
+    from staywise.functions.values import feature_map
+    s = scored_members(spark, sf).withColumn("features", feature_map(FT.MEMBER_FEATURES))
+    return s.select("id", "attrition_probability", "risk_score", "risk_level", "predicted_days_to_attrition",
+                    "top_risk_factors", "recommended_actions", "features")
+
+
+@query("member_recommendations")
+def member_recommendations(spark, sf):
+    """The recommended actions of every active member, a row each."""
+    s = scored_members(spark, sf).select("id", F.posexplode("recommended_actions").alias("pos", "a"))
+    return s.select("id", "pos", F.col("a.action").alias("action"), F.col("a.priority").alias("priority"))
 
 
 @query("model_inspect")
@@ -119,22 +164,19 @@ def model_inspect(spark, sf):
 
 def _explained(spark, sf):
     from staywise.operators.explain import explain
-    tm = churn_training(spark, sf)
-    train, test = split(tm, "client_lost")
-    m = MO.fit_boosted(train, FT.TRAINING_MATRIX_12, "client_lost", QUERY_PARAMS)
-    return explain(spark, test, m, FT.TRAINING_MATRIX_12)
+    return explain(spark, scoring_rows(spark, sf), churn_model(spark, sf), FT.TRAINING_MATRIX_12, key="client_id")
 
 
 @query("explain_top3")
 def explain_top3(spark, sf):
-    """Three largest contributions per held-out row."""
+    """Three largest contributions for every active client."""
     from staywise.operators.explain import reason_text, top_contributions
-    return reason_text(top_contributions(_explained(spark, sf), 3))
+    return reason_text(top_contributions(_explained(spark, sf), 3, "client_id"))
 
 
 @query("global_importance")
 def global_importance(spark, sf):
-    """Mean absolute contribution per feature over the held-out rows."""
+    """Mean absolute contribution per feature over all active clients."""
     from staywise.operators.explain import global_importance as gi
     return gi(_explained(spark, sf))
 
@@ -144,23 +186,17 @@ def gated_factors(spark, sf):
     """I4: importance-gated factors for every active client's scoring row."""
     m = churn_model(spark, sf)
     imp = MO.feature_importances(spark, m, FT.TRAINING_MATRIX_12)
-    active = I.scan_clients(A.clients(spark, sf), active_only=True)
-    t = A.terminations(spark, sf)
-    sm = FT.scoring_matrix(active, FT.training_data(t))
-    g = R.gated_factors(sm, imp, 5)
+    g = R.gated_factors(scoring_rows(spark, sf), imp, 5)
     return (g.select("client_id", F.posexplode("top_risk_factors").alias("pos", "f"))
             .select("client_id", "pos", "f.factor", "f.importance", "f.value", "f.description"))
 
 
 @query("member_risk_summary")
 def member_risk_summary(spark, sf):
-    """Summary over the members' scored attrition probabilities (one
+    """Summary over the active members' attrition probabilities (one
     scoring run, so every member's latest row)."""
-    from staywise.functions.risk import risk_level
     from staywise.operators.summary import risk_summary
-    s = (score_members(spark, sf).select("id", "attrition_probability").distinct()
-         .withColumn("risk_level", risk_level("attrition_probability")))
-    return risk_summary(s, "attrition_probability", prefix="members")
+    return risk_summary(scored_members(spark, sf), "attrition_probability", prefix="members")
 
 
 @query("weighted_fit")
@@ -170,7 +206,7 @@ def weighted_fit(spark, sf):
     tm = churn_training(spark, sf)
     train, test = split(tm, "client_lost")
     w = MO.with_scale_pos_weight(train, "client_lost")
-    m = MO.fit_boosted(w, FT.TRAINING_MATRIX_12, "client_lost", QUERY_PARAMS, weight_col="weight")
+    m = MO.fit_boosted(w, FT.TRAINING_MATRIX_12, "client_lost", weight_col="weight")
     s = MO.positive_probability(m.transform(test.withColumn("client_lost", F.col("client_lost").cast("double"))))
     s = s.select("id", "p", F.col("client_lost").cast("int").alias("y"))
     return M._one_row_join(M.metrics_from_confusion(M.confusion(s, 0.5)), M.auc(s))
@@ -182,7 +218,7 @@ def cross_val_scores(spark, sf):
     mean and population std across folds on every row."""
     from pyspark.sql import Window
     tm = churn_training(spark, sf)
-    per = MO.cross_val_scores(tm, FT.TRAINING_MATRIX_12, "client_lost", 5, {"maxIter": 5, "maxDepth": 3})
+    per = MO.cross_val_scores(tm, FT.TRAINING_MATRIX_12, "client_lost", 5)
     w = Window.partitionBy()  # five rows
     return per.select("fold", "auc_roc", "f05", F.avg("auc_roc").over(w).alias("mean_auc"),
                       F.stddev_pop("auc_roc").over(w).alias("std_auc"))
