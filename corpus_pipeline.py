@@ -25,17 +25,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier accepts (the least score that it
     accepts is calibrated on held-out training documents)."""
     prepare(spark)
-    model = langid.fit(docs.where(remainder() != 2))
-    accepted = langid.predict(docs, model).where("not rejected").select("doc_id").distinct()
-    return docs.join(accepted, docs["doc_id"].eqNullSafe(accepted["doc_id"]), "left_semi")
+    return langid.accepted(docs, langid.fit(docs.where(remainder() != 2)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group."""
     prepare(spark)
-    groups = simhash.near_duplicates(docs, shingle_words=4, radius=4)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    return simhash.one_of_each(docs, shingle_words=4, radius=4)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

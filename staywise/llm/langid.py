@@ -6,7 +6,8 @@ A text is lower-cased, every byte that is not a letter becomes a space, and all
 byte n-grams of the whole text are hashed into a table of embeddings.  The mean
 embedding goes through a linear layer.  The last fifth of the training sample
 is kept out of the fit and sets the temperature of the softmax and the score
-below which a prediction is rejected.
+below which a prediction is rejected (one that no rightly predicted document of
+them comes near).
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from staywise.llm.common import map_batches, pick, texts_of
+from staywise.llm.common import map_batches, pick, prepare, texts_of
 
 #: Label of texts without any letter.
 UNDETERMINED = "und"
@@ -74,25 +76,33 @@ class Model:
         return total / max(1, n) + self.bias
 
     def predict(self, text: bytes) -> tuple[str, float]:
-        if not has_letter(text):
+        if not self.labels or not has_letter(text):
             return UNDETERMINED, 0.0
         p = softmax(self.logits(text) / self.temperature)
         k = int(p.argmax())
         return self.labels[k], float(p[k])
 
 
+    def rejects(self, text: bytes) -> bool:
+        """No letter, or a score below the calibrated limit; a model that has
+        learned no label has no limit."""
+        lang, score = self.predict(text)
+        return not has_letter(text) if lang == UNDETERMINED else score < self.reject_below
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, epochs: int = 6,
-          rate: float = 0.5, seed: int = 7, reject_quantile: float = 0.001) -> Model:
-    """Plain SGD, one document a step, learning rate falling linearly to zero."""
+def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, min_steps: int = 12_000,
+          rate: float = 0.5, seed: int = 7, reject_most: float = 0.4) -> Model:
+    """Plain SGD, one document a step, at least ``min_steps`` steps in whole
+    epochs (five or more), learning rate falling linearly to zero."""
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
     if not labels:
-        raise ValueError("no labelled text to learn from")
+        return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0, bits)
     y = np.array([labels.index(x) for x in langs])
     feats = []
     for t in texts:
@@ -104,6 +114,7 @@ def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, e
     emb = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     w = np.zeros((dim, len(labels)), np.float32)
     bias = np.zeros(len(labels), np.float32)
+    epochs = max(5, -(-min_steps // max(1, len(fit))))
     steps, total = 0, epochs * max(1, len(fit))
     for _ in range(epochs):
         for k in rng.permutation(fit):
@@ -126,7 +137,8 @@ def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, e
         temperature = float(temps[int(np.argmin(loss))])
         p = softmax(z / temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-        reject = float(min(0.5, np.quantile(right, reject_quantile))) if len(right) else 0.0
+        # well below every held-out document that was predicted right
+        reject = float(min(reject_most, 0.9 * right.min())) if len(right) else 0.0
     else:
         temperature, reject = 1.0, 0.0
     return Model(labels, table, bias, temperature, reject, bits)
@@ -153,10 +165,10 @@ def fit(docs: DataFrame, per_label: int = 600, **cols: str) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score (calibrated, 0 to 1),
-    rejected (no letter, or a score below the calibrated limit).
+    """One row per input row: doc_id, lang_pred, score (calibrated, 0 to 1).
 
-    Null, empty and letterless texts give ``und`` with score 0, rejected.
+    Null, empty and letterless texts give ``und`` with score 0, and so do all
+    texts if the model was fitted without any labelled text.
     Whole texts are read, in blocks.  Repeated rows and null ids give one row
     each; no other column is read."""
     spark = docs.sparkSession
@@ -166,11 +178,22 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         m = shared.value
         got = [m.predict(t) for t in texts_of(b.column("text"))]
         lang, score = [x for x, _ in got], [s for _, s in got]
-        rejected = [x == UNDETERMINED or s < m.reject_below for x, s in got]
         return pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
-            ["doc_id", "lang_pred", "score", "rejected"])
+            [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"),
                                                            F.col("text").cast("binary").alias("text"))
-    return map_batches(rows, run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_batches(rows, run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, all columns, whose whole text the model does not reject; null
+    and letterless texts go.  Nothing is shuffled."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def keeps(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and not shared.value.rejects(t.encode())).astype(bool)
+
+    return docs.where(keeps(F.col(f"`{text_col}`")))

@@ -195,19 +195,19 @@ def mixed_documents(docs: DataFrame, folder: str, block_words: int = 64, seed: i
     are numbered in a table written to ``folder`` (shared)."""
     spark = docs.sparkSession
     prepare(spark)
-    row = "row_of_mix_"
+    row, taken_runs = "row_of_mix_", "runs_of_mix_"
     docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(folder)
     kept = spark.read.parquet(folder)
     rows = cut(sizes(kept, row=F.col(row)))
     goal = cut(targets(rows))
     runs = mix(rows, goal, block_words, seed=seed).groupBy("row", "round").agg(
         F.sort_array(F.collect_list(F.struct("from_word", "n_words"))).alias("runs"))
-    runs = runs.select(F.col("row").alias(row), "runs")
+    runs = runs.select(F.col("row").alias(row), F.col("runs").alias(taken_runs))
     out = kept.join(runs, row)
 
     @F.pandas_udf("string")
     def cut_out(texts: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([words_between(t.encode(), _merged(r)) for t, r in zip(texts, runs)], dtype=object)
 
-    out = out.withColumn("text", cut_out("text", "runs"))
+    out = out.withColumn("text", cut_out("text", taken_runs))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -35,7 +35,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-@query("op1_topk")
+@query("op1_topk", """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5""")
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products of every 50th vector with all others."""
     e = table(spark, sf_dir, "embeddings")
@@ -55,7 +61,13 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken(table(spark, sf_dir, "documents"))
 
 
-@query("op4_vectordup")
+@query("op4_vectordup", """
+WITH RECURSIVE v AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, r.c AS component_id, r.c = v.vec_id AS kept
+FROM v JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = v.vec_id""")
 def op4_vectordup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked at cosine 0.9 or more."""
     return vectordup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)

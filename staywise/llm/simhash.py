@@ -118,3 +118,21 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4,
     ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
     label = named.select("fp", "c").join(ids, "c").select(F.col("fp").alias("fp_"), "component_id")
     return rows.join(label, rows["fp"] == label["fp_"], "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, of the document with the least id of each group.
+    Of rows that share this id one stays (that of the least text hash).  Rows
+    without an id cannot be told apart by one and stay."""
+    groups = near_duplicates(docs, shingle_words, radius, id_col, text_col)
+    rows, ids, nameless = docs.agg(F.count(F.col(f"`{id_col}`")), F.count_distinct(F.col(f"`{id_col}`")),
+                                   F.count_if(F.col(f"`{id_col}`").isNull())).first()
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    out = docs.join(keep, id_col, "left_semi").select(docs.columns)
+    if ids < rows:
+        out = out.groupBy(F.col(f"`{id_col}`").alias("id_of_group_")).agg(
+            F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(F.col(f"`{text_col}`"))).alias("row_of_group_"))
+        out = out.select("row_of_group_.*")
+    if nameless:
+        out = out.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    return out

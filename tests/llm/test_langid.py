@@ -29,7 +29,10 @@ def test_edges(spark):
     model = langid.fit(documents(spark, SF), per_label=100)
     rows = [(1, None), (2, ""), (3, "123 !!"), (4, "the and of that"), (4, "the and of that"), (None, "der die und nicht"), (6, "the of and " * 200000)]
     got = langid.predict(clashing(docs_frame(spark, rows)), model).collect()
-    assert [r["lang_pred"] for r in got[:3]] == ["und"] * 3 and all(r["rejected"] for r in got[:3])
+    assert [r["lang_pred"] for r in got[:3]] == ["und"] * 3 and all(r["score"] == 0 for r in got[:3])
+    assert [r["doc_id"] for r in langid.accepted(clashing(docs_frame(spark, rows)), model).collect()] == [4, 4, None, 6]
+    blank = langid.train([], [])
+    assert blank.predict(b"the") == ("und", 0.0) and blank.rejects(b"1") and not blank.rejects(b"the")
     assert got[3] == got[4] and got[3]["lang_pred"] == "en" and got[5]["doc_id"] is None and got[6]["lang_pred"] == "en"
     assert langid.predict(docs_frame(spark, []), model).collect() == []
 

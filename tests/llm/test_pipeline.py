@@ -4,7 +4,7 @@ import corpus_pipeline
 from staywise.llm import langid, pii
 from staywise.llm.queries import remainder
 from tests.llm import test_mix, test_pack, test_pii, test_simhash
-from tests.llm.helpers import SF, documents
+from tests.llm.helpers import SF, clashing, docs_frame, documents
 
 
 def test_stages(spark, tmp_path):
@@ -22,7 +22,7 @@ def test_stages(spark, tmp_path):
     start, spoken, single, masked, mixed, packed = kept
 
     model = langid.fit(documents(spark).where(remainder() != 2))
-    want = {r["doc_id"] for r in start if not (lambda p: p[0] == "und" or p[1] < model.reject_below)(model.predict((r["text"] or "").encode()))}
+    want = {r["doc_id"] for r in start if not model.rejects((r["text"] or "").encode())}
     assert {r["doc_id"] for r in spoken} == want and len(want) > 0.98 * len(start)
 
     _, comp = test_simhash.plain([(r["doc_id"], r["text"]) for r in spoken])
@@ -58,3 +58,20 @@ def base_left(text):
 def test_run(spark):
     first, second = (sorted(corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert first == second and len(first) > 150
+
+
+def test_stages_on_odd_rows_and_extra_columns(spark, tmp_path):
+    rows = [(1, "the and of that the and of", "en", "a"), (1, "the and of that the and of", "en", "a"), (2, None, "en", None), (3, "", None, "b"),
+            (None, "der die und das mail a@b.co nicht", "de", None), (4, "the And of that the and of", None, "a"), (5, "12 34", "en", "b"),
+            (6, "der die und " * 3000, "de", "c"), (7, "und die der ein " * 20, None, None)]
+    for name, data in (("odd", rows), ("empty", [])):
+        docs = clashing(docs_frame(spark, data))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, SF).write.parquet(str(tmp_path / name / str(k)))
+            before, docs = docs.columns, spark.read.parquet(str(tmp_path / name / str(k)))
+            assert k == 4 or docs.columns == before
+            if data and k == 1:
+                assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 1, 6, 7]
+            if data and k == 2:
+                assert [r["text"] for r in docs.collect() if r["doc_id"] is None] == ["der die und das mail <EMAIL> nicht"]
+        assert (docs.count() > 0) == bool(data)
