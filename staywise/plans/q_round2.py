@@ -16,6 +16,7 @@ from staywise.operators.encode import fit_vocabulary, label_encode
 from staywise.plans import q_model as QM
 from staywise.plans.oracle_views import level_sql, score_sql, with_views
 from staywise.plans.q_io import _store_folder
+from staywise.plans.q_metrics import SPLIT_RANK
 from staywise.plans.registry import query
 from staywise.sources import adapters as A
 
@@ -150,3 +151,66 @@ def sync_store(spark, sf):
     store.upsert(recs.withColumn("churn_probability", F.lit(0.0)).withColumn("model_version", F.lit("v0")), "first")
     store.upsert(recs, "second")
     return store.current().select("client_id", "churn_probability", F.col("risk_score"), "risk_level")
+
+
+@query("unmapped_timeframes", with_views("""
+SELECT count(*) FILTER (WHERE replacement_timeframe <> '') AS filled,
+       count(*) FILTER (WHERE replacement_timeframe = 'no rush') AS unmapped,
+       count(*) FILTER (WHERE replacement_timeframe = 'no rush') / count(*) FILTER (WHERE replacement_timeframe <> '') AS share
+FROM terminations""", "terminations"))
+def unmapped_timeframes(spark, sf):
+    """The share of timeframes that the urgency words do not know."""
+    from staywise.operators.audit import unmapped_share
+    return unmapped_share(A.terminations(spark, sf), "replacement_timeframe", ("Immediate", "1-2 weeks", "2-4 weeks"))
+
+
+@query("ambiguous_dates", """
+SELECT count(*) AS filled, count(*) FILTER (WHERE day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate)) AS ambiguous FROM orders""")
+def ambiguous_dates(spark, sf):
+    """Order dates written month first, that also read day first."""
+    from staywise.operators.audit import ambiguous_dates as count
+    from staywise.sources.tables import table
+    return count(table(spark, sf, "orders").select(F.date_format("o_orderdate", "M/d/yyyy").alias("d")), "d")
+
+
+@query("constant_columns", with_views("""
+SELECT 'termination_type_encoded' AS feature, CAST(0 AS DOUBLE) AS value
+UNION ALL SELECT 'had_pip_at_least_zero', 1.0 WHERE (SELECT count(*) FROM terminations) > 0""", "terminations"))
+def constant_columns(spark, sf):
+    """The training features that never vary."""
+    from staywise.operators.audit import constant_columns as const
+    tm = FT.training_matrix(FT.training_data(A.terminations(spark, sf)))
+    tm = tm.withColumn("had_pip_at_least_zero", (F.col("had_pip") >= 0).cast("int"))
+    return const(tm, [*FT.TRAINING_MATRIX_12, "had_pip_at_least_zero"])
+
+
+@query("label_leaks", with_views("""
+SELECT 'is_active_flag' AS feature, count(DISTINCT coalesce(CAST(is_active AS VARCHAR), 'none')) AS "values" FROM clients
+WHERE is_active IS NOT NULL""", "clients"))
+def label_leaks(spark, sf):
+    """Of the client features and the active flag, those that give the label away."""
+    from staywise.operators.audit import leaks
+    c = A.clients(spark, sf).filter(F.col("is_active").isNotNull())
+    f = FT.client_features(c, A.AS_OF_ACCOUNTS).select("id", "tenure_months", "health_score", "industry_encoded")
+    d = f.join(c.select("id", F.col("is_active").cast("int").alias("is_active_flag"), (~F.col("is_active")).cast("int").alias("y")), "id")
+    return leaks(d, ["health_score", "industry_encoded", "is_active_flag"], "y")
+
+
+@query("threshold_on_validation", with_views("""
+SELECT * FROM (WITH s AS (SELECT k.id, k.y, x.p, CASE WHEN k.pos < round(k.n * 0.6) THEN 'train' WHEN k.pos < round(k.n * 0.8) THEN 'validation' ELSE 'test' END AS split
+           FROM rk k JOIN scored x ON x.id = k.id),
+g AS (SELECT unnest([0.40, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80])::DOUBLE AS t),
+c AS (SELECT t, sum(CASE WHEN p >= t AND y = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p >= t THEN 1 ELSE 0 END) AS fl, sum(y) AS pos
+      FROM s, g WHERE split = 'validation' GROUP BY t),
+f AS (SELECT t, CASE WHEN fl > 0 AND tp > 0 THEN 1.25 * (tp / fl) * (tp / pos) / (0.25 * (tp / fl) + tp / pos) ELSE 0 END AS f05 FROM c),
+b AS (SELECT t FROM (SELECT t FROM f WHERE f05 > 0 ORDER BY f05 DESC, t LIMIT 1) UNION ALL SELECT 0.5 WHERE NOT EXISTS (SELECT 1 FROM f WHERE f05 > 0))
+SELECT b.t AS threshold, count(*) FILTER (WHERE p < b.t AND y = 0) AS tn, count(*) FILTER (WHERE p >= b.t AND y = 0) AS fp,
+       count(*) FILTER (WHERE p < b.t AND y = 1) AS fn, count(*) FILTER (WHERE p >= b.t AND y = 1) AS tp
+FROM s, b WHERE split = 'test' GROUP BY b.t) t""", "scored", extra={"rk": SPLIT_RANK}))
+def threshold_on_validation(spark, sf):
+    """The threshold is chosen on the validation part, the confusion reported on the test part."""
+    from staywise.operators.audit import three_way_split
+    s = three_way_split(A.scored(spark, sf))
+    best = M.best_threshold_grid(M.threshold_sweep(s.filter("split = 'validation'"))).first()["threshold"]
+    c = M.confusion(s.filter("split = 'test'"), best)
+    return c.select(F.lit(best).alias("threshold"), "tn", "fp", "fn", "tp")
