@@ -10,6 +10,10 @@ last sequences unfilled.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -20,31 +24,85 @@ from pyspark.sql import functions as F
 
 from staywise.llm.common import count_rows, cut, i64, map_batches, pick, texts_of
 
-#: Words kept with their ids in a worker; beyond it the memory starts afresh.
+#: Words, and parts of words, kept with their ids in a worker; beyond it the
+#: less recent half is dropped.
 MEMO_WORDS = 300_000
 
+# letters, then ASCII punctuation: two parts that the word pattern splits alike
+_LETTERS = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself
+    if it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in prints else next(others)) for b in range(256)]
+
 
 class WordTokens:
     """Ids of a text by a tokenizer that never joins or looks across ASCII
-    white space (words are then encoded one by one, each distinct word once),
-    as little-endian unsigned 32-bit bytes."""
+    white space, as little-endian unsigned 32-bit bytes: each distinct word is
+    encoded once, and of a plain word (Latin letters, then punctuation) each
+    distinct lower-cased part."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        self.lower = kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
+        self.letters = byte_letters()
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _whole(self, w: bytes) -> bytes:
+        ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part(self, letters: bytes) -> bytes | None:
+        """Of one run of letters; None if it is not plain."""
+        text = letters.decode("utf-8", "replace")
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).lower()
+            # past Latin, or a lower case that is no letter: the tokenizer's own tables decide
+            if max(text) >= "\u0250" or not text.isalpha():
+                return None
+            text = "".join([self.letters[b] for b in text.encode()])
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, w: bytes) -> bytes:
+        m = _LETTERS(w) if self.lower else None
+        if m is None:
+            return self._whole(w)
+        letters, marks = m[1].lower(), m[2]
+        ids = self.parts.get(letters)
+        if ids is None:
+            if (ids := self._part(letters)) is None:
+                return self._whole(w)
+            if len(self.parts) >= MEMO_WORDS:
+                self.parts.clear()
+            self.parts[letters] = ids
+        if not marks:
+            return ids
+        tail = self.parts.get(marks)
+        if tail is None:
+            tail = self.parts[marks] = self._whole(marks)
+        return ids + tail
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, got):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.memo) > MEMO_WORDS // 2:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        for w in words:
+            if w not in memo:
+                ids = older.get(w)
+                memo[w] = self._word(w) if ids is None else ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]

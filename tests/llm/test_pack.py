@@ -58,3 +58,23 @@ def test_best_fit_takes_the_tightest_open_sequence():
             room.append(100)
         assert o == 100 - room[s]
         room[s] -= n
+
+
+def test_words_as_the_library_encodes_them():
+    tok, mine = Tokenizer.from_file(PATH), pack.WordTokens(PATH)
+    rng = np.random.default_rng(8)
+    letters = list("abcdeiTZ") + [chr(c) for c in (*range(0xAA, 0x250), 0x300, 0x301, 0x345, 0x3A3, 0x3C2, 0x1E9E, 0x212B, 0xFB01)]
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) + "".join(rng.choice(list(".,!'<|>~-_"), rng.integers(0, 4))) for _ in range(6000)]
+    words += [c + "b," for c in letters]
+    for at in range(0, len(words), 50):
+        for w, got in zip(words[at:at + 50], mine.encode([w.encode() for w in words[at:at + 50]])):
+            assert np.frombuffer(got, "<u4").tolist() == tok.encode(w, add_special_tokens=False).ids, repr(w)
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(pack, "MEMO_WORDS", 50)
+    tok, mine = Tokenizer.from_file(PATH), pack.WordTokens(PATH)
+    for k in range(40):
+        t = " ".join(f"wo{chr(97 + (j * k) % 26)}rd{chr(97 + j)}." for j in range(20))
+        assert np.frombuffer(mine.encode([t.encode()])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert len(mine.memo) <= 50 and len(mine.parts) <= 60
