@@ -135,3 +135,23 @@ def test_feedback_days_replayed(spark, tmp_path):
         ("2024-01-01", 4, 2), ("2024-01-02", 4, 2), ("2024-01-05", 4, 2)]
     w = {str(r.window_start)[:10]: r.total_feedback for r in J.feedback_windows(days, 3).collect()}
     assert w == {"2023-12-30": 4, "2023-12-31": 8, "2024-01-01": 8, "2024-01-02": 4, "2024-01-03": 4, "2024-01-04": 4, "2024-01-05": 4}
+
+
+def test_bundle_of_a_calibrated_model(spark, fitted, tmp_path):
+    """Members, sigmoids and vocabularies come back; the last save is the latest, whatever its name."""
+    tm, m = fitted
+    root = str(tmp_path / "models")
+    cal = MO.calibrate(tm, QM.FT.TRAINING_MATRIX_12, "client_lost", 2, {"maxIter": 2, "maxDepth": 2})
+    vocab = spark.createDataFrame([("a", 0), ("b", 1)], "value string, code long")
+    MO.save(m, {"threshold": 0.5}, root, "v9")
+    MO.save(cal, {"threshold": 0.4}, root, "v10", {"geo": vocab})
+    got, meta, version = MO.load(root)
+    assert version == "v10" and meta["threshold"] == 0.4 and len(got.members) == 2
+    both = got.transform(tm, out="p").select("id", "p").join(cal.transform(tm, out="q").select("id", "q"), "id")
+    assert both.filter(F.abs(F.col("p") - F.col("q")) > 1e-12).count() == 0
+    assert MO.load_vocabulary(root, version, "geo").count() == 2
+    assert MO.load(root, "v9")[1]["calibrated"] is False
+    with pytest.raises(FileNotFoundError):
+        MO.load(root, "v11")
+    with pytest.raises(FileNotFoundError):
+        MO.load(str(tmp_path / "none"))
