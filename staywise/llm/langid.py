@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from staywise.llm.common import map_batches, pick, prepare, texts_of
+from staywise.llm.common import count_rows, cut, map_batches, pick, prepare, texts_of
 
 #: Label of texts without any letter.
 UNDETERMINED = "und"
 SIZES = (2, 3, 4)
+#: Labels up to which their counts are broadcast.
+MOST_LABELS = 10_000
 #: Bytes hashed at once: bounds the arrays of a text of any length.
 BLOCK = 1 << 20
 
@@ -146,15 +148,21 @@ def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, m
 
 def labelled_sample(docs: DataFrame, per_label: int = 600, max_chars: int = 8000, id_col: str = "doc_id",
                     text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The training sample: for each label the ``per_label`` documents of least
-    id hash, among those of 20 to ``max_chars`` characters.  Both bounds hold
-    for the sample only; predictions read whole texts."""
+    """The training sample: at most ``per_label`` documents of each label, those
+    of least id hash, among the ones of 20 to ``max_chars`` characters whose
+    hash is below a limit that lets about twice as many through.  Both bounds
+    hold for the sample only; predictions read whole texts."""
     d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     d = d.where("lang is not null and text is not null and doc_id is not null")
     d = d.where(F.length("text").between(20, max_chars))
+    # counted first, so that only about the sample's own texts are moved and ranked
+    n = d.groupBy(F.col("lang").alias("l_")).agg(F.count(F.lit(1)).alias("n_"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    n = cut(n)
+    n = F.broadcast(n) if count_rows(n) <= MOST_LABELS else n
+    few = d.join(n, F.col("lang") == F.col("l_")).where(place * F.col("n_") < 2 * per_label + 20)
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    # only keys and lengths are ranked; the chosen texts are read in a second pass
-    ranked = d.select("doc_id", "lang", "text").withColumn("rank_", F.row_number().over(w)).where(F.col("rank_") <= per_label)
+    ranked = few.withColumn("rank_", F.row_number().over(w)).where(F.col("rank_") <= per_label)
     return ranked.select(F.col("text").cast("binary").alias("text"), "lang")
 
 
