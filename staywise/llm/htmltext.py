@@ -2,9 +2,11 @@
 
 Every element's subtree is hashed.  Spark counts, per host, on how many
 different articles each hash occurs; subtrees that recur across many of them
-are template and are deleted, wherever they stand.  Of what is left, the
-article's blocks are kept, without the elements whose role (tag, class, id) is
-navigation, advert, notice, form, comment and the like.
+are template and are deleted, wherever they stand.  Inside articles recurrence
+alone is no proof: the articles must differ otherwise (near copies share their
+paragraphs), and a single line must stand at one place on most articles.  Of
+what is left, the article's blocks are kept, without the elements whose role
+(tag, class, id) is navigation, advert, notice, form, comment and the like.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import html
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +53,8 @@ class Node:
     raw: str = ""
     children: list = field(default_factory=list)
     hash: int = 0
+    own: bool = False  # has text outside inner blocks
+    lines: int = 0  # blocks with text of their own, itself included
 
 
 def parse(page: str) -> Node:
@@ -108,7 +113,7 @@ def _end_open(stack: list[Node], tags: set[str], scope: frozenset[str] | set[str
 
 
 def digest(root: Node) -> None:
-    """Hashes all subtrees, children first, without recursion."""
+    """Hashes all subtrees and counts their lines, children first, without recursion."""
     order, todo = [], [root]
     while todo:
         n = todo.pop()
@@ -118,6 +123,8 @@ def digest(root: Node) -> None:
         parts = [n.tag, *sorted(n.marks), n.raw]
         parts += [f"\x01{c.hash:x}" if isinstance(c, Node) else " ".join(c.split()) for c in n.children]
         n.hash = xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
+        n.own = any(c.own and c.tag not in BLOCK if isinstance(c, Node) else not c.isspace() for c in n.children)
+        n.lines = sum(c.lines for c in n.children if isinstance(c, Node)) + (n.own and n.tag in BLOCK)
 
 
 def skipped(n: Node, inside: bool) -> bool:
@@ -144,20 +151,58 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def walk(root: Node, tops: list[Node]):
+    """(node, lies inside an article, (depth, place among its siblings) from the
+    start and from the end) of every block with content."""
+    todo = [(root, False, 0, 0, 0)]
+    while todo:
+        n, inside, depth, start, end = todo.pop()
+        top = any(n is t for t in tops)
+        if n.tag in BLOCK and n.children and (inside or not top):
+            yield n, inside, depth << 32 | start, depth << 32 | end
+        nodes = [c for c in n.children if isinstance(c, Node)]
+        todo += [(c, inside or top, 1 if top else depth + 1, i, len(nodes) - 1 - i) for i, c in enumerate(nodes)]
+
+
+def identity(tops: list[Node]) -> int:
+    """Hash of the article."""
+    return signed(xxh64_intdigest(repr([t.hash for t in tops]).encode()))
+
+
 def subtrees(page: str) -> tuple[int, set[tuple[int, bool]]]:
     """(hash of the article, {(hash, lies inside the article)}) of every block with content."""
     root = parse(page)
     digest(root)
     tops = articles(root)
-    found: set[tuple[int, bool]] = set()
-    todo = [(root, False)]
-    while todo:
-        n, inside = todo.pop()
-        if n.tag in BLOCK and n.children and inside | all(n is not t for t in tops):
-            found.add((signed(n.hash), inside))
-        now = inside or any(n is t for t in tops)
-        todo += [(c, now) for c in n.children if isinstance(c, Node)]
-    return signed(xxh64_intdigest(repr([t.hash for t in tops]).encode())), found
+    return identity(tops), {(signed(n.hash), inside) for n, inside, _, _ in walk(root, tops)}
+
+
+#: Odd factors, one per least hash of an article's signature.
+FACTORS = np.random.default_rng(9).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(text: str, width: int = 3) -> list[int]:
+    """Least hashes of the runs of ``width`` words: near copies agree on most."""
+    words = text.split()
+    runs = {" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))}
+    h = np.array([xxh64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs], dtype=np.uint64)
+    return [int((h * f).min().view(np.int64)) for f in FACTORS]
+
+
+def held_blocks(page: str, wanted: set[int]) -> tuple[int, list[tuple[int, bool, list[int]]]]:
+    """(hash of the article, [(hash, is a single line, [*signature, place from
+    the start, place from the end])]) of the wanted blocks inside the article."""
+    root = parse(page)
+    digest(root)
+    tops = articles(root)
+    held: dict[int, tuple[bool, int, int]] = {}
+    for n, inside, start, end in walk(root, tops):
+        h = signed(n.hash)
+        if inside and h in wanted:
+            _, s, e = held.get(h, (False, start, end))
+            held[h] = (n.lines <= 1, min(s, start), min(e, end))
+    sig = signature(text_of(tops, set())) if held else []
+    return identity(tops), [(h, line, [*sig, start, end]) for h, (line, start, end) in held.items()]
 
 
 def main_text(page: str, template: set[int]) -> str:
@@ -165,8 +210,12 @@ def main_text(page: str, template: set[int]) -> str:
     root = parse(page)
     if template:
         digest(root)
+    return text_of(articles(root), template)
+
+
+def text_of(tops: list[Node], template: set[int]) -> str:
     blocks: list[list[str]] = [[]]
-    for top in articles(root):
+    for top in tops:
         blocks.append([])
         todo: list = [top]
         while todo:
@@ -191,13 +240,14 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, min_pages: int = 5, outside: float = 0.005, inside: float = 0.2) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = 5, outside: float = 0.005, inside: float = 0.2, most: float = 0.5) -> DataFrame:
     """(host, template): hashes of the subtrees that recur on at least
     ``min_pages`` different articles of a host and on at least this share of
-    them, outside or inside the article.  A subtree on a fifth of all articles
-    is one of a few per page, so a host's list is bounded by its page size.
+    them, outside or inside the article; those inside only with ``proof``.  A
+    subtree on a fifth of all articles is one of a few per page, so a host's
+    list is bounded by its page size.
 
-    ``pages`` has host and html."""
+    ``pages`` has page_id, url, host and html."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -218,7 +268,44 @@ def templates(pages: DataFrame, min_pages: int = 5, outside: float = 0.005, insi
     hit = n.where("inside is not null").join(totals, F.col("host") == F.col("h_"))
     share = F.when(F.col("inside"), F.lit(inside)).otherwise(F.lit(outside))
     hit = hit.where(F.col("n") >= share * F.col("all"))
-    return hit.groupBy("host").agg(F.collect_set("hash").alias("template"))
+    sure = hit.where(~F.col("inside")).select("host", "hash")
+    maybe = cut(hit.where("inside").join(sure, ["host", "hash"], "left_anti").select("host", "hash", "all"))
+    if not maybe.isEmpty():
+        sure = sure.unionByName(proof(pages, maybe, most))
+    return sure.groupBy("host").agg(F.collect_set("hash").alias("template"))
+
+
+def proof(pages: DataFrame, maybe: DataFrame, most: float) -> DataFrame:
+    """(host, hash) of the blocks inside articles that are template.
+
+    The articles that hold a block must differ: by one least hash or another at
+    least ``most`` of them are distinct, which near copies are by none.  A block
+    of a single line, which articles may share as any phrase, must stand at one
+    place from the start or the end on at least ``most`` of the host's articles."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        out = []
+        for host, page, wanted in zip(*(b.column(c).to_pylist() for c in ("host", "html", "template"))):
+            article, held = held_blocks(page or "", set(wanted))
+            out += [(host, article, *row) for row in held]
+        if not out:
+            return None
+        types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["host", "article", "hash", "line", "marks"])
+
+    lists = maybe.groupBy("host").agg(F.collect_set("hash").alias("template"))
+    held = with_templates(pages, lists).where("template is not null").select("host", "html", "template")
+    held = map_batches(held, run, "host string, article long, hash long, line boolean, marks array<long>").distinct()
+    value = held.select("host", "hash", "line", F.posexplode("marks").alias("kind", "value"))
+    value = value.groupBy("host", "hash", "line", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    kind = value.groupBy("host", "hash", "line", "kind").agg(
+        F.count(F.lit(1)).alias("distinct"), F.max("n").alias("same"), F.sum("n").alias("n"))
+    sig = F.col("kind") < len(FACTORS)
+    found = kind.groupBy("host", "hash", "line").agg(
+        F.max(F.when(sig, F.col("distinct"))).alias("distinct"), F.max(F.when(~sig, F.col("same"))).alias("same"), F.max("n").alias("n"))
+    found = found.join(maybe, ["host", "hash"])
+    placed = ~F.col("line") | (F.col("same") >= most * F.col("all"))
+    return found.where((F.col("distinct") >= most * F.col("n")) & placed).select("host", "hash")
 
 
 #: Bytes of template lists up to which every task gets all of them.

@@ -64,3 +64,44 @@ def test_edge_rows(spark):
     got = htmltext.extract(frame(spark, rows)).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 0), (3, 1), (3, 1), (4, 999999)]
     assert htmltext.extract(frame(spark, [])).collect() == []
+
+
+def test_frequent_line_of_articles_stays(spark):
+    """A line that 6 of 24 articles share is text; one at the same place of all is template."""
+    own = "<p>story {0} tells of place {0} and of person {0}</p>"
+    rows = [(k, f"https://a.example/{k}", "<article>" + (own * (2 + k % 3)).format(k) + ("<p>Said and done.</p>" if k < 6 else "")
+             + "<p>Read more at our shop</p></article>") for k in range(24)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(frame(spark, rows)).collect()}
+    assert all(("Said and done." in got[k]) == (k < 6) and "our shop" not in got[k] and f"story {k} " in got[k] for k in got)
+
+
+@pytest.mark.parametrize("others", [0, 20, 60])
+def test_near_copies_keep_their_paragraphs(spark, others):
+    """40 copies of an article, each with one word of one paragraph edited."""
+    def copy(k):
+        words = [[f"w{p}x{i}" for i in range(30)] for p in range(5)]
+        words[k % 5][k % 30] = f"edit{k}"
+        return [" ".join(w) for w in words]
+
+    def page(paragraphs, wrap):
+        return "<article>" + "".join(f"<section><h2>{x[:5]}</h2><p>{x}</p></section>" if wrap else f"<p>{x}</p>" for x in paragraphs) + "</article>"
+
+    for wrap in (False, True):
+        rows = [(k, f"https://a.example/{k}", page(copy(k), wrap)) for k in range(40)]
+        rows += [(100 + k, f"https://a.example/o{k}", f"<article><p>other article {k} on subject {k}</p></article>") for k in range(others)]
+        got = {r["page_id"]: r["text"] for r in htmltext.extract(frame(spark, rows)).collect()}
+        assert all(x in got[k].split("\n") for k in range(40) for x in copy(k))
+
+
+def plain_blocks(page):
+    body = re.search("<article>(.*)</article>", page, re.S)[1]
+    found = (" ".join(html.unescape(re.sub("<[^>]*>", " " if b else "", x)).split()) for b, x in
+             ((0, re.sub("<br>", " ", x)) for x in re.split("</?(?:p|h1)>", body)))
+    return [x for x in found if x]
+
+
+def test_large_fixture_matches_a_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = {r["page_id"]: r for r in pages.collect()}
+    for r in htmltext.extract(pages).collect():
+        assert r["text"].split("\n") == plain_blocks(rows[r["page_id"]]["html"])
