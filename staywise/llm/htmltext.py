@@ -151,17 +151,22 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: Where a block stands: outside the article, inside it, or on a page that has none.
+OUTSIDE, INSIDE, PLAIN = range(3)
+
+
 def walk(root: Node, tops: list[Node]):
-    """(node, lies inside an article, (depth, place among its siblings) from the
-    start and from the end) of every block with content."""
-    todo = [(root, False, 0, 0, 0)]
+    """(node, where it stands, (depth, place among its siblings) from the start
+    and from the end) of every block with content."""
+    within = PLAIN if tops[0] is root else INSIDE
+    todo = [(root, OUTSIDE, 0, 0, 0)]
     while todo:
-        n, inside, depth, start, end = todo.pop()
+        n, where, depth, start, end = todo.pop()
         top = any(n is t for t in tops)
-        if n.tag in BLOCK and n.children and (inside or not top):
-            yield n, inside, depth << 32 | start, depth << 32 | end
+        if n.tag in BLOCK and n.children and (where or not top):
+            yield n, where, depth << 32 | start, depth << 32 | end
         nodes = [c for c in n.children if isinstance(c, Node)]
-        todo += [(c, inside or top, 1 if top else depth + 1, i, len(nodes) - 1 - i) for i, c in enumerate(nodes)]
+        todo += [(c, within if top else where, 1 if top else depth + 1, i, len(nodes) - 1 - i) for i, c in enumerate(nodes)]
 
 
 def identity(tops: list[Node]) -> int:
@@ -169,40 +174,51 @@ def identity(tops: list[Node]) -> int:
     return signed(xxh64_intdigest(repr([t.hash for t in tops]).encode()))
 
 
-def subtrees(page: str) -> tuple[int, set[tuple[int, bool]]]:
-    """(hash of the article, {(hash, lies inside the article)}) of every block with content."""
+def subtrees(page: str) -> tuple[int, set[tuple[int, int]]]:
+    """(hash of the article, {(hash, where it stands)}) of every block with content."""
     root = parse(page)
     digest(root)
     tops = articles(root)
-    return identity(tops), {(signed(n.hash), inside) for n, inside, _, _ in walk(root, tops)}
+    return identity(tops), {(signed(n.hash), where) for n, where, _, _ in walk(root, tops)}
 
 
 #: Odd factors, one per least hash of an article's signature.
-FACTORS = np.random.default_rng(9).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FACTORS = np.random.default_rng(9).integers(0, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(text: str, width: int = 3) -> list[int]:
-    """Least hashes of the runs of ``width`` words: near copies agree on most."""
-    words = text.split()
+def least_hashes(line: str, width: int = 3) -> np.ndarray:
+    """Least hashes of the line's runs of ``width`` words, one per factor."""
+    words = line.split()
     runs = {" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))}
     h = np.array([xxh64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs], dtype=np.uint64)
-    return [int((h * f).min().view(np.int64)) for f in FACTORS]
+    return np.min([(h[i:i + 4096, None] * FACTORS).min(axis=0) for i in range(0, len(h), 4096)], axis=0)
+
 
+def signature(text: str, known: dict[str, np.ndarray]) -> list[int]:
+    """Least hashes over all lines: near copies agree on most."""
+    lines = text.split("\n")
+    for x in lines:
+        if x not in known:
+            known[x] = least_hashes(x)
+    return np.min([known[x] for x in lines], axis=0).view(np.int64).tolist()
 
-def held_blocks(page: str, wanted: set[int]) -> tuple[int, list[tuple[int, bool, list[int]]]]:
-    """(hash of the article, [(hash, is a single line, [*signature, place from
-    the start, place from the end])]) of the wanted blocks inside the article."""
+
+def held_blocks(page: str, wanted: set[int]) -> tuple[int, list[tuple[int, int, bool, list[int]]]]:
+    """(hash of the article, [(hash, where it stands, is a single line, [*signature
+    of the other text, place from the start, place from the end])] of the wanted
+    blocks not outside."""
     root = parse(page)
     digest(root)
     tops = articles(root)
-    held: dict[int, tuple[bool, int, int]] = {}
-    for n, inside, start, end in walk(root, tops):
-        h = signed(n.hash)
-        if inside and h in wanted:
-            _, s, e = held.get(h, (False, start, end))
-            held[h] = (n.lines <= 1, min(s, start), min(e, end))
-    sig = signature(text_of(tops, set())) if held else []
-    return identity(tops), [(h, line, [*sig, start, end]) for h, (line, start, end) in held.items()]
+    held: dict[tuple[int, int], tuple[bool, int, int]] = {}
+    for n, where, start, end in walk(root, tops):
+        key = signed(n.hash), where
+        if where and key[0] in wanted:
+            _, s, e = held.get(key, (False, start, end))
+            held[key] = (n.lines <= 1, min(s, start), min(e, end))
+    known: dict[str, np.ndarray] = {}
+    return identity(tops), [(*key, line, [*signature(text_of(tops, {key[0]}), known), start, end])
+                            for key, (line, start, end) in held.items()]
 
 
 def main_text(page: str, template: set[int]) -> str:
@@ -240,12 +256,12 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, min_pages: int = 5, outside: float = 0.005, inside: float = 0.2, most: float = 0.5) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = 5, outside: float = 0.005, inside: float = 0.2) -> DataFrame:
     """(host, template): hashes of the subtrees that recur on at least
     ``min_pages`` different articles of a host and on at least this share of
-    them, outside or inside the article; those inside only with ``proof``.  A
-    subtree on a fifth of all articles is one of a few per page, so a host's
-    list is bounded by its page size.
+    them, outside or inside the article; a page without an article is judged by
+    the share for outside.  What stands inside, or on such a page, needs
+    ``proof``.  A host's list is bounded by its page size over the share.
 
     ``pages`` has page_id, url, host and html."""
 
@@ -255,33 +271,36 @@ def templates(pages: DataFrame, min_pages: int = 5, outside: float = 0.005, insi
             article, found = subtrees(page or "")
             out.append((host, article, 0, None))
             out += [(host, article, h, i) for h, i in found]
-        hosts, art, hashes, ins = zip(*out)
+        hosts, art, hashes, where = zip(*out)
         return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(art, pa.int64()), pa.array(hashes, pa.int64()), pa.array(ins, pa.bool_())],
-            ["host", "article", "hash", "inside"])
+            [pa.array(hosts, pa.string()), pa.array(art, pa.int64()), pa.array(hashes, pa.int64()), pa.array(where, pa.int8())],
+            ["host", "article", "hash", "where"])
 
-    seen = map_batches(pages.select("host", "html"), run, "host string, article long, hash long, inside boolean").distinct()
-    n = seen.groupBy("host", "hash", "inside").agg(F.count(F.lit(1)).alias("n"))
+    seen = map_batches(pages.select("host", "html"), run, "host string, article long, hash long, where byte").distinct()
+    n = seen.groupBy("host", "hash", "where").agg(F.count(F.lit(1)).alias("n"))
     # one row per host has no hash: its number of different articles
-    n = cut(n.where((F.col("n") >= min_pages) | F.col("inside").isNull()))
-    totals = n.where("inside is null").select(F.col("host").alias("h_"), F.col("n").alias("all"))
-    hit = n.where("inside is not null").join(totals, F.col("host") == F.col("h_"))
-    share = F.when(F.col("inside"), F.lit(inside)).otherwise(F.lit(outside))
+    where = F.col("where")
+    n = cut(n.where((F.col("n") >= min_pages) | where.isNull()))
+    totals = n.where(where.isNull()).select(F.col("host").alias("h_"), F.col("n").alias("all"))
+    hit = n.where(where.isNotNull()).join(totals, F.col("host") == F.col("h_"))
+    share = F.when(where == INSIDE, F.lit(inside)).otherwise(F.lit(outside))
     hit = hit.where(F.col("n") >= share * F.col("all"))
-    sure = hit.where(~F.col("inside")).select("host", "hash")
-    maybe = cut(hit.where("inside").join(sure, ["host", "hash"], "left_anti").select("host", "hash", "all"))
+    sure = hit.where(where == OUTSIDE).select("host", "hash")
+    maybe = cut(hit.where(where != OUTSIDE).join(sure, ["host", "hash"], "left_anti").select("host", "hash", "where", "all"))
     if not maybe.isEmpty():
-        sure = sure.unionByName(proof(pages, maybe, most))
+        sure = sure.unionByName(proof(pages, maybe))
     return sure.groupBy("host").agg(F.collect_set("hash").alias("template"))
 
 
-def proof(pages: DataFrame, maybe: DataFrame, most: float) -> DataFrame:
-    """(host, hash) of the blocks inside articles that are template.
+def proof(pages: DataFrame, maybe: DataFrame, differ: float = 0.4, inside: float = 0.5, plain: float = 0.75) -> DataFrame:
+    """(host, hash) of the blocks not outside the article that are template.
 
-    The articles that hold a block must differ: by one least hash or another at
-    least ``most`` of them are distinct, which near copies are by none.  A block
-    of a single line, which articles may share as any phrase, must stand at one
-    place from the start or the end on at least ``most`` of the host's articles."""
+    The articles that hold a block must differ besides: by one least hash or another at
+    least ``differ`` of them are distinct (and more of a few, whose share is less
+    sure), which near copies are by none.  A block of a single line, which
+    articles may share as any phrase, must stand at one place from the start or
+    the end: on at least the share ``inside`` of all the host's articles, or on
+    pages without an article on the share ``plain`` of those that hold it."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
@@ -290,22 +309,25 @@ def proof(pages: DataFrame, maybe: DataFrame, most: float) -> DataFrame:
             out += [(host, article, *row) for row in held]
         if not out:
             return None
-        types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["host", "article", "hash", "line", "marks"])
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int8(), pa.bool_(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out), types)], ["host", "article", "hash", "where", "line", "marks"])
 
     lists = maybe.groupBy("host").agg(F.collect_set("hash").alias("template"))
     held = with_templates(pages, lists).where("template is not null").select("host", "html", "template")
-    held = map_batches(held, run, "host string, article long, hash long, line boolean, marks array<long>").distinct()
-    value = held.select("host", "hash", "line", F.posexplode("marks").alias("kind", "value"))
-    value = value.groupBy("host", "hash", "line", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    kind = value.groupBy("host", "hash", "line", "kind").agg(
-        F.count(F.lit(1)).alias("distinct"), F.max("n").alias("same"), F.sum("n").alias("n"))
+    held = map_batches(held, run, "host string, article long, hash long, where byte, line boolean, marks array<long>").distinct()
+    block = ["host", "hash", "where", "line"]
+    value = held.select(*block, F.posexplode("marks").alias("kind", "value"))
+    value = value.groupBy(*block, "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    kind = value.groupBy(*block, "kind").agg(F.count(F.lit(1)).alias("distinct"), F.max("n").alias("same"), F.sum("n").alias("n"))
     sig = F.col("kind") < len(FACTORS)
-    found = kind.groupBy("host", "hash", "line").agg(
+    found = kind.groupBy(*block).agg(
         F.max(F.when(sig, F.col("distinct"))).alias("distinct"), F.max(F.when(~sig, F.col("same"))).alias("same"), F.max("n").alias("n"))
-    found = found.join(maybe, ["host", "hash"])
-    placed = ~F.col("line") | (F.col("same") >= most * F.col("all"))
-    return found.where((F.col("distinct") >= most * F.col("n")) & placed).select("host", "hash")
+    found = found.join(maybe, ["host", "hash", "where"])
+    least = F.when(F.col("where") == INSIDE, F.lit(inside) * F.col("all")).otherwise(F.lit(plain) * F.col("n"))
+    found = found.where(~F.col("line") | (F.col("same") >= least))
+    found = found.where(F.col("distinct") - 1 >= (F.lit(differ) + 1 / F.sqrt("n")) * (F.col("n") - 1))
+    return found.select("host", "hash").distinct()
 
 
 #: Bytes of template lists up to which every task gets all of them.

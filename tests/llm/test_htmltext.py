@@ -105,3 +105,32 @@ def test_large_fixture_matches_a_plain_version(spark):
     rows = {r["page_id"]: r for r in pages.collect()}
     for r in htmltext.extract(pages).collect():
         assert r["text"].split("\n") == plain_blocks(rows[r["page_id"]]["html"])
+
+
+def test_sections_without_article_lose_their_sidebars(spark):
+    """Ten sections of plain div pages, each with its own sidebar and one-line notice; a
+    frequent line at changing places and five near copies keep their text."""
+    near = [[" ".join("changed" if (p, i) == (j % 3, 7 * j) else f"copy{p}x{i}" for i in range(60)) for p in range(3)] for j in range(5)]
+    rows = []
+    for k in range(200):
+        s, own = k % 10, [f"story {k} part {i} tells of place {k} and of person {i}" for i in range(2 + k % 7)]
+        if k >= 195:
+            own = near[k - 195]
+        elif k % 13 == 0:
+            own.insert(k // 13 % len(own), "Said and done.")
+        body = "".join(f"<p>{x}</p>" for x in own)
+        rows.append((k, f"https://a.example/{k}", f"<body><div><div>Links of section {s}</div><div>Best of section {s}</div></div>"
+                     f"<div>{body}</div><div>Notice of section {s}</div></body>"))
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(frame(spark, rows)).collect()}
+    for k, text in got.items():
+        assert " section " not in text
+        assert ("Said and done." in text) == (k < 195 and k % 13 == 0)
+        assert f"story {k} part 1" in text if k < 195 else text.split("\n") == near[k - 195]
+
+
+def test_few_near_copies_on_a_small_host_stay(spark):
+    copies = [[" ".join("changed" if (p, i) == (j % 3, 9 * j) else f"copy{p}x{i}" for i in range(50)) for p in range(3)] for j in range(5)]
+    rows = [(j, f"https://a.example/{j}", "<article>" + "".join(f"<p>{x}</p>" for x in c) + "</article>") for j, c in enumerate(copies)]
+    rows += [(10 + k, f"https://a.example/o{k}", f"<article><p>other article {k} on subject {k}</p></article>") for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(frame(spark, rows)).collect()}
+    assert all(got[j].split("\n") == c for j, c in enumerate(copies))
