@@ -25,7 +25,7 @@ from staywise.llm.common import cut, map_batches, pick
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-_MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noscript".split())
@@ -44,12 +44,19 @@ ROLES = frozenset(
     "notices alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments "
     "disqus replies share sharing social newsletter subscribe signup login search related recommended widget widgets pagination "
     "pager toolbar complementary contentinfo".split())
+#: Those that also name subjects; inside an article they count only where the subtree recurs on the host.
+WEAK = frozenset(
+    "notice notices alert related recommended social share sharing search cookie cookies consent gdpr menu banner promotion "
+    "login signup".split())
+STRONG = ROLES - WEAK
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
 class Node:
     tag: str
-    marks: frozenset[str] = frozenset()
+    marks: frozenset[str] = frozenset()  # words of class, id and role
+    names: frozenset[str] = frozenset()  # whole names of class and role, and the id
     raw: str = ""
     children: list = field(default_factory=list)
     hash: int = 0
@@ -82,8 +89,7 @@ def parse(page: str) -> Node:
             _end_open(stack, {"p"}, SCOPE | {"li"})
         if tag in ENDS:
             _end_open(stack, ENDS[tag], SCOPE - ({"td", "th"} if tag in ("tr", "td", "th") else set()))
-        marks = frozenset(w for v in _MARKS.findall(m[3]) for w in re.split(r"[^a-z0-9]+", "".join(v).lower()) if w) if m[3] else frozenset()
-        node = Node(tag, marks)
+        node = Node(tag, *(roles(tag, m[3]) if m[3] else ()))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -94,6 +100,21 @@ def parse(page: str) -> Node:
     return root
 
 
+def roles(tag: str, attributes: str) -> tuple[frozenset[str], frozenset[str]]:
+    """(words of class, id and role, whole names of class and role and the id).
+    A heading's id is made of its text and is no name."""
+    marks, names = set(), set()
+    for name, *value in _ATTRIBUTE.findall(attributes):
+        if (name := name.lower()) in ("class", "id", "role"):
+            text = "".join(value).lower()
+            marks.update(w for w in re.split(r"[^a-z0-9]+", text) if w)
+            if name != "id":
+                names.update(text.split())
+            elif tag not in HEADINGS:
+                names.add(text.strip())
+    return frozenset(marks), frozenset(names)
+
+
 def _end(stack: list[Node], tag: str) -> None:
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag == tag:
@@ -128,8 +149,16 @@ def digest(root: Node) -> None:
 
 
 def skipped(n: Node, inside: bool) -> bool:
-    """Not main text by its role.  A header counts as one outside the article only."""
-    return n.tag in SKIP or not ROLES.isdisjoint(n.marks) or (n.tag == "header" and not inside)
+    """Not main text by its role.  Inside the article a header is text, and only
+    a whole name that is not weak decides alone."""
+    if inside:
+        return n.tag in SKIP or not STRONG.isdisjoint(n.names)
+    return n.tag in SKIP or not ROLES.isdisjoint(n.marks) or n.tag == "header"
+
+
+def hinted(n: Node) -> bool:
+    """Has a role word, be it weak or part of a name: not main text if it recurs."""
+    return not ROLES.isdisjoint(n.marks)
 
 
 def articles(root: Node) -> list[Node]:
@@ -151,20 +180,24 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-#: Where a block stands: outside the article, inside it, or on a page that has none.
-OUTSIDE, INSIDE, PLAIN = range(3)
+#: Where a block stands: outside the article, inside it, or on a page that has none; or, not outside, that a role word hints at it.
+OUTSIDE, INSIDE, PLAIN, HINTED = range(4)
 
 
 def walk(root: Node, tops: list[Node]):
     """(node, where it stands, (depth, place among its siblings) from the start
-    and from the end) of every block with content."""
+    and from the end) of every block, and in the text of every element with a
+    role word, that has content."""
     within = PLAIN if tops[0] is root else INSIDE
     todo = [(root, OUTSIDE, 0, 0, 0)]
     while todo:
         n, where, depth, start, end = todo.pop()
         top = any(n is t for t in tops)
-        if n.tag in BLOCK and n.children and (where or not top):
-            yield n, where, depth << 32 | start, depth << 32 | end
+        if n.children and (where or not top):
+            if where and hinted(n):
+                yield n, HINTED, depth << 32 | start, depth << 32 | end
+            elif n.tag in BLOCK:
+                yield n, where, depth << 32 | start, depth << 32 | end
         nodes = [c for c in n.children if isinstance(c, Node)]
         todo += [(c, within if top else where, 1 if top else depth + 1, i, len(nodes) - 1 - i) for i, c in enumerate(nodes)]
 
@@ -259,8 +292,8 @@ def host_of(url):
 def templates(pages: DataFrame, min_pages: int = 5, outside: float = 0.005, inside: float = 0.2) -> DataFrame:
     """(host, template): hashes of the subtrees that recur on at least
     ``min_pages`` different articles of a host and on at least this share of
-    them, outside or inside the article; a page without an article is judged by
-    the share for outside.  What stands inside, or on such a page, needs
+    them, outside or inside the article; a page without an article, and an element
+    with a role word, is judged by the share for outside.  What stands inside, or on such a page, needs
     ``proof``.  A host's list is bounded by its page size over the share.
 
     ``pages`` has page_id, url, host and html."""
@@ -300,7 +333,8 @@ def proof(pages: DataFrame, maybe: DataFrame, differ: float = 0.4, inside: float
     sure), which near copies are by none.  A block of a single line, which
     articles may share as any phrase, must stand at one place from the start or
     the end: on at least the share ``inside`` of all the host's articles, or on
-    pages without an article on the share ``plain`` of those that hold it."""
+    pages without an article on the share ``plain`` of those that hold it.  For
+    one with a role word the word stands in for the place."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         out = []
@@ -325,7 +359,7 @@ def proof(pages: DataFrame, maybe: DataFrame, differ: float = 0.4, inside: float
         F.max(F.when(sig, F.col("distinct"))).alias("distinct"), F.max(F.when(~sig, F.col("same"))).alias("same"), F.max("n").alias("n"))
     found = found.join(maybe, ["host", "hash", "where"])
     least = F.when(F.col("where") == INSIDE, F.lit(inside) * F.col("all")).otherwise(F.lit(plain) * F.col("n"))
-    found = found.where(~F.col("line") | (F.col("same") >= least))
+    found = found.where(~F.col("line") | (F.col("where") == HINTED) | (F.col("same") >= least))
     found = found.where(F.col("distinct") - 1 >= (F.lit(differ) + 1 / F.sqrt("n")) * (F.col("n") - 1))
     return found.select("host", "hash").distinct()
 

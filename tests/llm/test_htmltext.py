@@ -134,3 +134,23 @@ def test_few_near_copies_on_a_small_host_stay(spark):
     rows += [(10 + k, f"https://a.example/o{k}", f"<article><p>other article {k} on subject {k}</p></article>") for k in range(3)]
     got = {r["page_id"]: r["text"] for r in htmltext.extract(frame(spark, rows)).collect()}
     assert all(got[j].split("\n") == c for j, c in enumerate(copies))
+
+
+def test_role_words_inside_the_article():
+    kept = ("<h2 id='related-work'>Related work</h2><section id='social-history'><p>history</p></section><section id='search-algorithms'>search</section>"
+            "<p class='notice'>one off</p><div data-id='ad' data-role='banner'>data</div><h2 id='comments'>On comments</h2>"
+            "<div id='cookies'>baking</div><p title='class=ad'>titled</p><p class='share-prices'>prices</p>")
+    gone = "<div class='x AD'>ad</div><div role=navigation>nav</div><div id='comments'>comments</div><div class=\"sidebar\">side</div>"
+    want = ["Related work", "history", "search", "one off", "data", "On comments", "baking", "titled", "prices"]
+    for page in ("<article>{}</article>", "<main>{}</main>", "<body>{}</body>"):
+        assert htmltext.main_text(page.format(kept + gone), set()).split("\n") == want
+
+
+def test_weak_role_words_need_recurrence(spark):
+    """The same notice on 8 of 100 articles goes, a notice of its own stays; so for words in an id."""
+    words = [f"{x}{k}" for k in range(100) for x in "abcdef"]
+    rows = [(k, f"https://a.example/{k}", "<article><p>" + " ".join(words[6 * k:6 * k + 6]) + "</p>"
+             + (k < 8) * "<p class='notice'>Prices may change.</p><div id='top-share'>Tell your friends</div>"
+             + (k >= 8) * f"<p class='notice'>Notice of day {k}</p><section id='related-work'>Others {k}</section>" + "</article>") for k in range(100)]
+    for k, text in ((r["page_id"], r["text"]) for r in htmltext.extract(frame(spark, rows)).collect()):
+        assert text.split("\n") == [" ".join(words[6 * k:6 * k + 6])] + [f"Notice of day {k}", f"Others {k}"] * (k >= 8)
