@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from staywise.functions.values import parse_boolean, safe_ratio
 
 
-def risk_summary(latest: DataFrame, p_col: str = "churn_probability", prefix: str = "clients") -> DataFrame:
+def risk_summary(latest: DataFrame, p_col: str = "churn_probability", prefix: str = "clients", extra=()) -> DataFrame:
     """One row - totals per level band and mean probability over the
-    latest-prediction view; 'needing attention' is strictly p > 0.5."""
+    latest-prediction view; 'needing attention' is strictly p > 0.5.  ``extra``
+    aggregates are added to the row."""
     lv, p = F.col("risk_level"), F.col(p_col)
     noun = "clients" if prefix == "clients" else "team_members"
     return latest.agg(
@@ -25,6 +26,7 @@ def risk_summary(latest: DataFrame, p_col: str = "churn_probability", prefix: st
         F.count_if(lv == "low").alias("low_risk_count"),
         F.round(F.avg(p), 6).alias("avg_probability"),
         F.count_if(p > 0.5).alias(f"{noun}_needing_attention"),
+        *extra,
     )
 
 

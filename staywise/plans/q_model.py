@@ -114,13 +114,16 @@ def score_clients(spark, sf):
 
 def member_rows(spark, sf):
     """(features and label of every member with a tenure in range, features of
-    the active ones to score).  Other tenures have no bucket; they are left out
-    here and reported by the count of ``score_members`` against the members."""
+    the active ones to score, features of the active ones that cannot be scored:
+    their tenure has no bucket)."""
     mf = FT.member_features(A.team_members(spark, sf), A.AS_OF_ACCOUNTS)
     lab = LB.label_member_attrition(A.team_members(spark, sf)).select("id", "left")
     status = A.team_members(spark, sf).select("id", "status")
-    df = mf.join(lab, "id").join(status, "id").filter(F.col("tenure_bucket").isNotNull())
-    return df.drop("status"), df.filter(F.lower("status") == "active").drop("status", "left")
+    df = mf.join(lab, "id").join(status, "id")
+    fit = df.filter(F.col("tenure_bucket").isNotNull())
+    active = df.filter(F.lower("status") == "active").drop("status", "left")
+    return (fit.drop("status"), active.filter(F.col("tenure_bucket").isNotNull()),
+            active.filter(F.col("tenure_bucket").isNull()))
 
 
 def member_model(spark, sf):
@@ -132,8 +135,13 @@ def member_model(spark, sf):
 
 
 def scored_members(spark, sf):
+    """Every active member; those without a tenure bucket have no probability,
+    score or level but a reason, and the factors and actions that need none."""
     from staywise.functions.risk import predicted_days
-    s = MO.score(member_rows(spark, sf)[1], member_model(spark, sf), ["id", *FT.MEMBER_FEATURES], "attrition_probability")
+    _, rows, others = member_rows(spark, sf)
+    s = MO.score(rows, member_model(spark, sf), ["id", *FT.MEMBER_FEATURES], "attrition_probability")
+    s = s.withColumn("unscored_reason", F.lit(None).cast("string")).unionByName(
+        others.select("id", *FT.MEMBER_FEATURES, F.lit("tenure outside the buckets").alias("unscored_reason")), allowMissingColumns=True)
     s = s.withColumn("predicted_days_to_attrition", predicted_days("attrition_probability"))
     return R.recommendations(R.attrition_factors(s, "training", 3), "training", 3)
 
@@ -142,18 +150,21 @@ def scored_members(spark, sf):
 def score_members(spark, sf):
     """Attrition model on member features with balanced weights; every
     active member's probability, score, level, predicted days, factors,
-    recommendations and features, one record each."""
+    recommendations and features, one record each (no probability, score, level
+    and days, but a reason, where the tenure is outside the buckets)."""
     from staywise.functions.values import feature_map
     s = scored_members(spark, sf).withColumn("features", feature_map(FT.MEMBER_FEATURES))
     return s.select("id", "attrition_probability", "risk_score", "risk_level", "predicted_days_to_attrition",
-                    "top_risk_factors", "recommended_actions", "features")
+                    "top_risk_factors", "recommended_actions", "features", "unscored_reason")
 
 
 @query("member_recommendations")
 def member_recommendations(spark, sf):
-    """The recommended actions of every active member, a row each."""
-    s = scored_members(spark, sf).select("id", F.posexplode("recommended_actions").alias("pos", "a"))
-    return s.select("id", "pos", F.col("a.action").alias("action"), F.col("a.priority").alias("priority"))
+    """The recommended actions of every active member, a row each; an
+    unscored member without any has one row with the reason."""
+    s = scored_members(spark, sf).select("id", "unscored_reason", F.posexplode_outer("recommended_actions").alias("pos", "a"))
+    s = s.filter(F.col("pos").isNotNull() | F.col("unscored_reason").isNotNull())
+    return s.select("id", "pos", F.col("a.action").alias("action"), F.col("a.priority").alias("priority"), "unscored_reason")
 
 
 @query("model_inspect")
@@ -194,9 +205,10 @@ def gated_factors(spark, sf):
 @query("member_risk_summary")
 def member_risk_summary(spark, sf):
     """Summary over the active members' attrition probabilities (one
-    scoring run, so every member's latest row)."""
+    scoring run, so every member's latest row) and how many of the total have none."""
     from staywise.operators.summary import risk_summary
-    return risk_summary(scored_members(spark, sf), "attrition_probability", prefix="members")
+    return risk_summary(scored_members(spark, sf), "attrition_probability", prefix="members",
+                        extra=[F.count("unscored_reason").alias("unscored_team_members")])
 
 
 @query("weighted_fit")

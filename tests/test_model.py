@@ -155,3 +155,29 @@ def test_bundle_of_a_calibrated_model(spark, fitted, tmp_path):
         MO.load(root, "v11")
     with pytest.raises(FileNotFoundError):
         MO.load(str(tmp_path / "none"))
+
+
+def test_members_outside_the_tenure_buckets_are_returned(spark, monkeypatch):
+    """Months -1 and 1000 have no bucket, 0 and 999 have one; all four are active."""
+    import datetime as dt
+    ref, days = dt.date(2001, 8, 2), {9001: -30, 9002: -29, 9003: 29999, 9004: 30000}
+    members = QM.A.team_members(spark, SF_SMALL)
+    types = dict(members.dtypes)
+    extra = spark.createDataFrame([(i, ref - dt.timedelta(days=d)) for i, d in days.items()], "id long, day date")
+    extra = extra.select(*[F.lit("Active").alias(c) if c == "status" else F.col("id") if c == "id" else F.lit(1).cast(types[c]).alias(c) if c == "client_id"
+                           else F.col("day").cast(types[c]).alias(c) if c in ("start_date", "created_at", "updated_at")
+                           else F.lit("senior").alias(c) for c in members.columns])
+    both = members.unionByName(extra)
+    monkeypatch.setattr(QM.A, "team_members", lambda *a: both)
+    w = MO.with_balanced_weights(QM.member_rows(spark, SF_SMALL)[0], "left")
+    model = MO.fit_boosted(w, list(QM.FT.MEMBER_FEATURES), "left", {"maxIter": 2, "maxDepth": 2}, weight_col="weight")
+    monkeypatch.setattr(QM, "member_model", lambda *a: model)
+    got = {r["id"]: r for r in QM.score_members(spark, SF_SMALL).collect()}
+    assert set(got) == {r["id"] for r in both.where("lower(status) = 'active'").collect()}
+    assert all((got[i]["attrition_probability"] is None) == (i in (9001, 9004)) for i in days)
+    for i in (9001, 9004):
+        assert got[i]["unscored_reason"] and got[i]["risk_level"] is None and got[i]["risk_score"] is None
+    assert got[9002]["unscored_reason"] is None
+    assert {9001, 9004} <= {r["id"] for r in QM.member_recommendations(spark, SF_SMALL).collect()}
+    total = QM.member_risk_summary(spark, SF_SMALL).first()
+    assert total["total_team_members"] == len(got) and total["unscored_team_members"] == sum(r["unscored_reason"] is not None for r in got.values())
