@@ -55,6 +55,18 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def slices(texts: list[bytes], rows: int, size: int = 4 << 20) -> Iterator[slice]:
+    """Runs of at most ``rows`` texts and ``size`` bytes (a longer text by itself)."""
+    lo, held = 0, 0
+    for k, t in enumerate(texts):
+        if k > lo and (k - lo >= rows or held + len(t) > size):
+            yield slice(lo, k)
+            lo, held = k, 0
+        held += len(t)
+    if lo < len(texts):
+        yield slice(lo, len(texts))
+
+
 def i64(values) -> pa.Array:
     """numpy integers (uint64 included, same bits) as an Arrow long array."""
     a = np.ascontiguousarray(values)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm import htmltext, langid, mix, pack, pii, simhash, substrings, tokencount, topk, vectordup
+from staywise.llm import htmltext, langid, lexical, mix, pack, pii, simhash, substrings, tokencount, topk, vectordup
 from staywise.llm.common import prepare
 from staywise.sources.tables import table
 
@@ -118,6 +118,29 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query("op11_lexical", r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents WHERE text IS NOT NULL),
+t AS (SELECT d, any_value(doc_id) AS doc_id, any_value(len(words)) AS n, term, count(*) AS tf
+      FROM (SELECT d, doc_id, words, unnest(words) AS term FROM w) GROUP BY d, term),
+total AS (SELECT CAST(count(*) AS BIGINT) AS N_, CAST(sum(len(words)) AS BIGINT) AS L_ FROM w WHERE len(words) > 0),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(N_) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, total GROUP BY term),
+i AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT item_id, text, unnest(regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i),
+it AS (SELECT item_id, text, term, count(*) AS reps FROM iw GROUP BY ALL),
+s AS (SELECT it.item_id, it.text, t.d, any_value(t.doc_id) AS doc_id,
+        CAST(sum(reps * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * N_) // L_)))) AS BIGINT) AS score
+      FROM it JOIN t ON t.term = it.term JOIN wt ON wt.term = it.term, total GROUP BY it.item_id, it.text, t.d),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS k FROM s WHERE score > 0)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score FROM r WHERE k <= 10""")
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
