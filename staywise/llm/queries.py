@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm import htmltext, langid, lexical, mix, pack, pii, simhash, substrings, tokencount, topk, vectordup
+from staywise.llm import align, htmltext, langid, lexical, mix, pack, pii, simhash, substrings, tokencount, topk, vectordup
 from staywise.llm.common import prepare
 from staywise.sources.tables import table
 
@@ -141,6 +141,12 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+@query("op12_align")
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of a byte-level and a sentencepiece tokenizer."""
+    return align.alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
