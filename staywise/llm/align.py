@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from staywise.llm.common import i64, map_batches, pick, prepare, slices, texts_of
 from staywise.session import checkpoint_dir
 
+_GAP = re.compile(r"(?<=\S) ")
 #: Distinct pairs that a task gathers before it adds them up.
 GATHER = 2_000_000
 
@@ -55,12 +57,15 @@ class ByteLevel:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are plain text
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
         letters = byte_letters()
-        self.bytes = [b""] * (1 + max(vocabulary.values()))
-        for token, k in vocabulary.items():
+        self.bytes = [b""] * (1 + max(spec["model"]["vocab"].values()))
+        for token, k in spec["model"]["vocab"].items():
             if all(c in letters for c in token):
                 self.bytes[k] = bytes(letters[c] for c in token)
+        #: Does a space after a visible character always begin a new token?
+        first = spec["pre_tokenizer"] or {}
+        self.parts = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not spec["normalizer"]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch([" " + t for t in texts], add_special_tokens=False)]
@@ -76,6 +81,7 @@ class Pieces:
         names = [m.id_to_piece(k) for k in range(m.get_piece_size())]
         self.bytes = [bytes([int(p[3:-1], 16)]) if m.is_byte(k) else b"" if m.is_control(k) or m.is_unknown(k)
                       else p.replace("▁", " ").encode() for k, p in enumerate(names)]
+        self.parts = all("▁" not in p.lstrip("▁") for p in names)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode(texts, num_threads=1)
@@ -117,11 +123,11 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
 class Slice:
     """Aligned tokens of some documents, laid one after the other."""
 
-    def __init__(self, ids_a: list[list[int]], ids_b: list[list[int]], lengths_a: np.ndarray, lengths_b: np.ndarray):
-        self.n_a = np.array([len(x) for x in ids_a], np.int64)
-        self.n_b = np.array([len(x) for x in ids_b], np.int64)
-        self.a = np.fromiter((k for x in ids_a for k in x), np.int64, self.n_a.sum())
-        self.b = np.fromiter((k for x in ids_b for k in x), np.int64, self.n_b.sum())
+    def __init__(self, ids_a: list[bytes], ids_b: list[bytes], lengths_a: np.ndarray, lengths_b: np.ndarray):
+        self.n_a = np.array([len(x) // 4 for x in ids_a], np.int64)
+        self.n_b = np.array([len(x) // 4 for x in ids_b], np.int64)
+        self.a = np.frombuffer(b"".join(ids_a), "<u4").astype(np.int64)
+        self.b = np.frombuffer(b"".join(ids_b), "<u4").astype(np.int64)
         self.ends = lengths_b[self.b].cumsum()
         end_a, end_b = terminals(lengths_a[self.a].cumsum(), self.ends)
         last = np.zeros(len(self.b), bool)
@@ -163,28 +169,68 @@ def _names(first: int, second: int) -> list[bytes]:
 
 
 class Aligner:
-    def __init__(self, first: str, second: str):
+    """Both tokenizers.  No token of either reaches over a space behind a visible
+    character, so a text is the sequence of its parts between such spaces, and a
+    worker encodes each distinct part once (the more recent half of its memory
+    stays when that is full).  Where a vocabulary has such tokens, texts are encoded whole."""
+
+    def __init__(self, first: str, second: str, memory: int = 300_000):
         self.first, self.second = tokenizer_of(first), tokenizer_of(second)
         self.sizes = len(self.first.bytes), len(self.second.bytes)
         self.lengths = [np.array([len(t) for t in side.bytes], np.int64) for side in (self.first, self.second)]
         self.names = _names(*self.sizes)
+        self.parts = self.first.parts and self.second.parts
+        self.memory, self.recent, self.older = memory, {}, {}
+
+    def split(self, text: str) -> list[str]:
+        if not self.parts:
+            return [text]
+        parts = _GAP.split(text)
+        if not parts[-1]:  # a last space is encoded behind what it follows
+            parts[-2:] = [parts[-2] + " "]
+        return parts
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Ids of both sides of each part (4 bytes an id); none if either does not spell it."""
+        if len(self.recent) > self.memory:
+            self.older, self.recent = self.recent, {}
+        new = wanted.difference(self.recent)
+        for part in [p for p in new if p in self.older]:
+            self.recent[part] = self.older[part]
+        new = [p for p in new if p not in self.recent]
+        for part, a, b in zip(new, self.first.encode(new), self.second.encode(new)):
+            data = b" " + part.encode()
+            spelled = self._spells(self.first, a, data) and self._spells(self.second, b, data)
+            self.recent[part] = (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if spelled else None
+
+    @staticmethod
+    def _spells(side, ids: list[int], data: bytes) -> bool:
+        """Do the tokens spell the bytes, each at least one?"""
+        tokens = [side.bytes[k] for k in ids]
+        return all(tokens) and b"".join(tokens) == data
 
     def slices(self, texts: list[bytes | None]) -> Iterator[tuple[list[int], Slice]]:
         """(places of the documents that have tokens, their slice)."""
         held = [t or b"" for t in texts]
         for part in slices(held, 512, 1 << 20):
-            whole = [(k, t.decode("utf-8", "replace"), b" " + t) for k, t in enumerate(held[part], part.start) if t]
-            encoded = zip(whole, self.first.encode([t for _, t, _ in whole]), self.second.encode([t for _, t, _ in whole]))
-            kept = [(k, a, b) for (k, _, data), a, b in encoded if self._spells(self.first, a, data) and self._spells(self.second, b, data)]
+            split = [self.split(s) if t and (s := _decoded(t)) else [] for t in held[part]]
+            self._learn(set().union(*split))
+            kept, a, b = [], [], []
+            for k, parts in enumerate(split, part.start):
+                ids = [self.recent[p] for p in parts]
+                if ids and None not in ids:
+                    kept.append(k)
+                    a.append(b"".join([x for x, _ in ids]))
+                    b.append(b"".join([y for _, y in ids]))
             if kept:
-                places, a, b = zip(*kept)
-                yield list(places), Slice(a, b, *self.lengths)
+                yield kept, Slice(a, b, *self.lengths)
 
-    @staticmethod
-    def _spells(side, ids: list[int], data: bytes) -> bool:
-        """Do the tokens spell the bytes, each at least one?"""
-        spelled = side.bytes
-        return all(map(spelled.__getitem__, set(ids))) and b"".join([spelled[k] for k in ids]) == data
+
+def _decoded(text: bytes) -> str:
+    try:
+        return text.decode()
+    except UnicodeDecodeError:
+        return ""  # cannot be spelled
 
 
 @lru_cache(maxsize=2)
