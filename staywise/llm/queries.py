@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.llm import align, htmltext, langid, lexical, mix, pack, pii, simhash, substrings, tokencount, topk, vectordup
+from staywise.llm import align, htmltext, langid, lexical, mix, pack, pii, simhash, substrings, tokencount, topk, vectordup, warc
 from staywise.llm.common import prepare
 from staywise.sources.tables import table
 
@@ -147,6 +147,21 @@ def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+@query("op13_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS largest FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31 AS INTEGER), 1)
+    for k in range(32)], '') AS payload_digest,
+  CASE WHEN largest IS NULL OR page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN largest IS NULL OR page_id = largest THEN NULL ELSE largest END AS refers_to
+FROM d""")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
