@@ -48,15 +48,15 @@ def fingerprint(text: bytes, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row; a null or wordless text has fingerprint 0."""
+    """(doc_id, text_hash long, fp long) for every row; a null or wordless text has fingerprint 0."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(x, shingle_words) for x in texts_of(b.column("text"))], np.uint64)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), i64(fp)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), i64(fp)], ["doc_id", "text_hash", "fp"])
 
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"),
-                                                           F.col("text").cast("binary").alias("text"))
-    return map_batches(rows, run, "doc_id long, fp long")
+    rows = pick(docs, doc_id=id_col, text=text_col).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return map_batches(rows, run, "doc_id long, text_hash long, fp long")
 
 
 def slicing(n: int, radius: int, bits: int = 64) -> list[list[tuple[int, int]]]:
@@ -100,6 +100,14 @@ def links(fps: DataFrame, radius: int = 4, tile_rows: int = 2048, group_rows: in
     return groups.select("work", "side", "bucket", "fp").groupBy("work").applyInArrow(compare, "a long, b long")
 
 
+def _grouped(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, c, least): the component of each fingerprint of ``rows`` (named by
+    a fingerprint) and the least id that has it."""
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    comp = connected_components(links(nodes.select("fp"), radius))
+    return nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", F.coalesce("component", "fp").alias("c"), "least")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp long, component_id (the least doc_id
@@ -111,28 +119,31 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4,
     non-null id (null if there is none).  Empty tables give an empty result;
     other columns are not read."""
     rows = cut(fingerprints(docs, shingle_words, id_col, text_col))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = connected_components(links(nodes.select("fp"), radius))
-    named = nodes.join(comp, nodes["fp"] == comp["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("c"))
+    named = _grouped(rows, radius)
     ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
     label = named.select("fp", "c").join(ids, "c").select(F.col("fp").alias("fp_"), "component_id")
     return rows.join(label, rows["fp"] == label["fp_"], "left").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns, of the document with the least id of each group.
-    Of rows that share this id one stays (that of the least text hash).  Rows
-    without an id cannot be told apart by one and stay."""
-    groups = near_duplicates(docs, shingle_words, radius, id_col, text_col)
-    rows, ids, nameless = docs.agg(F.count(F.col(f"`{id_col}`")), F.count_distinct(F.col(f"`{id_col}`")),
-                                   F.count_if(F.col(f"`{id_col}`").isNull())).first()
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    out = docs.join(keep, id_col, "left_semi").select(docs.columns)
-    if ids < rows:
-        out = out.groupBy(F.col(f"`{id_col}`").alias("id_of_group_")).agg(
-            F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(F.col(f"`{text_col}`"))).alias("row_of_group_"))
-        out = out.select("row_of_group_.*")
-    if nameless:
-        out = out.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    """One row, all columns, of each group of near-duplicates: that of the least
+    id (rows without an id come last), of several with this id that of the
+    least text hash.
+
+    Groups are those of texts, whatever the ids: different texts under one id
+    each stay if nothing else resembles them, and a row without an id stays if
+    its group has no other.  Of rows equal in id and text one stays (any)."""
+    rows = cut(fingerprints(docs, shingle_words, id_col, text_col))
+    named = _grouped(rows, radius)
+    # the first row of each fingerprint, then of each component: both add up before they move
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first"))
+    kept = first.withColumnRenamed("fp", "fp_").join(named.select("fp", "c"), F.col("fp_") == F.col("fp"))
+    kept = cut(kept.groupBy("c").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_hash"))
+    key = [F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("doc_of_group_")), F.xxhash64(F.col(f"`{text_col}`")) == F.col("hash_of_group_")]
+    wanted = kept.select(F.col("doc_id").alias("doc_of_group_"), F.col("text_hash").alias("hash_of_group_"))
+    out = docs.join(wanted, key[0] & key[1], "left_semi").select(docs.columns)
+    repeated = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("doc_of_group_")) & (F.col("text_hash") == F.col("hash_of_group_")), "left_semi")
+    if count_rows(repeated) > count_rows(kept):  # some kept row occurs more than once
+        out = out.groupBy(F.col(f"`{id_col}`").cast("long").alias("id_of_group_"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash_of_group_")).agg(
+            F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row_of_group_")).select("row_of_group_.*")
     return out

@@ -88,3 +88,18 @@ def test_stars_and_components(spark):
     got = {r["node"]: r["component"] for r in got.collect()}
     assert all(got[k] == 0 for k in range(201))
     assert all(got.get(k + 1000, k + 1000) == c + 1000 for k, c in want.items())
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    a, b, c = (" ".join(random.Random(k).choices(words, k=300)) for k in (1, 2, 3))
+    near = a[:-4] + " end"
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, c), (None, near), (3, None), (3, ""), (4, None), (1, b)]
+    fp = {t: simhash.fingerprint((t or "").encode(), 4) for _, t in rows}
+    assert (fp[a] ^ fp[near]).bit_count() <= 4 < min((fp[x] ^ fp[y]).bit_count() for x, y in ((a, b), (a, c), (b, c)))
+    got = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(clashing(docs_frame(spark, rows))).collect()]
+    named = [(i, t) for i, t in got if i != 3]
+    assert sorted(named, key=repr) == sorted([(1, a), (1, b), (None, c)], key=repr)
+    assert [i for i, t in got if not t] == [3]  # null and empty share fingerprint 0
+    got = simhash.one_of_each(docs_frame(spark, [(1, a), (1, b), (2, a)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(1, a), (1, b)])
