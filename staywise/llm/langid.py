@@ -4,10 +4,14 @@ score and rejection.
 
 A text is lower-cased, every byte that is not a letter becomes a space, and all
 byte n-grams of the whole text are hashed into a table of embeddings.  The mean
-embedding goes through a linear layer.  The last fifth of the training sample
-is kept out of the fit and sets the temperature of the softmax and the score
-below which a prediction is rejected (one that no rightly predicted document of
-them comes near).
+embedding goes through a linear layer.  A fifth of the training sample is kept
+out of the fit; pieces of many lengths of it set the temperature of the softmax
+and the limits of rejection.
+
+A softmax over the learned languages is sure of texts in any other, so rejection
+asks another question: which part of the text's n-grams occurs in the training
+texts at all?  This coverage must not fall below what the kept-out pieces of at
+least the text's length show, less a margin.
 """
 
 from __future__ import annotations
@@ -58,24 +62,31 @@ def ngrams(data: bytes, bits: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``table``: each n-gram's contribution to the logits (embedding x weights)."""
+    """``table``: each n-gram's contribution to the logits (embedding x
+    weights); ``seen``: 1 if training texts hold it; ``limits``: the least
+    coverage that is accepted, by the octave of the number of n-grams."""
 
     labels: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-    reject_below: float
+    seen: np.ndarray
+    limits: np.ndarray
     bits: int
 
-    def logits(self, text: bytes) -> np.ndarray:
+    def _means(self, text: bytes, table: np.ndarray) -> tuple[np.ndarray, int]:
+        """Mean rows of ``table`` over all n-grams of the text, and how many these are."""
         data = letters(text)
-        total, n = np.zeros(len(self.labels)), 0
+        total, n = np.zeros(table.shape[1]), 0
         for at in range(0, max(1, len(data)), BLOCK):  # neighbouring blocks share 3 bytes
             idx = ngrams(data[max(0, at - 3 * (at > 0)):at + BLOCK], self.bits)
-            total += np.bincount(idx, minlength=len(self.table)) @ self.table if len(idx) > 40_000 else \
-                self.table[idx].sum(axis=0, dtype=np.float64)
+            total += np.bincount(idx, minlength=len(table)) @ table if len(idx) > 40_000 else \
+                table[idx].sum(axis=0, dtype=np.float64)
             n += len(idx)
-        return total / max(1, n) + self.bias
+        return total / max(1, n), n
+
+    def logits(self, text: bytes) -> np.ndarray:
+        return self._means(text, self.table)[0] + self.bias
 
     def predict(self, text: bytes) -> tuple[str, float]:
         if not self.labels or not has_letter(text):
@@ -84,12 +95,29 @@ class Model:
         k = int(p.argmax())
         return self.labels[k], float(p[k])
 
-
     def rejects(self, text: bytes) -> bool:
-        """No letter, or a score below the calibrated limit; a model that has
-        learned no label has no limit."""
-        lang, score = self.predict(text)
-        return not has_letter(text) if lang == UNDETERMINED else score < self.reject_below
+        """No letter, or too many n-grams that no training text holds; a model
+        that has learned no label has no limit."""
+        if not has_letter(text):
+            return True
+        coverage, n = self._means(text, self.seen)
+        return bool(self.labels) and bool(coverage[0] < self.limits[octave(n)])
+
+
+def octave(n: int) -> int:
+    """0 for up to 31 n-grams, 1 for up to 63 and so on, 9 for the longest."""
+    return min(9, max(0, n.bit_length() - 5))
+
+
+def pieces(data: bytes, rng: np.random.Generator) -> list[bytes]:
+    """The folded text and runs of its words of about 12, 24, 48 ... bytes."""
+    out, size = [data], 12
+    while size < len(data):
+        at = int(rng.integers(0, len(data) - size))
+        words = data[at:at + size].split(b" ")
+        out.append(b" ".join(words[1:-1] if len(words) > 3 else words))
+        size *= 2
+    return [x for x in out if x.strip()]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -98,13 +126,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, min_steps: int = 12_000,
-          rate: float = 0.5, seed: int = 7, reject_most: float = 0.4) -> Model:
+          rate: float = 0.5, seed: int = 7, margin: float = 0.2) -> Model:
     """Plain SGD, one document a step, at least ``min_steps`` steps in whole
-    epochs (five or more), learning rate falling linearly to zero."""
+    epochs (five or more), learning rate falling linearly to zero.  ``margin``:
+    where rejection begins on the way from the least covered kept-out piece (0)
+    to n-grams at random (1)."""
     rng = np.random.default_rng(seed)
     labels = sorted(set(langs))
     if not labels:
-        return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0, bits)
+        return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32), 1.0,
+                     np.zeros((1 << bits, 1), np.float32), np.zeros(10), bits)
     y = np.array([labels.index(x) for x in langs])
     feats = []
     for t in texts:
@@ -132,18 +163,23 @@ def train(texts: list[bytes], langs: list[str], bits: int = 16, dim: int = 16, m
             emb[idx] -= (lr * dim) * share[:, None] * back
             steps += 1
     table = (emb @ w).astype(np.float32)
-    z = np.array([feats[k][1] @ table[feats[k][0]] for k in held]).reshape(len(held), len(labels)) + bias
-    temps = np.geomspace(0.05, 20, 61)
-    if len(held):
-        loss = [-np.log(softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in temps]
-        temperature = float(temps[int(np.argmin(loss))])
-        p = softmax(z / temperature)
-        right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-        # well below every held-out document that was predicted right
-        reject = float(min(reject_most, 0.9 * right.min())) if len(right) else 0.0
-    else:
-        temperature, reject = 1.0, 0.0
-    return Model(labels, table, bias, temperature, reject, bits)
+    seen = np.zeros((1 << bits, 1), np.float32)
+    for k in fit:
+        seen[feats[k][0]] = 1
+    rows = [(y[k], ngrams(x, bits)) for k in held for x in pieces(letters(texts[k]), rng)]
+    if not rows:
+        return Model(labels, table, bias, 1.0, seen, np.zeros(10), bits)
+    z = np.array([table[idx].mean(axis=0, dtype=np.float64) for _, idx in rows]) + bias
+    truth = np.array([label for label, _ in rows])
+    temps = np.geomspace(0.002, 20, 93)
+    loss = [-np.log(softmax(z / t)[np.arange(len(rows)), truth] + 1e-12).mean() for t in temps]
+    least = np.ones(10)
+    for _, idx in rows:  # whatever was predicted: these texts must stay
+        at = octave(len(idx))
+        least[:at + 1] = np.minimum(least[:at + 1], seen[idx, 0].mean(dtype=np.float64))
+    longest = max(octave(len(idx)) for _, idx in rows)
+    least[longest:] = least[longest]
+    return Model(labels, table, bias, float(temps[int(np.argmin(loss))]), seen, least - margin * (least - seen.mean()), bits)
 
 
 def labelled_sample(docs: DataFrame, per_label: int = 600, max_chars: int = 8000, id_col: str = "doc_id",

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from staywise.llm import langid, queries
@@ -22,7 +23,7 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     docs = documents(spark, SF)
     blind = docs.withColumn("lang", F.when(queries.remainder() == 2, F.lit("xx")).otherwise(F.col("lang")))
     a, b = (langid.fit(d.where(queries.remainder() != 2), per_label=50) for d in (docs, blind))
-    assert a.labels == b.labels and (a.table == b.table).all() and a.reject_below == b.reject_below
+    assert a.labels == b.labels and (a.table == b.table).all() and (a.limits == b.limits).all()
 
 
 def test_edges(spark):
@@ -43,3 +44,28 @@ def test_blocks_do_not_change_the_features(monkeypatch):
     want = m.logits(long)
     monkeypatch.setattr(langid, "BLOCK", 1000)
     assert abs(m.logits(long) - want).max() < 0.05 * abs(want).max()
+
+
+UNLEARNED = [  # the same sentences in languages that the documents do not hold
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в духе братства.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "يولد جميع الناس أحرارًا متساوين في الكرامة والحقوق. وقد وهبوا عقلاً وضميرًا وعليهم أن يعامل بعضهم بعضًا بروح الإخاء.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, testvéri szellemben kell hogy viseltessenek."]
+
+
+def test_unlearned_languages_are_rejected_and_clean_documents_stay(spark):
+    docs = documents(spark, "/root/testdata/sf0.1")
+    model = langid.fit(docs.where(queries.remainder() != 2))
+    rng = random.Random(5)
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=n)) for n in (20, 40, 80, 200, 1000) for _ in range(40)]
+    foreign = [model.rejects(t.encode()) for t in UNLEARNED]
+    assert sum(foreign) == len(UNLEARNED)
+    assert sum(model.rejects(t.encode()) for t in noise if langid.has_letter(t.encode())) >= 0.95 * len(noise)
+    held = [r for r in docs.where(queries.remainder() == 2).where("text rlike '[a-zA-Z]'").collect()]
+    assert not [r["doc_id"] for r in held if model.rejects(r["text"].encode())]
+    assert 0.002 < model.temperature < 20
+    rows = [(k, t) for k, t in enumerate(UNLEARNED)] + [(100 + r["doc_id"], r["text"]) for r in held[:50]]
+    assert sorted(r["doc_id"] for r in langid.accepted(docs_frame(spark, rows), model).collect()) == sorted(100 + r["doc_id"] for r in held[:50])
