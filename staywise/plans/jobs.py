@@ -5,8 +5,8 @@
 directory + model-run row.
 
 ``score_daily``: active clients -> scoring matrix -> probability, score,
-level -> previous confirmed level from the store (earlier days only) ->
-two-strike confirmation -> serving factors -> upsert into the daily store ->
+level -> previous confirmed level (earlier days only) from the table of each
+client's last days, which is refreshed from what the store published -> two-strike confirmation -> serving factors -> upsert into the daily store ->
 run-log row.  ``as_of`` is a parameter; nothing reads the clock.
 """
 
@@ -24,6 +24,7 @@ from staywise.session import materialize
 from staywise.sources import adapters as A
 from staywise.sources import ingest as I
 from staywise.sources import reports as RP
+from staywise.sources.latest import LatestTable
 from staywise.sources.store import DailyStore, run_log
 
 LABEL = "client_lost"
@@ -63,13 +64,13 @@ def score_daily(spark: SparkSession, sf_dir: str, model_root: str, store_root: s
            .withColumn("id", F.xxhash64(F.col("client_id"), F.lit(as_of)))
            .withColumn("model_version", F.lit(version)))
     store = DailyStore(spark, store_root, "client_id")
-    hist = store.current()
-    if hist is not None:
-        prev_day = as_of[:10]
-        new = H.previous_level(new, hist.select("client_id", "prediction_day", "risk_level"), "client_id", prev_day)
-        new = (new.withColumn("risk_level", H.confirm_step(F.col("risk_level"), F.col("previous_level")))
-               .drop("previous_level", "previous_day"))
+    recent = LatestTable(store)
+    recent.refresh()  # whatever an interrupted run or another writer has left
+    new = recent.previous_level(new, as_of[:10])
+    new = (new.withColumn("risk_level", H.confirm_step(F.col("risk_level"), F.col("previous_level")))
+           .drop("previous_level", "previous_day"))
     new = R.sync_factors(new, 5)
     new = materialize(new)
     store.upsert(new, version=as_of[:10].replace("-", "") + "_" + version)
+    recent.refresh()
     return run_log(new, "churn_gbt", version, as_of, as_of)
