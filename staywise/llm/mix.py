@@ -22,6 +22,8 @@ from staywise.llm.common import cut, i64, map_batches, prepare
 from staywise.operators.ordering import position, running_sum
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Slots that one task makes, on average.
+TASK_SLOTS = 1 << 18
 #: Weights by the rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
 
@@ -94,16 +96,9 @@ def _draws(spark, quotas: np.ndarray, shard_slots: int, seed: int) -> DataFrame:
     return map_batches(spark.range(shards), draw, "shard long, rank long, n long")
 
 
-def mix(rows: DataFrame, goal: DataFrame, block_words: int = 64, shard_slots: int = 8192, seed: int = 1) -> DataFrame:
-    """The mix, a row per run of words: shard, slot (of the source), source
-    rank, round, block, row, doc_id, from_word, n_words.
-
-    ``rows`` from ``sizes`` (checkpointed), ``goal`` from ``targets``
-    (checkpointed).  The quota of a source is its target in mean blocks, at
-    most two rounds of its blocks if its target is twice its words.  One quota
-    per source goes to the driver.  Documents without words take no part; an
-    empty table gives an empty mix; the same rows and seed give the same mix."""
-    spark = rows.sparkSession
+def slots_of(goal: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """(shard, rank, slot, blocks): every slot of the mix, about ``TASK_SLOTS`` in a task."""
+    spark = goal.sparkSession
     prepare(spark)
     goal = goal.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
     goal = goal.withColumn("quota", F.when(F.col("blocks") > 0, F.round(
@@ -124,8 +119,25 @@ def mix(rows: DataFrame, goal: DataFrame, block_words: int = 64, shard_slots: in
     rest = rest.withColumn("n", F.col("quota") - F.col("first")).where("n > 0").withColumn("shard", F.lit(last).cast("long"))
     cols = ["shard", "rank", "n", "first", "blocks"]
     slots = kept.select(cols).unionByName(rest.select(cols))
+    # dealt by the number of slots, not by these few rows' bytes, before they become rows
+    slots = slots.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / shard_slots))))
+    slots = slots.withColumn("n", F.least(F.lit(shard_slots), F.col("n") - F.col("part") * shard_slots))
+    slots = slots.withColumn("first", F.col("first") + F.col("part") * shard_slots).drop("part")
+    slots = slots.repartition(max(1, -(-int(quotas.sum()) // TASK_SLOTS)), "shard", "rank", "first")
     slots = slots.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
-    slots = slots.select("shard", "rank", "slot", "blocks")
+    return slots.select("shard", "rank", "slot", "blocks")
+
+
+def mix(rows: DataFrame, goal: DataFrame, block_words: int = 64, shard_slots: int = 8192, seed: int = 1) -> DataFrame:
+    """The mix, a row per run of words: shard, slot (of the source), source
+    rank, round, block, row, doc_id, from_word, n_words.
+
+    ``rows`` from ``sizes`` (checkpointed), ``goal`` from ``targets``
+    (checkpointed).  The quota of a source is its target in mean blocks, at
+    most two rounds of its blocks if its target is twice its words.  One quota
+    per source goes to the driver.  Documents without words take no part; an
+    empty table gives an empty mix; the same rows and seed give the same mix."""
+    slots = slots_of(goal, block_words, shard_slots, seed)
 
     def place(b: pa.RecordBatch) -> pa.RecordBatch:
         shard, rank, slot, n = (b.column(k).to_numpy() for k in ("shard", "rank", "slot", "blocks"))

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from staywise.llm import mix, queries
 from tests.llm.helpers import SF, clashing, docs_frame, documents
 
@@ -86,3 +88,15 @@ def test_words_between():
     t = "  a b\tc\n d  ".encode()
     assert mix.words_between(t, [(0, 4)]) == "  a b\tc\n d  "
     assert mix.words_between(t, [(0, 2), (3, 1)]) == "a b\nd"
+
+
+def test_slots_are_made_in_many_tasks(spark):
+    """16 million slots of three sources, one with almost all of them."""
+    goal = spark.createDataFrame([("a", 0, 64 * 7_500_000, 2.0 * 64 * 7_500_000), ("b", 1, 64 * 1000, 64.0 * 1000), ("c", 2, 64 * 600_000, 64.0 * 600_000)],
+                                 "source string, rank long, source_size long, target double")
+    slots = mix.slots_of(goal, 64, 8192, 1)
+    sizes = [r["count"] for r in slots.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 15_601_000 and len(sizes) >= 50 and max(sizes) < 2 * mix.TASK_SLOTS
+    per = {r["rank"]: (r["n"], r["lo"], r["hi"]) for r in slots.groupBy("rank").agg(
+        F.count_distinct("slot").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi")).collect()}
+    assert per == {0: (15_000_000, 0, 14_999_999), 1: (1000, 0, 999), 2: (600_000, 0, 599_999)}
