@@ -23,8 +23,10 @@ from xxhash import xxh64_intdigest
 
 from staywise.llm.common import cut, map_batches, pick
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_TAG = re.compile(r"<[!?][^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: After so many < that open no tag, a tag must end within so many characters:
+#: each search then has a bound, whatever a broken page holds.
+BROKEN, SHORT_TAG = 32, 1024
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +38,9 @@ BLOCK = frozenset(
 #: Start tags that end an open paragraph or item of the same kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol table dl menu select body html article section div td th".split())
+STOPS = SCOPE | frozenset("p li dt dd tr option".split())
+_OPENS = frozenset("/!?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 #: Elements that are never part of the main text.
 SKIP = frozenset("head script style noscript template textarea title xmp iframe nav footer aside form button select input menu dialog svg object canvas".split())
 #: The same by words of class, id or role.
@@ -49,6 +54,8 @@ WEAK = frozenset(
     "notice notices alert related recommended social share sharing search cookie cookies consent gdpr menu banner promotion "
     "login signup".split())
 STRONG = ROLES - WEAK
+#: Blocks that hold others; of the rest only those that do are deleted for a name alone.
+CONTAINERS = frozenset("article aside details div dl fieldset figure footer form header main menu nav ol section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -64,39 +71,84 @@ class Node:
     lines: int = 0  # blocks with text of their own, itself included
 
 
+class Open:
+    """The open elements, with the places of each tag, of all blocks and of
+    those that end or bound paragraphs and items, so that no search walks the stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks, self.stops = [root], {}, [], []
+
+    def push(self, n: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(n)
+        self.places.setdefault(n.tag, []).append(at)
+        if n.tag in BLOCK:
+            self.blocks.append(at)
+        if n.tag in STOPS:
+            self.stops.append(at)
+
+    def close(self, at: int) -> None:
+        """The element at ``at`` and all inside it."""
+        while len(self.nodes) > at:
+            n = self.nodes.pop()
+            for places in (self.places[n.tag], self.blocks, self.stops):
+                if places and places[-1] == len(self.nodes):
+                    places.pop()
+
+    def end(self, tag: str) -> None:
+        places = self.places.get(tag)
+        if places and (tag in BLOCK or not self.blocks or places[-1] > self.blocks[-1]):  # an inline end does not close blocks
+            self.close(places[-1])
+
+    def end_open(self, tags: set[str], scope: frozenset[str] | set[str]) -> None:
+        for at in reversed(self.stops):
+            tag = self.nodes[at].tag
+            if tag in tags:
+                self.close(at)
+            if tag in tags or tag in scope:
+                return
+
+
 def parse(page: str) -> Node:
     """A tolerant element tree: unknown ends ignored, missing ends supplied."""
     root = Node("#root")
-    stack, at = [root], 0
+    stack, at, broken = Open(root), 0, 0
     while at < len(page):
         lt = page.find("<", at)
-        m = _TAG.match(page, lt) if lt >= 0 else None
+        if lt >= 0 and page.startswith("<!--", lt):
+            if lt > at:
+                stack.nodes[-1].children.append(page[at:lt])
+            end = page.find("-->", lt + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        m = _TAG.match(page, lt, len(page) if broken < BROKEN else lt + SHORT_TAG) if lt >= 0 else None
         if m is None:
+            broken += lt >= 0 and page[lt + 1:lt + 2] in _OPENS
             to = len(page) if lt < 0 else lt + 1  # a lone < is text
-            stack[-1].children.append(page[at:to])
+            stack.nodes[-1].children.append(page[at:to])
             at = to
             continue
         if lt > at:
-            stack[-1].children.append(page[at:lt])
+            stack.nodes[-1].children.append(page[at:lt])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            _end(stack, tag)
+            stack.end(tag)
             continue
         if tag in BLOCK:
-            _end_open(stack, {"p"}, SCOPE | {"li"})
+            stack.end_open({"p"}, SCOPE | {"li"})
         if tag in ENDS:
-            _end_open(stack, ENDS[tag], SCOPE - ({"td", "th"} if tag in ("tr", "td", "th") else set()))
+            stack.end_open(ENDS[tag], SCOPE - ({"td", "th"} if tag in ("tr", "td", "th") else set()))
         node = Node(tag, *(roles(tag, m[3]) if m[3] else ()))
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             node.raw = page[at:end.start()] if end else page[at:]
             at = end.end() if end else len(page)
         elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK):
-            stack.append(node)
+            stack.push(node)
     return root
 
 
@@ -115,24 +167,6 @@ def roles(tag: str, attributes: str) -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(marks), frozenset(names)
 
 
-def _end(stack: list[Node], tag: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if tag not in BLOCK and stack[k].tag in BLOCK:  # an inline end does not close blocks
-            return
-
-
-def _end_open(stack: list[Node], tags: set[str], scope: frozenset[str] | set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in scope:
-            return
-
-
 def digest(root: Node) -> None:
     """Hashes all subtrees and counts their lines, children first, without recursion."""
     order, todo = [], [root]
@@ -150,12 +184,18 @@ def digest(root: Node) -> None:
 
 def skipped(n: Node, inside: bool) -> bool:
     """Not main text by its role.  Inside the article a header is text, and only
-    a whole name that is not weak decides alone."""
+    a whole name that is not weak decides alone, of a block that holds others:
+    a paragraph, a heading or an element inside a line (a comment in a listing)
+    goes only if it recurs."""
     if inside:
-        return n.tag in SKIP or not STRONG.isdisjoint(n.names)
+        return n.tag in SKIP or not STRONG.isdisjoint(n.names) and holds(n)
     return n.tag in SKIP or not ROLES.isdisjoint(n.marks) or n.tag == "header"
 
 
+def holds(n: Node) -> bool:
+    return n.tag in CONTAINERS or n.tag in BLOCK and n.tag != "pre" and any(isinstance(c, Node) and c.tag in BLOCK for c in n.children)
+
+
 def hinted(n: Node) -> bool:
     """Has a role word, be it weak or part of a name: not main text if it recurs."""
     return not ROLES.isdisjoint(n.marks)
@@ -188,11 +228,11 @@ def walk(root: Node, tops: list[Node]):
     """(node, where it stands, (depth, place among its siblings) from the start
     and from the end) of every block, and in the text of every element with a
     role word, that has content."""
-    within = PLAIN if tops[0] is root else INSIDE
+    within, own = PLAIN if tops[0] is root else INSIDE, {id(t) for t in tops}
     todo = [(root, OUTSIDE, 0, 0, 0)]
     while todo:
         n, where, depth, start, end = todo.pop()
-        top = any(n is t for t in tops)
+        top = id(n) in own
         if n.children and (where or not top):
             if where and hinted(n):
                 yield n, HINTED, depth << 32 | start, depth << 32 | end

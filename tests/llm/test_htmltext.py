@@ -4,7 +4,7 @@ import re
 import pytest
 
 from staywise.llm import htmltext, queries
-from tests.llm.helpers import SF
+from tests.llm.helpers import SF, clashing
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>x</article>";</script></head>
 <body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div>
@@ -154,3 +154,30 @@ def test_weak_role_words_need_recurrence(spark):
              + (k >= 8) * f"<p class='notice'>Notice of day {k}</p><section id='related-work'>Others {k}</section>" + "</article>") for k in range(100)]
     for k, text in ((r["page_id"], r["text"]) for r in htmltext.extract(frame(spark, rows)).collect()):
         assert text.split("\n") == [" ".join(words[6 * k:6 * k + 6])] + [f"Notice of day {k}", f"Others {k}"] * (k >= 8)
+
+
+def test_names_alone_delete_only_blocks_that_hold_others():
+    page = ('<article><pre><code>x=1 <span class="token comment"># note</span></code></pre><p class="widget">Widgets are small.</p>'
+            '<h2 class="ad">Ad prices</h2><div class="comments"><p>first!</p></div><ul class="share"><li>Share</li></ul><blockquote class="ad"><p>buy</p></blockquote><p>End.</p></article>')
+    assert htmltext.main_text(page, set()) == "x=1 # note\nWidgets are small.\nAd prices\nShare\nEnd."
+
+
+def test_broken_pages_cost_linear_time():
+    import time
+
+    pages = ["<a '" * 250_000, "<!" * 500_000, "<b>" * 120_000 + "<div></div>" * 60_000, "<i><div>" + "<b>" * 150_000 + "</i>" * 130_000,
+             '<a "' * 250_000, "<" * 1_000_000, "<!--" * 250_000, "<div>" * 200_000]
+    for page in pages:
+        began = time.time()
+        htmltext.main_text(page, set())
+        htmltext.subtrees(page)
+        assert time.time() - began < 10, page[:20]
+    later = "<a '" * 40 + "'><article><p class='x'>kept</p><!-- <p>not</p> --></article>"
+    assert "kept" in htmltext.main_text(later, set()) and "not" not in htmltext.main_text(later, set())
+
+
+def test_clashing_columns(spark):
+    rows = [(k, f"http://h.example/{k}", f"<article><p>Text {k}.</p></article>") for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = sorted(tuple(r) for r in htmltext.extract(df).collect())
+    assert sorted(tuple(r) for r in htmltext.extract(clashing(df)).collect()) == plain and len(plain) == 6
