@@ -148,7 +148,8 @@ def mix(rows: DataFrame, goal: DataFrame, block_words: int = 64, shard_slots: in
                                           ["shard", "slot", "rank", "round", "block"])
 
     placed = map_batches(slots, place, "shard long, slot long, rank long, round long, block long")
-    return placed.join(blocks(rows, goal, block_words), ["rank", "block"])
+    # both sides grow with the words: the slots' few rows before they are made must not pass for their size
+    return placed.hint("merge").join(blocks(rows, goal, block_words), ["rank", "block"])
 
 
 def blocks(rows: DataFrame, goal: DataFrame, block_words: int) -> DataFrame:
