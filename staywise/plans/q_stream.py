@@ -95,3 +95,17 @@ def stream_feedback(spark, sf):
     stream = spark.readStream.schema(fb.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/src/*")
     J.stream_feedback_days(stream, f"{base}/days", f"{base}/ckpt").awaitTermination()
     return J.feedback_windows(spark.read.parquet(f"{base}/days"))
+
+
+@query("stream_confirm_any_order", ORACLE["stream_confirm"])
+def stream_confirm_any_order(spark, sf):
+    """L1 with corrections: the same daily predictions landed in an order of days
+    that is not theirs; the last emitted levels are those of the batch rule."""
+    from staywise.streaming import corrections as C
+    base = _scratch(spark, "corrected")
+    daily = J.daily_for_stream(A.predictions(spark, sf))
+    day = F.datediff("prediction_day", F.lit("2024-01-01").cast("date"))
+    _day_files(daily.withColumn("order_", F.format_string("%05d", F.pmod(day * 7, F.lit(31)))), f"{base}/src", "order_")
+    out = C.run_confirm(spark, f"{base}/src/*", f"{base}/out", f"{base}/ckpt", max_files=6, horizon=60,
+                        state_partitions=spark.sparkContext.defaultParallelism)
+    return out.select("client_id", "prediction_day", "risk_level", "confirmed_level")

@@ -13,7 +13,7 @@ from staywise.operators import summary as S
 from tests.conftest import SF_SMALL
 
 ORACLE_NAMES = sorted(E.oracle_sql())
-STREAMING = {"stream_confirm", "stream_upsert", "stream_features", "stream_feedback"}
+STREAMING = {"stream_confirm", "stream_confirm_any_order", "stream_upsert", "stream_features", "stream_feedback"}
 
 
 def _plan(df) -> str:
