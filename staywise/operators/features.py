@@ -229,10 +229,15 @@ def pending_features(terms: DataFrame, feats: DataFrame) -> DataFrame:
     return terms.join(feats.select(F.col("termination_id").alias("id")), "id", "left_anti")
 
 
-def training_matrix(train: DataFrame) -> DataFrame:
+#: Encoded columns of the training matrix, with what stands for null.
+MATRIX_VOCABULARIES = {"geo_location": "Unknown", "termination_type": "Unknown"}
+
+
+def training_matrix(train: DataFrame, vocabs: DataFrame | None = None) -> DataFrame:
     """The 12-column training matrix.  Numeric coercion fills 0 first
     (so the later 999 / 1 defaults never apply - trap T4, kept as is),
-    then the 999 clip; two label encodings fitted on these rows."""
+    then the 999 clip; two label encodings, by the stored codes ``vocabs``
+    (column, value, code; see ``dictionary.Dictionary``) or fitted on these rows."""
     num = ("days_since_communication", "days_since_checkin", "health_score", "checkin_frequency_encoded",
            "no_replacement", "replacement_urgency", "had_pip", "offered_discount", "current_seat_count",
            "client_tenure_at_termination", "client_lost")
@@ -246,7 +251,8 @@ def training_matrix(train: DataFrame) -> DataFrame:
                       *[F.coalesce(numeric(c), F.lit(0.0)).alias(c) for c in num])
     df = (df.withColumn("days_since_communication", clip("days_since_communication", 0.0, 999.0))
             .withColumn("days_since_checkin", clip("days_since_checkin", 0.0, 999.0)))
-    vocabs = fit_vocabularies(df, {"geo_location": "Unknown", **({"termination_type": "Unknown"} if has_type else {})})
+    if vocabs is None:
+        vocabs = fit_vocabularies(df, {c: v for c, v in MATRIX_VOCABULARIES.items() if c in df.columns})
     if has_type:
         df = label_encode(df, "termination_type", vocabulary(vocabs, "termination_type"),
                           "termination_type_encoded", "Unknown")

@@ -6,7 +6,8 @@ order.  Rows are first grouped by their exact sort value (partial aggregation:
 a hot value is one row per map task); the distinct values are then
 range-partitioned by sampled bounds, so that crowded values spread as evenly as
 any, and running sums add up inside the parts and over the parts' totals
-(``ordering.running_sums``).  Ranks for splits use hash buckets, which are even
+(``ordering.running_sums``); scores are counted by their leading digits first
+(``ordering.sums_above``).  Ranks for splits use hash buckets, which are even
 by nature.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staywise.functions.risk import fbeta
-from staywise.operators.ordering import running_sums
+from staywise.operators.ordering import running_sums, sums_above
 
 # The threshold grid searched for the best F0.5 (start 0.5).
 THRESHOLD_GRID = (0.40, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80)
@@ -68,21 +69,20 @@ def score_counts(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] =
 
 def counts_above(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """For each distinct score: positives and negatives with a strictly greater
-    score (``pos_above``, ``neg_above``) and the totals of its group.  The
-    distinct scores are dealt to ranges of equal size, however they crowd."""
-    by = list(by)
-    out = running_sums(counts, by, [F.col("score").desc()], {"pos_above": "pos", "neg_above": "neg"})
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("total_pos"), F.sum("neg").alias("total_neg"))
-    if by:
-        return out.join(totals, by)  # one row per group
-    t = totals.first()
-    return out.withColumns({c: F.lit(t[c] or 0).cast("long") for c in ("total_pos", "total_neg")})
+    score (``pos_above``, ``neg_above``) and the totals of its group.  Scores are
+    counted by their leading digits first, so no task holds them all, and nothing
+    runs while the plan is made."""
+    return sums_above(counts, list(by), "score", {"pos_above": "pos", "neg_above": "neg"}, {"total_pos": "pos_above", "total_neg": "neg_above"})
 
 
 def auc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
-    """Exact ROC AUC, ties count one half:
-    sum(neg * (pos_above + pos / 2)) / (P * N); 0.5 when one class is empty."""
-    ca = counts_above(score_counts(df, y, p, by), by)
+    """Exact ROC AUC, ties count one half; 0.5 when one class is empty."""
+    return auc_of(score_counts(df, y, p, by), by)
+
+
+def auc_of(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """sum(neg * (pos_above + pos / 2)) / (P * N) of counts by distinct score."""
+    ca = counts_above(counts, by)
     g = ca.groupBy(*by) if by else ca.groupBy()
     agg = g.agg(F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2.0)).alias("_u"),
                 F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
@@ -93,7 +93,11 @@ def auc(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> Da
 def pr_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Precision and recall when flagging ``score >= threshold``, one
     row per distinct score."""
-    ca = counts_above(score_counts(df, y, p))
+    return pr_curve_of(score_counts(df, y, p))
+
+
+def pr_curve_of(counts: DataFrame) -> DataFrame:
+    ca = counts_above(counts)
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
     return ca.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
@@ -101,6 +105,19 @@ def pr_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
                      F.when(F.col("total_pos") > 0, tp / F.col("total_pos")).otherwise(F.lit(0.0)).alias("recall"))
 
 
+def quantiles_of(ranked: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """(p, q) with linear interpolation (h = (n - 1) p) from distinct scores with
+    ``n`` rows each, ``start`` rows before them and ``total`` rows in all."""
+    targets = F.array(*[F.struct(F.lit(float(p)).alias("p"), ((F.col("total") - 1) * p).alias("h")) for p in probs])
+    end = F.col("start") + F.col("n")
+    hit = ranked.select("score", "start", end.alias("end"), F.explode(F.filter(
+        targets, lambda t: (F.ceil(t["h"]) >= F.col("start")) & (F.floor(t["h"]) < end))).alias("t"))
+    low = F.when((F.floor("t.h") >= F.col("start")) & (F.floor("t.h") < F.col("end")), F.col("score"))
+    high = F.when((F.ceil("t.h") >= F.col("start")) & (F.ceil("t.h") < F.col("end")), F.col("score"))
+    per = hit.groupBy(F.col("t.p").alias("p")).agg(F.max(low).alias("lo"), F.max(high).alias("hi"), F.max("t.h").alias("h"))
+    return per.select("p", (F.col("lo") + (F.col("h") - F.floor("h")) * (F.col("hi") - F.col("lo"))).alias("q"))
+
+
 def best_threshold_curve(curve: DataFrame) -> DataFrame:
     """K8: argmax of F0.5 (with the 1e-8 guard) over the curve; ties go to the
     smaller threshold."""

@@ -1,5 +1,10 @@
 """Positions and running sums in a total order, without a one-task window.
 
+``sums_above`` needs nothing written: numbers are counted by cells first (their
+leading digits), then by finer cells inside each, then by value, and the sums of
+the three levels add up.
+
+For values of any kind (``running_sums``, ``position``):
 Rows are range-partitioned by the order, numbered inside each part, and shifted
 by the totals of the parts before it; only those totals (one row per part) are
 ever brought together.  The partitioning is written to the checkpoint folder
@@ -51,3 +56,42 @@ def position(df: DataFrame, order: list, name: str) -> DataFrame:
              .select(F.col("part_").alias("p_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("shift_")))
     out = rows.join(shift, rows["part_"] == shift["p_"])
     return out.withColumn(name, (F.col(name) + F.col("shift_") - 1).cast("long")).drop("part_", "p_", "shift_")
+
+
+#: Cells of a unit: the first level, and both together.  Values past +-CLIP units share the last cells.
+COARSE, FINE, CLIP = 1 << 12, 1 << 28, 1 << 8
+
+
+def sums_above(df: DataFrame, group: list[str], value: str, sums: dict[str, str], totals: dict[str, str]) -> DataFrame:
+    """For each (name, amount) of ``sums`` adds ``name``: the sum of ``amount``
+    over the rows of the same ``group`` (columns without nulls; none: all rows)
+    with a greater ``value``, a double that is unique in its group (null is the
+    least); and for each
+    (column, name) of ``totals`` the sum over all rows of the group.
+
+    Lazy: three windows over (group), (group, coarse cell) and (group, fine
+    cell), of at most 2 x CLIP x COARSE cells, FINE / COARSE cells and the
+    values of a fine cell; nothing is written or run while the plan is made."""
+    unit = F.least(F.greatest(F.col(value), F.lit(-float(CLIP))), F.lit(float(CLIP)))
+    cells = {"coarse_": F.floor(unit * COARSE), "fine_": F.floor(unit * FINE)}
+    rows = df.withColumns(cells)
+    greater = (Window.unboundedPreceding, -1)
+
+    def level(part: list[str], key: str, whole: dict[str, str]) -> DataFrame:
+        per = rows.groupBy(*part, key).agg(*[F.sum(a).alias(f"sum_{n}") for n, a in sums.items()])
+        w = Window.partitionBy(*part).orderBy(F.col(key).desc()).rowsBetween(*greater)
+        return per.select(*[F.col(c).alias(f"{key}{c}") for c in (*part, key)], *[
+            F.coalesce(F.sum(f"sum_{n}").over(w), F.lit(0)).alias(f"{key}{n}") for n in sums], *[
+            F.sum(f"sum_{n}").over(Window.partitionBy(*part)).cast("long").alias(c) for c, n in whole.items()])
+
+    inside = Window.partitionBy(*group, "fine_").orderBy(F.col(value).desc()).rowsBetween(*greater)
+    out = rows.withColumns({n: F.coalesce(F.sum(a).over(inside), F.lit(0)) for n, a in sums.items()})
+    for part, key, whole in (([*group, "coarse_"], "fine_", {}), (group, "coarse_", totals)):
+        above = level(part, key, whole)
+        on = [F.col(c).eqNullSafe(F.col(f"{key}{c}")) for c in (*part, key)]
+        same = on[0]
+        for o in on[1:]:
+            same &= o
+        out = out.join(above, same).withColumns({n: (F.col(n) + F.col(f"{key}{n}")).cast("long") for n in sums})
+        out = out.drop(*[c for c in above.columns if c not in totals])
+    return out.drop("coarse_", "fine_")

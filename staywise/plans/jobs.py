@@ -1,8 +1,9 @@
 """End-to-end jobs.
 
 ``train_churn``: terminations -> features -> training matrix (materialised)
--> stratified split -> boosted trees -> held-out metrics -> versioned model
-directory + model-run row.
+-> train, validation and test parts -> calibrated boosted trees -> threshold on
+the validation part, metrics on the test part -> versioned model bundle with its
+vocabularies + model-run row.
 
 ``score_daily``: active clients -> scoring matrix -> probability, score,
 level -> previous confirmed level (earlier days only) from the table of each
@@ -15,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staywise.operators import audit as AU
 from staywise.operators import features as FT
 from staywise.operators import history as H
 from staywise.operators import metrics as M
 from staywise.operators import model as MO
 from staywise.operators import rules as R
+from staywise.operators.dictionary import Dictionary
 from staywise.session import materialize
 from staywise.sources import adapters as A
 from staywise.sources import ingest as I
@@ -31,21 +34,34 @@ LABEL = "client_lost"
 
 
 def train_churn(spark: SparkSession, sf_dir: str, model_root: str, version: str,
-                params: dict | None = None) -> dict:
+                params: dict | None = None, calibrated: bool = True) -> dict:
+    """Fits, calibrates and saves a bundle.  Its categories keep the codes of the
+    dictionary beside the models, whatever was seen since.  The threshold is
+    chosen on a validation part, the metrics are those of the test part (T7);
+    features that give the label away are warned of (T6); the rows before and
+    after the notice-date filter are noted (T18)."""
     t = A.terminations(spark, sf_dir)
-    tm = materialize(FT.training_matrix(FT.training_data(t)).withColumn(LABEL, F.col(LABEL).cast("int")))
+    data = FT.training_data(t)
+    codes = Dictionary(spark, f"{model_root.rstrip('/')}/_dictionary")
+    codes.extend(data, {c: v for c, v in FT.MATRIX_VOCABULARIES.items() if c in data.columns})
+    tm = materialize(FT.training_matrix(data, codes.table()).withColumn(LABEL, F.col(LABEL).cast("int")))
     guard = MO.fit_guard(tm, LABEL)
-    s = M.stratified_split(tm, 0.8, LABEL, "id", 42)
-    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
-    model = MO.fit_boosted(train, FT.TRAINING_MATRIX_12, LABEL, params)
-    scored = MO.positive_probability(model.transform(test.withColumn(LABEL, F.col(LABEL).cast("double"))))
-    scored = scored.select("id", "p", F.col(LABEL).cast("int").alias("y"))
-    metrics = M._one_row_join(M.metrics_from_confusion(M.confusion(scored, 0.5)), M.auc(scored)).first().asDict()
-    meta = {"version": version, "features": list(FT.TRAINING_MATRIX_12), "threshold": 0.5,
-            "metrics": metrics, "train_rows": guard["rows"], "warnings": guard["warnings"],
+    s = materialize(AU.three_way_split(tm, y=LABEL))
+    train = s.filter(F.col("split") == "train").drop("split")
+    model = MO.calibrate(train, FT.TRAINING_MATRIX_12, LABEL, 5, params) if calibrated else MO.fit_boosted(train, FT.TRAINING_MATRIX_12, LABEL, params)
+    held = s.filter(F.col("split") != "train").withColumn(LABEL, F.col(LABEL).cast("double"))
+    scored = materialize(MO.score(held, model, ["id", "split", LABEL], "p").select("id", "split", "p", F.col(LABEL).cast("int").alias("y")))
+    best = M.best_threshold_grid(M.threshold_sweep(scored.filter("split = 'validation'"))).first()["threshold"]
+    test = scored.filter("split = 'test'")
+    metrics = M._one_row_join(M.metrics_from_confusion(M.confusion(test, best)), M.auc(test)).first().asDict()
+    leaks = [r["feature"] for r in AU.leaks(tm, FT.TRAINING_MATRIX_12, LABEL).collect()]  # at most the features
+    meta = {"version": version, "features": list(FT.TRAINING_MATRIX_12), "threshold": best, "calibrated": calibrated,
+            "metrics": metrics, "train_rows": guard["rows"], "input_rows": t.count(),
+            "warnings": [*guard["warnings"], *[f"{f} gives the label away" for f in leaks]],
             "params": {**MO.DEFAULT_PARAMS, **(params or {})}}
-    MO.save(model, meta, model_root, version)
-    imp = MO.feature_importances(spark, model, FT.TRAINING_MATRIX_12)
+    MO.save(model, meta, model_root, version, {c: codes.vocabulary(c) for c in FT.MATRIX_VOCABULARIES})
+    first = model.members[0][0] if calibrated else model
+    imp = MO.feature_importances(spark, first, FT.TRAINING_MATRIX_12)
     RP.append_model_run(RP.model_run_row(spark, "churn_gbt", version, metrics, imp, meta["params"]),
                         f"{model_root.rstrip('/')}/_runs")
     return meta

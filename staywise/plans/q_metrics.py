@@ -83,6 +83,20 @@ def auc_roc(spark, sf):
     return M.auc(A.scored(spark, sf))
 
 
+@query("auc_from_summaries", _metric_views(AUC_SQL))
+def auc_from_summaries(spark, sf):
+    """D13 from stored daily counts: every scored row summarised on its day (a
+    third of the days twice), the AUC over all days from the summaries."""
+    from staywise.operators.summaries import ScoreSummaries
+    from staywise.plans.q_io import _store_folder
+    days = A.predictions(spark, sf).select("id", F.to_date("prediction_date").alias("day"))
+    rows = A.scored(spark, sf).join(days, "id")
+    s = ScoreSummaries(spark, _store_folder(spark, "summaries"))
+    for k in (0, 1, 2, 1):
+        s.add(rows.where(F.pmod(F.dayofyear("day"), F.lit(3)) == k))
+    return s.auc()
+
+
 @query("binary_metrics", _metric_views(f"""
 SELECT tn, fp, fn, tp, false_positive_rate, accuracy, precision, recall,
        {_f(1.0, 'precision', 'recall')} AS f1, {_f(0.25, 'precision', 'recall')} AS f05, a.auc_roc

@@ -33,10 +33,26 @@ def split(df, label):
     return s.filter(F.col("split") == "train").drop("split"), s.filter(F.col("split") == "test").drop("split")
 
 
+#: Tables that the models are fitted on, and models kept.
+_TABLES, _KEPT = ("customer", "lineitem", "nation", "orders", "supplier"), 8
+
+
+def _fingerprint(spark, sf) -> str:
+    """Names, sizes and times of the files that the models are fitted on."""
+    files = None
+    for t in _TABLES:
+        part = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf.rstrip('/')}/{t}.parquet").select("path", "length", "modificationTime")
+        files = part if files is None else files.unionByName(part)
+    return str(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
+
 def _fitted(spark, sf, name, fit):
-    """The model object of a fit on this data, kept for the session's other queries."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """The model object of a fit on this data, kept for the session's other
+    queries; data written anew are fitted anew."""
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf), name)
     if key not in _FITTED:
+        while len(_FITTED) >= _KEPT:
+            _FITTED.pop(next(iter(_FITTED)))
         _FITTED[key] = fit()
     return _FITTED[key]
 

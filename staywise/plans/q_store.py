@@ -92,3 +92,17 @@ def latest_days_table(spark, sf):
             table.refresh()
     latest = table.latest().select("client_id", "prediction_day", "id", "risk_level")
     return table.previous_level(latest, AT).select("client_id", "prediction_day", "id", "risk_level", "previous_day", "previous_level")
+
+
+@query("stable_codes", with_views("""
+SELECT v AS value, row_number() OVER (ORDER BY later, v) - 1 AS code FROM (
+  SELECT DISTINCT coalesce(geo_location, 'Unknown') AS v, CASE WHEN geo_location > 'J' THEN 0 ELSE 1 END AS later FROM terminations)""", "terminations"))
+def stable_codes(spark, sf):
+    """The codes of the locations after two fits, the second of which
+    sees values that sort before the first one's."""
+    from staywise.operators.dictionary import Dictionary
+    t = A.terminations(spark, sf)
+    d = Dictionary(spark, _store_folder(spark, "dictionary"))
+    for rows in (t.where("geo_location > 'J'"), t, t):
+        d.extend(rows, {"geo_location": "Unknown"})
+    return d.vocabulary("geo_location")
