@@ -33,6 +33,8 @@ END = "</w>"
 #: Distinct words whose whole map is kept in a worker; beyond it the memory starts afresh.
 MEMO_WORDS = 400_000
 MEMO_BYTES = 64
+#: Compiled states that a worker holds; beyond it they are compiled anew.
+MOST_STATES = 200_000
 SPACE = b" \t\n\r\v\f"
 #: Bytes of a chunk.
 CHUNK = 1 << 16
@@ -50,12 +52,17 @@ class Transducer:
     """The compiled merge rules.  ``step[s][c]`` is (next state, count change)
     for a symbol inside a word, ``last[s][c]`` the change for a final symbol."""
 
-    def __init__(self, merges: list[tuple[str, str]]):
+    def __init__(self, merges: list[tuple[str, str]], most_states: int = MOST_STATES):
+        self.most_states = most_states
         self.rank = {pair: k for k, pair in enumerate(merges)}
         self.made = {a + b: (k, a, b) for k, (a, b) in enumerate(merges)}
         self.prefixes = {t[:k] for t in self.made for k in range(1, len(t.removesuffix(END)))}
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """No states but the start: the others are compiled again as texts need them."""
         self.number: dict[State, int] = {}
         self.states: list[State] = []
         self.step: list[dict[str, tuple[int, int]]] = []
@@ -121,7 +128,11 @@ class Transducer:
     def forward(self, s: int, c: str) -> tuple[int, int]:
         t, change = self._token(s, c)
         grown = tuple((text + c, before, at - change) for text, before, at in self.states[s] if text + c in self.prefixes)
-        to = self._state((*grown, ("", t, 0)))
+        after = (*grown, ("", t, 0))
+        if after not in self.number and len(self.states) >= self.most_states:
+            self._forget()
+            return self._state(after), change
+        to = self._state(after)
         self.step[s][c] = to, change
         return to, change
 
@@ -143,7 +154,7 @@ Map = tuple[bytes, int | None, bytes]
 
 
 class Counter:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_states: int = MOST_STATES):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -151,7 +162,7 @@ class Counter:
         model = spec["model"]
         if model["type"] != "BPE" or model["end_of_word_suffix"] != END:
             raise ValueError("only merge rules with word ends can be compiled")
-        self.machine = Transducer([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        self.machine = Transducer([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], most_states)
         full = Tokenizer.from_file(path)
         self.normal, self.split = full.normalizer, full.pre_tokenizer
         specials = [re.escape(t["content"]) for t in spec["added_tokens"]]

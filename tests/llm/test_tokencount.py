@@ -49,3 +49,17 @@ def test_edge_rows(spark):
     got = tokencount.token_counts(clashing(docs_frame(spark, rows)), PATH).collect()
     assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(d, len(tok.encode(t or "", add_special_tokens=False).ids)) for d, t in rows]
     assert tokencount.token_counts(docs_frame(spark, []), PATH).collect() == []
+
+
+def test_states_are_bounded():
+    """Far more words than states: the machine forgets, also inside a word, and counts on."""
+    tok, c = Tokenizer.from_file(PATH), tokencount.Counter(PATH, most_states=300)
+    free = tokencount.Counter(PATH)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 25))) for _ in range(4000)] + ["".join(rng.choice("etaoin") for _ in range(5000))]
+    for w in words:
+        c.memo.clear()
+        assert c.count(w.encode()) == free.count(w.encode())
+        assert len(c.machine.states) == len(c.machine.number) == len(c.machine.step) == len(c.machine.last) <= 300
+    assert len(free.machine.states) > 3000
+    assert [free.count(w.encode()) for w in words[::50]] == [len(tok.encode(w, add_special_tokens=False).ids) for w in words[::50]]
