@@ -145,6 +145,20 @@ def dashboard_cards(latest: DataFrame) -> DataFrame:
                                              F.when(F.col("total") != 0, F.col("total"))), 6))
 
 
+def dashboard_overview(clients: DataFrame, members: DataFrame) -> DataFrame:
+    """D18, the whole card set in one row: clients per level with each level's
+    share of all in percent, and the members' card (all, high and critical).
+    Each side is one aggregation of its latest rows."""
+    lv = F.col("risk_level")
+    levels = ("critical", "high", "medium", "low")
+    total = F.when(F.col("clients") != 0, F.col("clients"))
+    c = clients.agg(F.count(F.lit(1)).alias("clients"), *[F.count_if(lv == x).alias(f"{x}_clients") for x in levels])
+    c = c.withColumns({f"{x}_percent": F.round(safe_ratio(F.col(f"{x}_clients") * 100.0, total), 4) for x in levels})
+    m = members.agg(F.count(F.lit(1)).alias("members"), F.count_if(lv.isin("high", "critical")).alias("members_at_risk"))
+    both = c.unionByName(m, allowMissingColumns=True)
+    return both.agg(*[F.max(x).alias(x) for x in both.columns])
+
+
 def search(df: DataFrame, term: str, level: str = "all", fields=("client_name", "industry_type")) -> DataFrame:
     """Case-insensitive substring on any of ``fields`` (no wildcard
     meaning), and the level unless 'all'."""

@@ -11,7 +11,10 @@ from staywise.plans.oracle_views import level_sql, with_views
 from staywise.plans.q_features import FORM_FEATURES_SQL
 from staywise.plans.q_io import FORM_EXPORT, _store_folder
 from staywise.plans.registry import query
+from staywise.operators import summary as S
 from staywise.sources import adapters as A
+from staywise.sources import ingest as I
+from staywise.sources import store as ST
 from staywise.sources.imports import TerminationTable
 from staywise.sources.latest import LatestTable
 from staywise.sources.store import DailyStore, export_all
@@ -106,3 +109,50 @@ def stable_codes(spark, sf):
     for rows in (t.where("geo_location > 'J'"), t, t):
         d.extend(rows, {"geo_location": "Unknown"})
     return d.vocabulary("geo_location")
+
+
+@query("dashboard_overview", with_views("""
+SELECT clients, critical_clients, high_clients, medium_clients, low_clients,
+       round(critical_clients * 100.0::DOUBLE / clients, 4) AS critical_percent, round(high_clients * 100.0::DOUBLE / clients, 4) AS high_percent,
+       round(medium_clients * 100.0::DOUBLE / clients, 4) AS medium_percent, round(low_clients * 100.0::DOUBLE / clients, 4) AS low_percent,
+       members, members_at_risk
+FROM (SELECT count(*) AS clients, count(*) FILTER (WHERE risk_level = 'critical') AS critical_clients, count(*) FILTER (WHERE risk_level = 'high') AS high_clients,
+             count(*) FILTER (WHERE risk_level = 'medium') AS medium_clients, count(*) FILTER (WHERE risk_level = 'low') AS low_clients FROM latest_cp),
+     (SELECT count(*) AS members, count(*) FILTER (WHERE risk_level IN ('high', 'critical')) AS members_at_risk FROM lm)""",
+                                    "latest_cp", "predictions", "team_members", extra={"lm": f"""
+  SELECT {level_sql('s.churn_probability')} AS risk_level
+  FROM (SELECT p.*, row_number() OVER (PARTITION BY client_id ORDER BY prediction_date DESC, id DESC) AS rn FROM predictions p) s
+  JOIN team_members m ON m.id = s.client_id WHERE s.rn = 1 AND m.status = 'Active'"""}))
+def dashboard_overview(spark, sf):
+    """The clients' levels with their shares, and the members' card."""
+    from staywise.plans.q_history import latest_cp
+    from staywise.plans.q_round2 import _latest_members
+    return S.dashboard_overview(latest_cp(spark, sf), _latest_members(spark, sf))
+
+
+@query("training_files", with_views("""
+SELECT 'client' AS kind, id, status, CAST(start_date AS TIMESTAMP) AS start_date, CAST(updated_at AS TIMESTAMP) AS updated_at, CAST(is_active AS VARCHAR) AS flag FROM clients
+UNION ALL SELECT 'member', id, status, CAST(start_date AS TIMESTAMP), CAST(updated_at AS TIMESTAMP), CAST(client_id AS VARCHAR) FROM team_members""", "clients", "team_members"))
+def training_files(spark, sf):
+    """A5: all clients and members written as the two training files and loaded back with their types."""
+    folder = _store_folder(spark, "training")
+    for name, df in (("clients", A.clients(spark, sf)), ("team_members", A.team_members(spark, sf))):
+        df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).write.option("header", True).csv(f"{folder}/{name}.csv")
+    clients, members = I.load_training_files(spark, folder)
+    cols = ["id", "status", "start_date", "updated_at"]
+    return clients.select(F.lit("client").alias("kind"), *cols, F.col("is_active").cast("string").alias("flag")).unionByName(
+        members.select(F.lit("member").alias("kind"), *cols, F.col("client_id").cast("string").alias("flag")))
+
+
+@query("prediction_files", with_views("""
+SELECT client_id, round(churn_probability, 9) AS churn_probability, risk_level FROM latest_cp""", "latest_cp"))
+def prediction_files(spark, sf):
+    """Each client's latest prediction exported as sorted files of two
+    instants, the older one later and with other values; the newest read back."""
+    from staywise.plans.q_history import latest_cp
+    folder = _store_folder(spark, "exports")
+    rows = latest_cp(spark, sf).select("client_id", "churn_probability", "risk_level")
+    ST.export_predictions(rows, folder, "2024-01-31 06:00:00")
+    ST.export_predictions(rows.withColumn("churn_probability", F.lit(0.0)), folder, "2024-01-30 06:00:00")
+    back = ST.latest_predictions(spark, folder)
+    return back.select(F.col("client_id").cast("long").alias("client_id"), F.round(F.col("churn_probability").cast("double"), 9).alias("churn_probability"), "risk_level")

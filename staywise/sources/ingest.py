@@ -104,6 +104,31 @@ def read_csv_strings(spark: SparkSession, path: str, multi_line: bool = False) -
             .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
+#: Columns of the client and member files that training reads, with their types.
+CLIENT_FILE = {"id": "bigint", "name": "string", "industry_type": "string", "client_location": "string", "start_date": "timestamp_ntz",
+               "created_at": "timestamp_ntz", "updated_at": "timestamp_ntz", "health": "string", "status": "string", "is_active": "boolean",
+               "attrition_date": "timestamp_ntz"}
+MEMBER_FILE = {"id": "bigint", "first_name": "string", "last_name": "string", "role": "string", "status": "string",
+               "start_date": "timestamp_ntz", "created_at": "timestamp_ntz", "updated_at": "timestamp_ntz", "client_id": "bigint"}
+
+
+def read_typed_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
+    """A5: a file with a header row as typed columns: read as text, matched by
+    trimmed header, cast without failing (text that is no such value is null).
+    Columns that the file lacks are null, others are left out; a missing file
+    is an error, not a sample."""
+    raw = read_csv_strings(spark, path)
+    have = {_norm(c): c for c in raw.columns}
+    return raw.select(*[(F.trim(F.col(f"`{have[c]}`")).try_cast(t) if t != "string" else F.col(f"`{have[c]}`")).alias(c)
+                        if c in have else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
+
+
+def load_training_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """A5: (clients, members) of the two files that the training script takes."""
+    base = folder.rstrip("/")
+    return read_typed_csv(spark, f"{base}/clients.csv", CLIENT_FILE), read_typed_csv(spark, f"{base}/team_members.csv", MEMBER_FILE)
+
+
 def normalise_headers(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     """A1/A2: rename through ``mapping`` (matched on normalised headers); two
     source headers for one target are merged with ``coalesce`` instead of

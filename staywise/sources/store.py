@@ -123,6 +123,24 @@ def write_predictions_csv(preds: DataFrame, path: str, order_col: str = "churn_p
     preds.orderBy(F.col(order_col).desc()).write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_predictions(preds: DataFrame, folder: str, as_of: str, order_col: str = "churn_probability") -> str:
+    """``predictions_<stamp>.csv`` of one instant below ``folder``, sorted;
+    an export of the same instant replaces its own.  Returns the path; the newest
+    of all is ``latest_predictions``."""
+    stamp = "".join(c if c.isdigit() else "_" if c in " T" else "" for c in as_of[:19])
+    path = f"{folder.rstrip('/')}/predictions_{stamp}.csv"
+    write_predictions_csv(preds, path, order_col)
+    return path
+
+
+def latest_predictions(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The export of the latest instant, as text; none if there is none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder).select("path")
+    name = F.regexp_extract("path", r"/predictions_([0-9]{8}(?:_[0-9]{1,6})?)\.csv/", 1)
+    r = files.where(name != "").agg(F.max(name)).first()[0]
+    return None if r is None else spark.read.option("header", True).csv(f"{folder.rstrip('/')}/predictions_{r}.csv")
+
+
 def run_log(preds: DataFrame, model_name: str, model_version: str, start: str, end: str,
             error: str | None = None) -> DataFrame:
     """One run row from one aggregation of the scored batch."""

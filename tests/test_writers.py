@@ -109,3 +109,30 @@ def test_run_log_and_model_run(spark, tmp_path):
                           imp, spark.createDataFrame([("low", 1)], "risk_level string, n long"),
                           str(tmp_path / "expl"), {"model": "churn"})
     assert spark.read.text(str(tmp_path / "expl" / "per_entity_json")).count() == 1
+
+
+def test_prediction_files_by_instant(spark, tmp_path):
+    p = spark.createDataFrame([(1, 0.2), (2, 0.9), (3, 0.5)], "client_id long, churn_probability double")
+    folder = str(tmp_path / "exports")
+    path = ST.export_predictions(p, folder, "2024-02-01 06:00:00")
+    assert path.endswith("/predictions_20240201_060000.csv")
+    ST.export_predictions(p.limit(1), folder, "2024-01-31T23:59:59")
+    ST.export_predictions(p, folder, "2024-02-01 06:00:00")  # again
+    assert [r["client_id"] for r in ST.latest_predictions(spark, folder).collect()] == ["2", "3", "1"]
+    (tmp_path / "none").mkdir()
+    assert ST.latest_predictions(spark, str(tmp_path / "none")) is None
+
+
+def test_training_files_are_typed(spark, tmp_path):
+    from staywise.sources import ingest as I
+    (tmp_path / "clients.csv").write_text("id, name ,is_active,start_date,extra\n1,Acme,true,2024-01-02 03:04:05,x\nx,Beta,maybe,soon,\n")
+    (tmp_path / "team_members.csv").write_text("id,role,client_id\n7,manager,\n")
+    clients, members = I.load_training_files(spark, str(tmp_path))
+    assert dict(clients.dtypes) == I.CLIENT_FILE and dict(members.dtypes) == I.MEMBER_FILE
+    a, b = clients.collect()
+    assert (a["id"], a["name"], a["is_active"], str(a["start_date"])) == (1, "Acme", True, "2024-01-02 03:04:05")
+    assert (b["id"], b["name"], b["is_active"], b["start_date"]) == (None, "Beta", None, None)
+    assert members.first()["client_id"] is None and members.first()["status"] is None
+    import pytest
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        I.load_training_files(spark, str(tmp_path / "nowhere"))
