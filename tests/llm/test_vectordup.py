@@ -91,3 +91,28 @@ def test_estimates_are_unbiased_and_bounded():
     spread = vectordup.SIGMAS * (np.sqrt((1 - f * f) / (bits - 1)) + r["step"][j] / 2) / f
     assert (up >= true).all()
     assert abs((up - spread - true).mean()) < 0.02
+
+
+def test_recall_of_planted_links_with_six_signs(spark):
+    """24,000 vectors (six signs a table) with planted partners at cosines 0.88
+    to 0.99: nothing below the threshold links, and the links at it are found."""
+    assert vectordup.plan(24_000, 0.9, 0.99)[0] == 6
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(24_000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = rng.uniform(0.88, 0.99, 6000)
+    side = rng.normal(size=(6000, 48))
+    side -= (side * x[:6000]).sum(axis=1, keepdims=True) * x[:6000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[12_000:18_000] = cosine[:, None] * x[:6000] + np.sqrt(1 - cosine**2)[:, None] * side
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {r["vec_id"]: r for r in vectordup.near_duplicates(df, threshold=0.9).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.zeros(24_000, int)
+    for at in range(0, 24_000, 2000):
+        links[at:at + 2000] = (unit[at:at + 2000] @ unit.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[i]["n_links"] for i in range(24_000)])
+    assert links.sum() > 9000 and (found <= links).all()
+    assert found.sum() >= 0.99 * links.sum()
+    close = (cosine >= 0.9) & (cosine < 0.92)
+    assert found[:6000][close].sum() >= 0.98 * links[:6000][close].sum()
