@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from staywise.functions.values import full_name
 from staywise.operators import features as FT
 from staywise.operators import history as H
 from staywise.plans.oracle_views import level_sql, with_views
 from staywise.plans.q_features import FORM_FEATURES_SQL
+from staywise.plans.q_history import latest_cp
 from staywise.plans.q_io import FORM_EXPORT, _store_folder
+from staywise.plans.q_round2 import _MEMBER_LATEST, _latest_members
 from staywise.plans.registry import query
 from staywise.operators import summary as S
 from staywise.sources import adapters as A
@@ -17,6 +20,7 @@ from staywise.sources import ingest as I
 from staywise.sources import store as ST
 from staywise.sources.imports import TerminationTable
 from staywise.sources.latest import LatestTable
+from staywise.sources.search_index import SearchIndex
 from staywise.sources.store import DailyStore, export_all
 
 #: Form headers of the columns that the feature step reads beyond ``FORM_EXPORT``.
@@ -156,3 +160,47 @@ def prediction_files(spark, sf):
     ST.export_predictions(rows.withColumn("churn_probability", F.lit(0.0)), folder, "2024-01-30 06:00:00")
     back = ST.latest_predictions(spark, folder)
     return back.select(F.col("client_id").cast("long").alias("client_id"), F.round(F.col("churn_probability").cast("double"), 9).alias("churn_probability"), "risk_level")
+
+
+#: Terms of every kind: found, in digits, in both fields, in too many names, too short, nowhere.
+SEARCH_TERMS = (("bUiLd", "medium"), ("00000012", "all"), ("URN", "all"), ("mer#000", "high"), ("9", "critical"), ("zzzq", "all"))
+
+
+def _search_sql(source: str, columns: str, fields, terms) -> str:
+    def one(term, level):
+        hit = " OR ".join(f"contains(lower({f}), '{term.lower()}')" for f in fields)
+        return f"SELECT '{term}' AS term, {columns} FROM {source} WHERE ({hit})" + ("" if level == "all" else f" AND risk_level = '{level}'")
+    return " UNION ALL ".join(one(*t) for t in terms)
+
+
+def _all_terms(index, rows, terms, *columns):
+    out = None
+    for term, level in terms:
+        d = index.search(rows, term, level).select(F.lit(term).alias("term"), *columns)
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+@query("search_clients_index", with_views(_search_sql(
+    "latest_cp", "client_id, client_name, industry_type, risk_level", ("client_name", "industry_type"), SEARCH_TERMS), "latest_cp"))
+def search_clients_index(spark, sf):
+    """B7 by postings: names and industries indexed in two refreshes, then every term."""
+    rows = latest_cp(spark, sf)
+    index = SearchIndex(spark, _store_folder(spark, "search"))
+    index.refresh(rows.where("client_id % 2 = 0"))
+    index.refresh(rows)
+    return _all_terms(index, rows, SEARCH_TERMS, "client_id", "client_name", "industry_type", "risk_level")
+
+
+MEMBER_TERMS = (("FIRST1", "all"), ("st1 l", "low"), ("00000012", "all"), ("1", "critical"), ("nobody", "all"))
+
+
+@query("search_members_index", with_views(_search_sql(
+    f"({_MEMBER_LATEST}) m", "team_member_id, member_name, client_name", ("member_name", "client_name"), MEMBER_TERMS),
+    "predictions", "team_members", "clients"))
+def search_members_index(spark, sf):
+    """B8 by postings: the member's or the client's name holds the term."""
+    rows = _latest_members(spark, sf).withColumn("member_name", full_name("first_name", "last_name"))
+    index = SearchIndex(spark, _store_folder(spark, "search-members"), "team_member_id", ("member_name", "client_name"))
+    index.refresh(rows)
+    return _all_terms(index, rows, MEMBER_TERMS, "team_member_id", "member_name", "client_name")
