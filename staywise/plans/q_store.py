@@ -20,6 +20,7 @@ from staywise.sources import ingest as I
 from staywise.sources import store as ST
 from staywise.sources.imports import TerminationTable
 from staywise.sources.latest import LatestTable
+from staywise.sources.membership import FeatureTable
 from staywise.sources.search_index import SearchIndex
 from staywise.sources.store import DailyStore, export_all
 
@@ -204,3 +205,24 @@ def search_members_index(spark, sf):
     index = SearchIndex(spark, _store_folder(spark, "search-members"), "team_member_id", ("member_name", "client_name"))
     index.refresh(rows)
     return _all_terms(index, rows, MEMBER_TERMS, "team_member_id", "member_name", "client_name")
+
+
+def _appended(k: int, now: str, before: str) -> str:
+    return (f"SELECT CAST({k} AS BIGINT) AS append, count(*) AS n_rows, count(*) FILTER (WHERE {before}) AS n_stored, "
+            f"count(*) FILTER (WHERE NOT ({before})) AS n_written FROM terminations WHERE {now}")
+
+
+@query("feature_appends", with_views(" UNION ALL ".join([
+    _appended(0, "id % 2 = 0", "false"), _appended(1, "id % 3 = 0", "id % 2 = 0"), _appended(2, "true", "id % 2 = 0 OR id % 3 = 0"),
+    _appended(3, "true", "true")]), "terminations"))
+def feature_appends(spark, sf):
+    """C2/L2 by month filters: features of all rows in four overlapping appends;
+    how many of each were stored already and how many were written."""
+    t = A.terminations(spark, sf)
+    table = FeatureTable(spark, _store_folder(spark, "months"))
+    month = F.coalesce(F.date_format(F.col("notice_date"), "yyyy-MM"), F.lit("none"))
+    done = []
+    for k, some in enumerate(("id % 2 = 0", "id % 3 = 0", "true", "true")):
+        n = table.append(FT.form_features(t.where(some), {"notice_month": month}))
+        done.append((k, n["rows"], n["stored"], n["written"]))
+    return spark.createDataFrame(done, "append long, n_rows long, n_stored long, n_written long")

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from staywise.functions.dates import ntz_micros
 from staywise.operators import features as FT
 from staywise.operators import history as H
-from staywise.sources.tables import read_if_exists
+from staywise.sources.membership import FeatureTable
 
 CONFIRM_OUT = ("client_id long, prediction_day date, risk_level string, confirmed_level string, late boolean")
 CONFIRM_STATE = "last_day date, last_level string"
@@ -68,30 +68,19 @@ def stream_features(terms_stream: DataFrame, feature_path: str, checkpoint: str)
     """L2: J1 features for new termination rows, appended idempotently.
 
     The feature table is partitioned by notice month (``none`` where there is
-    no notice date).  A micro-batch reads the stored ids of its own months only
-    (a filter on the partition column; the months of a batch are a handful) and
-    drops the rows that are there already, so a replayed batch writes nothing
-    (C2 semantics: compute only what is missing)."""
+    no notice date).  The filters of a micro-batch's months (a handful) say which
+    of its ids may be there already; stored ids are read only for these, so a
+    replayed batch writes nothing (C2 semantics: compute only what is missing)."""
     def write(batch: DataFrame, batch_id: int):
         month = F.coalesce(F.date_format(F.col("notice_date"), "yyyy-MM"), F.lit(NO_MONTH))
-        feats = FT.form_features(batch, {"notice_month": month}).dropDuplicates(["termination_id"])
-        months = [r[0] for r in batch.select(month.alias("m")).distinct().collect()]
-        stored = stored_ids(batch.sparkSession, feature_path, months)
-        if stored is not None:
-            feats = feats.join(stored, ["notice_month", "termination_id"], "left_anti")
-        feats.write.mode("append").partitionBy("notice_month").parquet(feature_path)
+        FeatureTable(batch.sparkSession, feature_path).append(FT.form_features(batch, {"notice_month": month}))
     return (terms_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def stored_ids(spark: SparkSession, feature_path: str, months: list[str]) -> DataFrame | None:
     """(notice_month, termination_id) of the stored rows of these months."""
-    stored = read_if_exists(spark, feature_path)
-    if stored is None:
-        return None
-    # a table of one unnamed month would be read with another type
-    stored = stored.withColumn("notice_month", F.col("notice_month").cast("string"))
-    return stored.filter(F.col("notice_month").isin(months)).select("notice_month", "termination_id")
+    return FeatureTable(spark, feature_path).ids(months)
 
 
 def stream_feedback_days(fb_stream: DataFrame, day_path: str, checkpoint: str, delay: str = "1 day"):
