@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from staywise.llm.common import count_rows, cut, i64, pick, prepare
+from staywise.llm.common import cut, i64, pick, prepare
+from staywise.operators.ordering import position
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
 #: Bits by which a round narrows the interval.
@@ -34,13 +35,26 @@ def usable(column: str):
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): floor(scale * x) of each component, usable rows with an id only.
-    Of rows that share an id the least vector stays."""
+    """(id, v): floor(scale * x) of each component, usable rows with an id only."""
     d = pick(vectors, id=id_col, v=vector_col).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     d = d.where(F.col("id").isNotNull() & usable("v"))
-    d = d.select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
-    n, ids = d.agg(F.count("id"), F.count_distinct("id")).first()
-    return d if n == ids else d.groupBy("id").agg(F.min("v").alias("v"))
+    return d.select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+
+
+def _numbered(c: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Where rows share an id, the distinct ones go by their position in the
+    order of id and vector instead, which ranks ties as ids do; a query that is
+    not among the candidates goes by a negative number.  Then the table (key_,
+    name_) of both, else None."""
+    if all(n == ids for n, ids in (d.agg(F.count("id"), F.count_distinct("id")).first() for d in (c, q))):
+        return c, q, None
+    c, q, order = c.distinct(), q.distinct(), [F.col("id"), F.col("v")]
+    c = cut(position(c, order, "key_"))
+    known = c.select(F.col("id").alias("i_"), F.col("v").alias("x_"), "key_")
+    q = position(q, order, "at_").join(known, (F.col("id") == F.col("i_")) & (F.col("v") == F.col("x_")), "left")
+    q = cut(q.select("id", "v", F.coalesce("key_", -1 - F.col("at_")).alias("key_")))
+    names = c.select("key_", F.col("id").alias("name_")).unionByName(q.where("key_ < 0").select("key_", F.col("id").alias("name_")))
+    return (*(d.select(F.col("key_").alias("id"), "v") for d in (c, q)), names)
 
 
 def matrix(t: pa.Table) -> np.ndarray:
@@ -106,13 +120,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     Vectors that are null, hold a null or a non-finite component, or have no id
     take no part; only vectors of one length are scored with each other.  Rows
-    that share an id count once.  Scores past 62 bits are clipped there.  Empty
-    tables give an empty result."""
+    equal in id and vector are one row; different vectors under one id are rows
+    of their own, each with its ranks as a query.  Where no id repeats, a
+    query's own row is the one with its id.  Scores past 62 bits are
+    clipped there.  Empty tables give an empty result."""
     spark = vectors.sparkSession
     prepare(spark)
-    c = integer_vectors(vectors, scale, **cols).withColumn("dim", F.size("v"))
-    q = integer_vectors(queries, scale, **cols).withColumn("dim", F.size("v"))
-    c, q = cut(c), cut(q)
+    c, q, names = _numbered(integer_vectors(vectors, scale, **cols), integer_vectors(queries, scale, **cols))
+    c, q = cut(c.withColumn("dim", F.size("v"))), cut(q.withColumn("dim", F.size("v")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     n, longest = c.agg(F.count(F.lit(1)), F.coalesce(F.max(norm), F.lit(0.0))).first()
     m, widest = q.agg(F.count(F.lit(1)), F.coalesce(F.max(norm), F.lit(0.0))).first()
@@ -161,4 +176,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     found = over(state, keep, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if names is not None:
+        for c_ in ("query_id", "vec_id"):
+            found = found.join(names, F.col(c_) == F.col("key_")).drop("key_", c_).withColumnRenamed("name_", c_)
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from staywise.llm import queries, topk
-from tests.llm.helpers import SF
+from tests.llm.helpers import SF, clashing
 
 SCHEMA = "vec_id long, embedding array<double>, label int"
 
@@ -50,3 +50,21 @@ def test_edges_and_ties(spark, monkeypatch, big):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert topk.top_k(df, df).collect() == []
+
+
+def test_different_vectors_under_one_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 12)), rng.integers(-2, 3, 3).astype(float).tolist()) for _ in range(90)]
+    rows += [(7, [1.0, 0.0, float(k)]) for k in range(40)] + rows[:5] + [(3, None), (None, [1.0] * 3)]  # a hot id, repeats
+    other = [(900, [1.0, 1.0, 1.0]), (7, [9.0, 9.0, 9.0])]  # queries that are no candidates
+    df = clashing(spark.createDataFrame([(i, e, 1) for i, e in rows], SCHEMA))
+    q = df.where("vec_id % 3 = 1").select("vec_id", "embedding").unionByName(spark.createDataFrame(other, "vec_id long, embedding array<double>"))
+    got = sorted(tuple(r) for r in topk.top_k(df, q).collect())
+    keyed = sorted({(i, tuple(math.floor(256 * x) for x in e)) for i, e in rows if i is not None and e is not None})
+    asked = {r for r in keyed if r[0] % 3 == 1} | {(i, tuple(int(256 * x) for x in e)) for i, e in other}
+    want = []
+    for a in asked:
+        s = sorted((-sum(x * y for x, y in zip(a[1], c[1])), c) for c in keyed if c != a)
+        want += [(a[0], r + 1, c[0], -x) for r, (x, c) in enumerate(s[:5])]
+    assert got == sorted(want)
