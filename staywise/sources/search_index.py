@@ -100,7 +100,9 @@ class SearchIndex:
 
     def search(self, df: DataFrame, term: str, level: str = "all") -> DataFrame:
         plan = self.plan(term)
-        if plan is not None:
+        if plan == {}:  # no indexed text holds the term
+            df = df.where(F.col(self.key).isNull())
+        elif plan is not None:
             hits = self.candidates(plan)
             df = df.join(hits, F.col(self.key).eqNullSafe(F.col("k_")), "left_semi")
         return S.search(df, term, level, self.fields)
