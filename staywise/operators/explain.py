@@ -71,43 +71,73 @@ def _shapley_weights(L: int) -> np.ndarray:
     return np.array([math.factorial(s) * math.factorial(L - s - 1) / math.factorial(L) for s in range(L)])
 
 
-def shap_batch(X: np.ndarray, trees) -> tuple[np.ndarray, float]:
-    """Contributions (n x features) and the base value for a batch of rows."""
-    n, nf = X.shape
-    phi = np.zeros((n, nf))
-    base = 0.0
-    for w, leaves in trees:
-        for v, path in leaves:
+def _terms(v: float, w: float, zs: np.ndarray) -> np.ndarray:
+    """2^L x L: what a leaf of L features adds to each of them, by which of
+    them the row satisfies (bit j of the row number: feature j)."""
+    L = len(zs)
+    os_ = (np.arange(1 << L)[:, None] >> np.arange(L) & 1).astype(float)
+    sw, out = _shapley_weights(L), np.empty(os_.shape)
+    for a in range(L):
+        coef = np.zeros(os_.shape)
+        coef[:, 0] = 1.0
+        deg = 0
+        for b in range(L):
+            if b == a:
+                continue
+            nxt = coef * zs[b]
+            nxt[:, 1:deg + 2] += coef[:, 0:deg + 1] * os_[:, b:b + 1]
+            coef = nxt
+            deg += 1
+        out[:, a] = w * v * (os_[:, a] - zs[a]) * (coef @ sw)
+    return out
+
+
+def leaf_terms(trees) -> tuple[list, float]:
+    """Per leaf the features of its path, each with its conditions, and what
+    they get (``_terms``); the base value.  A path of d splits has at most 2^d
+    cases, so the rows only look theirs up."""
+    leaves, base = [], 0.0
+    for w, paths in trees:
+        for v, path in paths:
             feats: dict[int, list] = {}
             for f, thr, left, z in path:
-                ok = (X[:, f] <= thr) if left else (X[:, f] > thr)
-                if f in feats:
-                    feats[f][0] *= z
-                    feats[f][1] &= ok
-                else:
-                    feats[f] = [z, ok.copy()]
-            zs = np.array([feats[f][0] for f in feats])
+                at = feats.setdefault(f, [1.0, []])
+                at[0] *= z
+                at[1].append((thr, left))
+            zs = np.array([z for z, _ in feats.values()])
             base += w * v * float(np.prod(zs)) if len(zs) else w * v
-            L = len(feats)
-            if L == 0:
-                continue
-            keys = list(feats)
-            os_ = np.stack([feats[f][1].astype(float) for f in keys], axis=1)  # n x L
-            sw = _shapley_weights(L)
-            for a, fi in enumerate(keys):
-                coef = np.zeros((n, L))
-                coef[:, 0] = 1.0
-                deg = 0
-                for b in range(L):
-                    if b == a:
-                        continue
-                    nxt = coef * zs[b]
-                    nxt[:, 1:deg + 2] += coef[:, 0:deg + 1] * os_[:, b:b + 1]
-                    coef = nxt
-                    deg += 1
-                wsum = coef @ sw
-                phi[:, fi] += w * v * (os_[:, a] - zs[a]) * wsum
-    return phi, base
+            if feats:
+                leaves.append(([(f, tests) for f, (_, tests) in feats.items()], np.ascontiguousarray(_terms(v, w, zs).T)))
+    return leaves, base
+
+
+#: Rows that are explained at a time: what a leaf reads stays in the core's cache.
+CHUNK_ROWS = 4096
+
+
+def shap_batch(X: np.ndarray, trees) -> tuple[np.ndarray, float]:
+    """Contributions (n x features) and the base value for a batch of rows."""
+    leaves, base = leaf_terms(trees)
+    return _shap(X, leaves), base
+
+
+def _shap(X: np.ndarray, leaves: list) -> np.ndarray:
+    phi = np.zeros(X.shape[::-1])
+    for lo in range(0, len(X), CHUNK_ROWS):
+        x, out = np.ascontiguousarray(X[lo:lo + CHUNK_ROWS].T), phi[:, lo:lo + CHUNK_ROWS]
+        passed: dict[tuple, np.ndarray] = {}  # a split's outcome serves all leaves below it
+        for feats, terms in leaves:
+            case = np.zeros(x.shape[1], np.int64)
+            for j, (f, tests) in enumerate(feats):
+                ok = None
+                for thr, left in tests:
+                    if (f, thr, left) not in passed:
+                        passed[f, thr, left] = (x[f] <= thr) if left else (x[f] > thr)
+                    ok = passed[f, thr, left] if ok is None else ok & passed[f, thr, left]
+                case += ok.astype(np.int64) << j
+            for j, (f, _) in enumerate(feats):
+                out[f] += terms[j][case]
+    return np.ascontiguousarray(phi.T)
 
 
 def explain(spark: SparkSession, df: DataFrame, model: PipelineModel, features: Sequence[str],
@@ -117,7 +147,7 @@ def explain(spark: SparkSession, df: DataFrame, model: PipelineModel, features:
     from staywise.session import ship_package
     ship_package(spark)
     nodes = [r.asDict() for r in tree_table(spark, model).collect()]  # bounded by the model parameters
-    trees = leaf_paths(nodes, model.stages[-1].treeWeights)
+    leaves, base = leaf_terms(leaf_paths(nodes, model.stages[-1].treeWeights))
     prep = PipelineModel(stages=model.stages[:-1]).transform(df)
     fcol = model.stages[-1].getFeaturesCol()
     rows = prep.select(F.col(key).alias("key"), vector_to_array(F.col(fcol)).alias("x"),
@@ -129,7 +159,7 @@ def explain(spark: SparkSession, df: DataFrame, model: PipelineModel, features:
             if pdf.empty:
                 continue
             X = np.stack(pdf["x"].to_numpy())
-            phi, base = shap_batch(X, trees)
+            phi = _shap(X, leaves)
             k = np.repeat(pdf["key"].to_numpy(), len(names) + 1)
             feat = np.tile(np.array(names + ["__base__"], dtype=object), len(pdf))
             vals = np.column_stack([pdf[[f"v_{i}" for i in range(len(names))]].to_numpy(),
