@@ -106,8 +106,8 @@ def model_checks(spark, sf):
     """Split sizes, importances, levels and scores
     recomputed from the stored probability, members recombined, contributions
     that do not add up to the margin (tolerance 1e-6)."""
-    train, test = QM.split(QM.churn_training(spark, sf), "client_lost")
-    imp = MO.feature_importances(spark, QM.churn_model(spark, sf), FT.TRAINING_MATRIX_12)
+    train, test = QM.churn_split(spark, sf)
+    imp = MO.feature_importances(spark, QM.churn_model(spark, sf, train), FT.TRAINING_MATRIX_12)
     a = imp.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 9).alias("importance_sum"))
     sizes = [d.agg(F.count(F.lit(1)).alias(n)) for d, n in ((train, "train_rows"), (test, "test_rows"))]
     folder = _store_folder(spark, "scored")
@@ -124,7 +124,7 @@ def model_checks(spark, sf):
     e = both.agg(F.count_if(F.abs(F.col("told") - F.col("margin")) > 1e-6).alias("explained_otherwise"))
     prob = spark.read.parquet(folder).select("client_id", "churn_probability").join(margin, "client_id")
     m = prob.agg(F.count_if(F.abs(1 / (1 + F.exp(-2 * F.col("margin"))) - p) > 1e-9).alias("wrong_margins"))
-    cal = QM.calibrated_model(spark, sf)
+    cal = QM.calibrated_model(spark, sf, train)
     single = None
     for member in cal.members:
         part = MO.CalibratedModel([member]).transform(rows, out="q").select("client_id", "q")
