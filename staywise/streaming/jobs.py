@@ -38,9 +38,10 @@ def _confirm_step(prev: str | None, level: str) -> str:
 
 def _confirm_group(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     last_day, last_level = (state.get if state.exists else (None, None))
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("prediction_day", kind="stable")
+    # plain lists: a group has a few rows, and each pandas step on it costs more than all of them
+    rows = sorted((x for pdf in pdfs for x in zip(pdf["prediction_day"].tolist(), pdf["risk_level"].tolist())), key=lambda x: (x[0] is None, x[0]))
     out = []
-    for day, level in zip(rows["prediction_day"], rows["risk_level"]):
+    for day, level in rows:
         if last_day is not None and day <= last_day:
             out.append((key[0], day, level, None, True))
             continue
