@@ -1,12 +1,11 @@
 """L1 with correction of late rows: the two-strike rule over days that may come
 in any order.
 
-The state of an entity is the map of its recent days (raw and confirmed level)
-and, before them, its last settled day.  A micro-batch puts its rows into the
-map, folds again from the earliest day that changed, and emits every day whose
+The state of an entity is its recent days (raw and confirmed level) and, before
+them, its last settled day.  A micro-batch puts its rows among the days, folds again from the earliest day that changed, and emits every day whose
 confirmed level is new or different, so the table of the last emitted level of
 each day is that of the batch rule whatever the order of arrival.  Days more
-than ``horizon`` behind an entity's latest one are settled and leave the map,
+than ``horizon`` behind an entity's latest one are settled and leave them,
 which bounds the state; a row for a settled day is emitted as late and changes
 nothing.
 """
@@ -16,8 +15,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +24,7 @@ from staywise.sources.tables import read_if_exists
 from staywise.streaming.jobs import _confirm_step, files_stream
 
 OUT = "client_id long, prediction_day date, risk_level string, confirmed_level string, correction boolean, late boolean"
+COLUMNS = ("client_id", "prediction_day", "risk_level", "confirmed_level", "correction", "late")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,33 +47,37 @@ def refold(days: dict, settled: tuple | None, new: dict) -> list[tuple]:
 
 
 class Confirm(StatefulProcessor):
+    """An entity's state is one value: a step of the state store costs more than
+    the days that it carries, so a group takes one to read and one to write."""
+
     def __init__(self, horizon: int):
         self.horizon = dt.timedelta(days=horizon)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getMapState("days", "day date", "level string, confirmed string")
-        self.settled = handle.getValueState("settled", "day date, confirmed string")
+        self.state = handle.getValueState("state", "settled_day date, settled_level string, "
+                                                   "days array<date>, levels array<string>, confirmed array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        settled = self.settled.get() if self.settled.exists() else None
-        days = {k[0]: (v[0], v[1]) for k, v in self.days.iterator()}
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.state.get()
+        settled = (kept[0], kept[1]) if kept and kept[0] is not None else None
+        days = {d: (level, confirmed) for d, level, confirmed in zip(*kept[2:5])} if kept else {}
         new, out = {}, []
-        for day, level in (x for df in rows for x in zip(df["prediction_day"], df["risk_level"])):
+        for row in rows:
+            day, level = row["prediction_day"], row["risk_level"]
             if settled and day <= settled[0]:
                 out.append((key[0], day, level, None, False, True))
             else:
                 new[day] = level  # of one day's rows the last one counts
         changed = refold(days, settled, new)
         out += [(key[0], day, level, confirmed, correction, False) for day, level, confirmed, correction in changed]
-        for day, level, confirmed, _ in changed:
-            self.days.updateValue((day,), (level, confirmed))
         gone = sorted(d for d in days if d < max(days) - self.horizon)
-        for day in gone:
-            self.days.removeKey((day,))
         if gone:
-            self.settled.update((gone[-1], days[gone[-1]][1]))
-        if out:
-            yield pd.DataFrame(out, columns=["client_id", "prediction_day", "risk_level", "confirmed_level", "correction", "late"])
+            settled = (gone[-1], days[gone[-1]][1])
+        if changed or gone:
+            left = [(d, *days[d]) for d in sorted(set(days).difference(gone))]
+            self.state.update((*(settled or (None, None)), *[[x[i] for x in left] for i in range(3)]))
+        for x in out:
+            yield Row(**dict(zip(COLUMNS, x)))
 
     def close(self) -> None:
         pass
@@ -83,7 +86,7 @@ class Confirm(StatefulProcessor):
 def stream_confirm(daily_stream: DataFrame, horizon: int = 60) -> DataFrame:
     """Rows of ``OUT`` for a stream of (client_id, prediction_day, risk_level)."""
     ship_package(daily_stream.sparkSession)
-    return daily_stream.groupBy("client_id").transformWithStateInPandas(
+    return daily_stream.groupBy("client_id").transformWithState(
         statefulProcessor=Confirm(horizon), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
