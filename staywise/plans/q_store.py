@@ -37,17 +37,20 @@ MORE_HEADERS = {
 def _imported(spark, sf) -> TerminationTable:
     """Form files of every termination row (each 17th without a client name):
     the even ids, these again with a third of the others, all; features after
-    the first and the last."""
+    the first and the last.  An import reads all its files again, the ones
+    before included; a row is in one of them, so each is written once."""
     table = TerminationTable(spark, _store_folder(spark, "imports"))
     t = A.terminations(spark, sf)
     name = F.when(F.col("id") % 17 == 0, F.lit("  ")).otherwise(F.col("client_name"))
     form = t.withColumn("client_name", name).select("id", *[F.col(c).cast("string").alias(h) for c, h in (FORM_EXPORT | MORE_HEADERS).items()],
                                                     F.col("id").cast("string").alias("Score"))
-    files = _store_folder(spark, "form")
-    parts = {"0": form.where("id % 2 = 0"), "1": form.where("id % 2 = 0 OR id % 3 = 0"), "2": form}
-    for k, rows in parts.items():
-        export_all({k: rows.drop("id")}, files, "csv")
-        table.import_csv(f"{files}/{k}")
+    files, source = _store_folder(spark, "form"), _store_folder(spark, "form-rows")
+    piece = F.expr("CASE WHEN id % 2 = 0 THEN '0' WHEN id % 3 = 0 THEN '1' ELSE '2' END")
+    form.withColumn("piece", piece).write.option("compression", "zstd").parquet(source)  # joined once, not by each count and file
+    form = spark.read.parquet(source)
+    for k in ("0", "1", "2"):
+        export_all({k: form.where(F.col("piece") == k).drop("id", "piece")}, files, "csv")
+        table.import_csv(f"{files}/{{{','.join('012'[:int(k) + 1])}}}")
         if k != "1":
             table.compute_features()
     return table
@@ -71,8 +74,7 @@ FROM terminations t JOIN ff ON ff.termination_id = t.id WHERE t.id % 17 <> 0""",
 def imported_form_features(spark, sf):
     """The features of every imported row, one row each after all imports."""
     table = _imported(spark, sf)
-    ids = table.rows().select(F.col("id").alias("termination_id"), "score")
-    return table.features().join(ids, "termination_id").select("score", *FT.FORM_FEATURE_COLUMNS)
+    return table.rows_with_features(["score"]).select("score", *FT.FORM_FEATURE_COLUMNS)
 
 
 AT = "2024-01-20"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,10 @@ FEATURE_INPUTS = {
     "pip_implemented": "pip_implemented", "relief_offered": "relief_package_offered",
 }
 
+#: The codec of the table's files: digests as text are half their length under
+#: one that codes characters, and as long as before under the default.
+DIGESTS = "zstd"
+
 
 class TerminationTable:
     """Termination rows that were imported from form files, with their features.
@@ -63,25 +67,28 @@ class TerminationTable:
         ``compute_features`` is the step after it."""
         df = normalise_headers(read_csv_strings(self.spark, path, multi_line), mapping or FORM_HEADER_MAP)
         named = F.lit(True) if "client_name" not in df.columns else F.coalesce(F.trim("client_name") != "", F.lit(False))
-        cols = [(parse_boolean(c).cast("int") if c in FORM_BOOLEAN_COLUMNS else F.col(c)) if c in df.columns
-                else F.lit(None).cast("int" if c in FORM_BOOLEAN_COLUMNS else "string") for c in TERMINATION_COLUMNS]
+        # columns that the file lacks are added to the new rows only: nulls are no part of a content's text
+        cols = {c: parse_boolean(c).cast("int") if c in FORM_BOOLEAN_COLUMNS else F.col(c) for c in TERMINATION_COLUMNS if c in df.columns}
+        cols = cols or {TERMINATION_COLUMNS[0]: F.lit(None).cast("string")}
         read, wrote = Observation(), Observation()
-        df = df.select(*[c.alias(n) for c, n in zip(cols, TERMINATION_COLUMNS)], named.alias("named_"))
+        df = df.select(*[c.alias(n) for n, c in cols.items()], named.alias("named_"))
         df = df.observe(read, F.count(F.lit(1)).alias("total"), F.count_if(~F.col("named_")).alias("dropped")).where("named_").drop("named_")
-        held = F.struct(*TERMINATION_COLUMNS)
-        per = df.groupBy(F.sha2(F.to_json(held), 256).alias("content")).agg(F.count(F.lit(1)).alias("n"), F.first(held).alias("row"))
+        held = F.struct(*cols)
+        # the digest moves as its 32 bytes, its text is written again where it is stored
+        per = df.groupBy(F.unhex(F.sha2(F.to_json(held, {"ignoreNullFields": "true"}), 256)).alias("content")).agg(F.count(F.lit(1)).alias("n"), F.first(held).alias("row"))
         stored = self.rows()
         if stored is None:
             per = per.withColumn("have", F.lit(0))
         else:
-            have = stored.groupBy("content").agg(F.count(F.lit(1)).alias("have"))
+            have = stored.groupBy(F.unhex("content").alias("content")).agg(F.count(F.lit(1)).alias("have"))
             per = per.join(have, "content", "left").fillna(0, ["have"])
-        new = per.where("n > have").withColumn("copy", F.explode(F.sequence(F.col("have") + 1, F.col("n"))))
-        new = new.select(F.concat_ws("-", "content", "copy").alias("id"), "content", "row.*").observe(wrote, F.count(F.lit(1)).alias("appended"))
+        new = per.where("n > have").withColumn("content", F.lower(F.hex("content"))).withColumn("copy", F.explode(F.sequence(F.col("have") + 1, F.col("n"))))
+        every = [F.col(f"row.{c}") if c in cols else F.lit(None).cast("int" if c in FORM_BOOLEAN_COLUMNS else "string").alias(c) for c in TERMINATION_COLUMNS]
+        new = new.select(F.concat_ws("-", "content", "copy").alias("id"), "content", *every).observe(wrote, F.count(F.lit(1)).alias("appended"))
         last = self.imports().agg(F.max("sequence")).first()[0]
         sequence = 0 if last is None else last + 1
         folder = f"w={sequence:010d}-{uuid.uuid4().hex[:12]}"
-        new.write.parquet(f"{self.root}/rows/{folder}")
+        new.write.option("compression", DIGESTS).parquet(f"{self.root}/rows/{folder}")
         counts = {"total_rows": read.get["total"], "dropped_rows": read.get["dropped"], "appended_rows": wrote.get["appended"]}
         self.spark.createDataFrame([(sequence, folder, path, *counts.values())], self.schema).coalesce(1).write.mode("append").parquet(f"{self.root}/_imports")
         return counts
@@ -100,13 +107,25 @@ class TerminationTable:
             rows = self._read("rows", [r["folder"]])
             wrote = Observation()
             inputs = rows.select("id", *[F.col(c).alias(n) for n, c in FEATURE_INPUTS.items()])
-            FT.form_features(inputs).observe(wrote, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.root}/features/{r['folder']}")
+            FT.form_features(inputs).observe(wrote, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", DIGESTS).parquet(f"{self.root}/features/{r['folder']}")
             n = wrote.get["n"]
             self.spark.createDataFrame([(r["sequence"], r["folder"], n)], "sequence long, folder string, feature_rows long").coalesce(1).write.mode(
                 "append").parquet(f"{self.root}/_featured")
             total += n
         return total
 
+    def rows_with_features(self, columns: Sequence[str]) -> DataFrame | None:
+        """These ``columns`` of the rows that have features, with the features; the
+        ids are matched as the digest's bytes and the number among equals."""
+        rows, feats = self.rows(), self.features()
+        if rows is None or feats is None:
+            return None
+
+        def by_id(df: DataFrame, id_col: str) -> DataFrame:
+            return df.select(F.unhex(F.substring_index(id_col, "-", 1)).alias("digest_"), F.substring_index(id_col, "-", -1).cast("long").alias("copy_"),
+                             *[c for c in df.columns if c != id_col])
+        return by_id(feats, "termination_id").join(by_id(rows.select("id", *columns), "id"), ["digest_", "copy_"]).drop("digest_", "copy_")
+
     def features(self) -> DataFrame | None:
         """J1 features of all rows that have them."""
         return self._read("features", [r["folder"] for r in self._done().select("folder").distinct().collect()])
