@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staywise.session import materialize
+from staywise.session import checkpoint_dir, materialize
 from staywise.sources.tables import read_if_exists
 
 WORDS, PROBES = 8, 8
@@ -93,9 +93,11 @@ class MonthFilters:
             hit = hit & (F.col(w).bitwiseAND(F.col(f"m{k}")) == F.col(f"m{k}"))
         return asked.join(f, same).where(hit).select(self.part, self.key).distinct()
 
-    def add(self, ids: DataFrame) -> None:
-        """Sets the bits of (part, key) rows; parts are as few as the months of a batch."""
-        counts = {r[0]: r["n"] for r in ids.groupBy(self.part).agg(F.count(F.lit(1)).alias("n")).collect()}
+    def add(self, ids: DataFrame, counts: dict | None = None) -> None:
+        """Sets the bits of (part, key) rows; parts are as few as the months of a
+        batch.  ``counts``: the rows of each part, if the caller has counted them."""
+        if counts is None:
+            counts = {r[0]: r["n"] for r in ids.groupBy(self.part).agg(F.count(F.lit(1)).alias("n")).collect()}
         if not counts:
             return
         state, published, goal = self._state(sorted(counts)), [], []
@@ -125,6 +127,15 @@ class MonthFilters:
         self.spark.createDataFrame(published, self.schema).coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
 
 
+def _written_once(df: DataFrame) -> DataFrame:
+    """``df`` from files in the shared checkpoint folder, computed once: a checkpoint
+    computes its rows twice, once to count and once to write, and keeps them
+    whole, where a pass over the ids should read no more than these."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/staywise-batch-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class FeatureTable:
     """Rows by month, one per id, appended with ``append``: ids that are stored
     already write nothing.
@@ -153,10 +164,11 @@ class FeatureTable:
     def append(self, rows: DataFrame) -> dict:
         """Writes the rows whose ids are new; how many rows came, hit a filter,
         were stored, and were written.  Of rows that share an id one is kept."""
-        rows = materialize(rows.dropDuplicates([self.part, self.key]))
-        parts = [r[0] for r in rows.select(self.part).distinct().collect()]  # the months of a batch
+        rows = _written_once(rows.dropDuplicates([self.part, self.key]))
+        per = {r[0]: r["n"] for r in rows.groupBy(self.part).agg(F.count(F.lit(1)).alias("n")).collect()}  # the months of a batch
+        parts = list(per)
         ids = rows.select(self.part, self.key)
-        out = {"rows": rows.count(), "hits": 0, "stored": 0}
+        out = {"rows": sum(per.values()), "hits": 0, "stored": 0}
         unknown = sorted(set(parts) - self.filters.parts())
         before = self.ids(unknown) if unknown else None
         if before is not None:  # a table that was begun without filters
@@ -178,6 +190,6 @@ class FeatureTable:
                 rows = rows.alias("r").join(known.alias("k"), same, "left_anti")
         out["written"] = out["rows"] - out["stored"]
         if out["written"]:
-            self.filters.add(rows.select(self.part, self.key))  # before the rows: no stored id lacks its bits
+            self.filters.add(rows.select(self.part, self.key), None if out["stored"] else per)  # before the rows: no stored id lacks its bits
             rows.write.mode("append").option(f"parquet.bloom.filter.enabled#{self.key}", "true").partitionBy(self.part).parquet(self.path)
         return out
