@@ -48,6 +48,12 @@ def days_between(start, end) -> Column:
     return F.floor((ntz_micros(end) - ntz_micros(start)) / F.lit(MICROS_PER_DAY))
 
 
+def whole_days(start, end) -> Column:
+    """``days_between`` of two dates (no time of day): their day numbers are
+    subtracted, without a timestamp for each side."""
+    return F.datediff(_c(end), _c(start)).cast("bigint")
+
+
 def tenure_months(days, default: int = 0) -> Column:
     """days / 30 truncated toward zero; null -> default."""
     return F.coalesce((_c(days) / F.lit(30.0)).cast("int"), F.lit(default))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staywise.functions.dates import (days_between, month_or, parse_date, quarter_or, tenure_months,
-                                      ts_literal, weekday_or)
+                                      ts_literal, weekday_or, whole_days)
 from staywise.functions.risk import tenure_bucket
 from staywise.functions.values import clip, first_contains, map_value, parse_boolean, to_number, yes_flag
 from staywise.operators.encode import factorize, fit_vocabularies, fit_vocabulary, label_encode, vocabulary
@@ -62,27 +62,27 @@ FORM_FEATURE_COLUMNS = ("days_since_communication", "days_since_checkin", "team_
 def form_features(terms: DataFrame, keep: Mapping[str, Column] | None = None) -> DataFrame:
     """The ten computed features of a termination row (id kept, plus the
     ``keep`` Columns, by output name, carried through the same projection).
-    Dates are parsed once in a first projection; conditional expressions are
-    not subexpression-eliminated, so parsing inside each difference would
-    repeat it."""
+    Dates are parsed and texts lower-cased once in a first projection; conditional
+    expressions are not subexpression-eliminated, so parsing inside each
+    difference, or lower-casing inside each comparison, would repeat it."""
     keep = dict(keep or {})
-    dated = terms.select("id", "health_text", "check_in_cadence", "will_have_replacement",
-                         "replacement_timeframe", "pip_implemented", "relief_offered",
+    lowered = {"health_text": "none", "check_in_cadence": "none", "replacement_timeframe": ""}
+    dated = terms.select("id", "will_have_replacement", "pip_implemented", "relief_offered",
+                         *[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(v))).alias(c) for c, v in lowered.items()],
                          *[_as_date(terms, c).alias(c) for c in FORM_DATES],
                          *[c.alias(f"__k_{n}") for n, c in keep.items()])
     notice, comm, checkin = F.col("notice_date"), F.col("last_comm_date"), F.col("last_checkin_date")
     tm_start, tm_last, c_start = F.col("tm_start_date"), F.col("tm_last_date"), F.col("client_start_date")
     return dated.select(
         F.col("id").alias("termination_id"),
-        F.coalesce(days_between(comm, notice), F.lit(999)).alias("days_since_communication"),
-        F.coalesce(days_between(checkin, notice), F.lit(999)).alias("days_since_checkin"),
-        F.coalesce(days_between(tm_start, tm_last), F.lit(0)).alias("team_member_tenure_days"),
-        F.coalesce(days_between(c_start, notice), F.lit(0)).alias("client_tenure_at_termination"),
-        map_value(F.coalesce(F.col("health_text"), F.lit("none")), FORM_HEALTH, 0, lower=True).alias("health_score"),
-        map_value(F.coalesce(F.col("check_in_cadence"), F.lit("none")), FORM_CADENCE, 4, lower=True)
-        .alias("checkin_frequency_encoded"),
+        F.coalesce(whole_days(comm, notice), F.lit(999)).alias("days_since_communication"),
+        F.coalesce(whole_days(checkin, notice), F.lit(999)).alias("days_since_checkin"),
+        F.coalesce(whole_days(tm_start, tm_last), F.lit(0)).alias("team_member_tenure_days"),
+        F.coalesce(whole_days(c_start, notice), F.lit(0)).alias("client_tenure_at_termination"),
+        map_value("health_text", FORM_HEALTH, 0).alias("health_score"),
+        map_value("check_in_cadence", FORM_CADENCE, 4).alias("checkin_frequency_encoded"),
         (1 - parse_boolean("will_have_replacement")).alias("no_replacement"),
-        first_contains("replacement_timeframe", FORM_URGENCY, 0).alias("replacement_urgency"),
+        first_contains("replacement_timeframe", FORM_URGENCY, 0, lower=False).alias("replacement_urgency"),
         parse_boolean("pip_implemented").alias("had_pip"),
         parse_boolean("relief_offered").alias("offered_discount"),
         *[F.col(f"__k_{n}").alias(n) for n in keep],
